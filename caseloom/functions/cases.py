@@ -7,12 +7,11 @@ from pyspark.sql import Column, functions as F
 from caseloom.functions.html import tag_text, unescape
 from caseloom.functions.text import without_space
 
-# The anchor in the cell that follows the first cell.
-_TO_NEXT_CELL = r"(?s)<td[^>]*>.*?</td>\s*<td[^>]*>.*?"
-STATUS_ANCHOR = _TO_NEXT_CELL + r"<a\b[^>]*>(.*?)</a>"
-STATUS_HREF = _TO_NEXT_CELL + r'<a\b[^>]*href="([^"]*)"'
+ANCHOR_IN_CELL = r"(?s)^\s*<td[^>]*+>.*?(<a\b[^>]*+>.*?</a>)"
+ANCHOR_TEXT = r"(?s)^<a\b[^>]*+>(.*)</a>$"
+ANCHOR_HREF = r'^<a\b[^>]*?href="([^"]*+)"'
 CASE_ID = r"id=(\d*)&"
-HISTORY_ITEM = r'(?s)<li[^>]*class="(?:[^"]*\s)?mrgn-bttm-md(?:\s[^"]*)?"[^>]*>(.*?)</li>'
+HISTORY_ITEM = r'(?s)<li\s[^>]*?class="(?:[^"]*\s)?mrgn-bttm-md(?:\s[^"]*+)?"[^>]*+>(.*?)</li>'
 
 
 def group_or_null(text: Column, pattern: str) -> Column:
@@ -20,14 +19,24 @@ def group_or_null(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
 
-def status_text(html: Column) -> Column:
+def status_anchor(html: Column) -> Column:
+    """The first link of the cell right after the first cell; NULL when there is none.
+
+    The cells are cut out by their closing tags, so the pattern runs over one cell and not over the page.
+    """
+    after_first = F.when(F.contains(F.split_part(html, F.lit("</td>"), F.lit(1)), F.lit("<td")),
+                         F.split_part(html, F.lit("</td>"), F.lit(2)))
+    return F.nullif(F.regexp_extract(after_first, ANCHOR_IN_CELL, 1), F.lit(""))
+
+
+def status_text(anchor: Column) -> Column:
     """Text of the status link with all whitespace taken out."""
-    return without_space(tag_text(group_or_null(html, STATUS_ANCHOR)))
+    return without_space(tag_text(F.regexp_extract(anchor, ANCHOR_TEXT, 1)))
 
 
-def case_id(html: Column) -> Column:
-    """Digits of the first ``id=...&`` in the status link; may be empty."""
-    return group_or_null(unescape(group_or_null(html, STATUS_HREF)), CASE_ID)
+def case_id(anchor: Column) -> Column:
+    """Digits of the first ``id=...&`` in the address of the status link; may be empty."""
+    return group_or_null(unescape(group_or_null(anchor, ANCHOR_HREF)), CASE_ID)
 
 
 def history_items(html: Column) -> Column:

@@ -1,20 +1,21 @@
-"""Text and links out of page HTML, with patterns that Java and RE2 read alike (no look-around, no back-references)."""
+"""Text and links out of page HTML."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# One left-to-right pass: comments, elements that carry no main text, ad blocks, then any other tag.
-_SILENT = ["script", "style", "nav", "footer", "head"]
+# One left-to-right pass, each alternative behind one opening bracket: comments, elements that carry no main text,
+# ad blocks, then any other tag. Possessive quantifiers keep the matcher from going back over long pages.
 NOT_MAIN_TEXT = (
-    r"(?s)<!--.*?-->|"
-    + "|".join(rf"<{name}\b[^>]*>.*?</{name}>" for name in _SILENT)
-    + r'|<div class="ad">.*?</div>|<[^>]+>'
+    r"(?s)<(?:!--.*?-->"
+    r"|(script|style|nav|footer|head)\b[^>]*+>.*?</\1>"
+    r'|div class="ad">.*?</div>'
+    r"|[^>]++>)"
 )
-NOT_RENDERED = r"(?s)<!--.*?-->|<script\b[^>]*>.*?</script>"
-ANCHOR_TAG = r"(?i)<a\s[^>]*>"
-HREF_DOUBLE = r'(?i)\shref\s*=\s*"([^"]*)"'
-HREF_SINGLE = r"(?i)\shref\s*=\s*'([^']*)'"
+# Comments and scripts are matched as a whole, so that an anchor inside one is not taken for a link.
+HIDDEN_OR_ANCHOR = r"(?is)<(?:!--.*?-->|script\b[^>]*+>.*?</script>|a\s[^>]*+>)"
+HREF_DOUBLE = r'(?i)\shref\s*+=\s*+"([^"]*+)"'
+HREF_SINGLE = r"(?i)\shref\s*+=\s*+'([^']*+)'"
 
 # Character references and what they stand for; the ampersand is replaced last.
 ENTITIES = [
@@ -24,9 +25,11 @@ ENTITIES = [
 
 
 def unescape(text: Column) -> Column:
+    """Replaces character references; a text without an ampersand is passed through at the cost of one look."""
+    plain = text
     for reference, char in ENTITIES:
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(reference), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
 
 def main_text(html: Column) -> Column:
@@ -42,7 +45,8 @@ def tag_text(inner: Column) -> Column:
 
 def hrefs(html: Column) -> Column:
     """Non-empty ``href`` values of the anchors of a page, in document order, duplicates kept."""
-    tags = F.regexp_extract_all(F.regexp_replace(html, NOT_RENDERED, " "), F.lit(ANCHOR_TAG), F.lit(0))
+    found = F.regexp_extract_all(html, F.lit(HIDDEN_OR_ANCHOR), F.lit(0))
+    tags = F.filter(found, lambda tag: F.lower(F.left(tag, F.lit(2))) == "<a")
     values = F.transform(
         tags,
         lambda tag: F.when(tag.rlike(HREF_DOUBLE), F.regexp_extract(tag, HREF_DOUBLE, 1))

@@ -24,21 +24,25 @@ def delimiter_of(text: Column) -> Column:
     return choice
 
 
-def rows_of(text: Column, delimiter: Column, keep_empty: bool = False) -> Column:
-    """``array<array<string>>``: cells per non-blank line. Blank cells are left out unless ``keep_empty``."""
-    pattern = F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E"))
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
+SEPARATOR_LINE = r"^[|,\t :-]*-[|,\t :-]*$"
+
 
-    def cells(line: Column) -> Column:
-        stripped = F.transform(F.split(line, pattern), strip)
-        return stripped if keep_empty else F.filter(stripped, lambda cell: cell != "")
+def lines_of(text: Column, drop_separator: bool = False) -> Column:
+    """The non-blank lines, stripped. ``drop_separator`` also leaves out Markdown delimiter lines below the first line."""
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
+    if drop_separator:
+        lines = F.filter(lines, lambda line, i: (i == 0) | ~line.rlike(SEPARATOR_LINE))
+    return lines
 
-    return F.transform(lines, cells)
 
+def cells_of(line: Column, delimiter: Column, keep_empty: bool = False) -> Column:
+    """Stripped cells of a line. Blank cells are left out unless ``keep_empty``.
 
-def is_separator_row(cells: Column) -> Column:
-    """A Markdown delimiter row: dashes with optional colons in every cell."""
-    return (F.size(cells) > 0) & F.forall(cells, lambda cell: cell.rlike(r"^:?-+:?$"))
+    One constant pattern per candidate: a pattern built per row would be compiled per row.
+    """
+    pieces = F.when(delimiter == "|", F.split(line, r"\|")).when(delimiter == "\t", F.split(line, "\t")).otherwise(F.split(line, ","))
+    stripped = F.transform(pieces, strip)
+    return stripped if keep_empty else F.filter(stripped, lambda cell: cell != "")
 
 
 def rendered_row(cells: Column) -> Column:

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# (?U): whitespace as Unicode defines it, not only the ASCII blanks.
-UNICODE_SPACE = r"(?U)\s+"
-SPACE_AT_EDGES = r"(?U)^\s+|\s+$"
+# The characters that count as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE_RUN = f"[{WHITESPACE}]+"
 
 
 def strip(text: Column) -> Column:
     """Without leading and trailing whitespace."""
-    return F.regexp_replace(text, SPACE_AT_EDGES, "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def squeeze(text: Column) -> Column:
     """Whitespace runs become one blank; none at the edges."""
-    return F.trim(F.regexp_replace(text, UNICODE_SPACE, " "))
+    return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
 
 
 def without_space(text: Column) -> Column:
-    return F.regexp_replace(text, UNICODE_SPACE, "")
+    return F.regexp_replace(text, SPACE_RUN, "")
 
 
 def sentence_case(text: Column) -> Column:

@@ -22,8 +22,9 @@ def _error(status: Column, case_id: Column) -> Column:
 
 def case_status_extract(status_pages: DataFrame) -> DataFrame:
     """``(case_key, status, case_id)``; NULL where the page does not hold it."""
-    return status_pages.select(
-        "case_key", C.status_text(F.col("html")).alias("status"), C.case_id(F.col("html")).alias("case_id")
+    anchor = F.col("__anchor")
+    return status_pages.withColumn("__anchor", C.status_anchor(F.col("html"))).select(
+        "case_key", C.status_text(anchor).alias("status"), C.case_id(anchor).alias("case_id")
     )
 
 
@@ -38,10 +39,12 @@ def case_status(status_pages: DataFrame) -> DataFrame:
     With an error, ``status`` holds its message and ``detail`` is empty. The
     reply code is looked at first.
     """
-    read = status_pages.select(
-        "case_key", "status_code", "html",
-        C.status_text(F.col("html")).alias("__status"), C.case_id(F.col("html")).alias("__id"),
-    ).withColumn("error", _error(F.col("__status"), F.col("__id")))
+    anchor = F.col("__anchor")
+    read = (
+        status_pages.withColumn("__anchor", C.status_anchor(F.col("html")))
+        .select("case_key", "status_code", "html", C.status_text(anchor).alias("__status"), C.case_id(anchor).alias("__id"))
+        .withColumn("error", _error(F.col("__status"), F.col("__id")))
+    )
     failed = F.col("error").isNotNull()
     return read.select(
         "case_key", "status_code",

@@ -14,44 +14,54 @@ def detect_delimiter(table_texts: DataFrame) -> DataFrame:
     return table_texts.select("table_id", TT.delimiter_of(F.col("text")).alias("delimiter"))
 
 
-def parse_table_rows(table_texts: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """``(table_id, rows array<array<string>>)``. A text is one value, so its rows stay in one record."""
-    rows = TT.rows_of(F.col("text"), TT.delimiter_of(F.col("text")), keep_empty)
-    return table_texts.select("table_id", rows.alias("rows"))
+def parse_table_rows(table_texts: DataFrame, keep_empty: bool = False, drop_separator: bool = False) -> DataFrame:
+    """``(table_id, row_no, header, cells)``: one row per non-blank line, row 0 being the header line.
+
+    The delimiter is found once per text and the header is cut once per text,
+    before the lines are taken apart; both travel with the lines, so a table is
+    built without a join or a shuffle. ``drop_separator`` leaves out Markdown
+    delimiter lines, which are rows like any other otherwise.
+    """
+    texts = table_texts.select(
+        "table_id", TT.delimiter_of(F.col("text")).alias("__delimiter"), TT.lines_of(F.col("text"), drop_separator).alias("__lines")
+    )
+    headed = texts.select(
+        "table_id", "__delimiter", "__lines",
+        TT.cells_of(F.get("__lines", F.lit(0)), F.col("__delimiter"), keep_empty).alias("header"),
+    )
+    lines = headed.select("table_id", "__delimiter", "header", F.posexplode("__lines").alias("row_no", "__line"))
+    return lines.select(
+        "table_id", "row_no", "header", TT.cells_of(F.col("__line"), F.col("__delimiter"), keep_empty).alias("cells")
+    )
 
 
 def parse_table_text(table_texts: DataFrame, keep_empty: bool = False) -> DataFrame:
     """``(table_id, row_no, col_no, value)``: the cells, counted from 0. No shuffle."""
-    lines = parse_table_rows(table_texts, keep_empty).select("table_id", F.posexplode("rows").alias("row_no", "cells"))
-    return lines.select("table_id", "row_no", F.posexplode("cells").alias("col_no", "value"))
+    rows = parse_table_rows(table_texts, keep_empty)
+    return rows.select("table_id", "row_no", F.posexplode("cells").alias("col_no", "value"))
 
 
-def _body_rows(parsed: DataFrame, columns: Sequence[str] | None, drop_separator: bool) -> DataFrame:
-    """``(table_id, header, row_no, cells)``. Row 0 is the header and is taken off even where columns are given."""
-    header = F.array(*[F.lit(c) for c in columns]) if columns else F.get("rows", F.lit(0))
-    rest = F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
-    if drop_separator:
-        rest = F.filter(rest, lambda cells: ~TT.is_separator_row(cells))
-    return parsed.select("table_id", header.alias("header"), F.posexplode(rest).alias("row_no", "cells"))
+def _body_rows(parsed: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """``(table_id, row_no, header, cells)`` below the header. Row 0 is taken off even where columns are given."""
+    header = F.array(*[F.lit(c) for c in columns]) if columns else F.col("header")
+    return parsed.filter(F.col("row_no") > 0).select(
+        "table_id", (F.col("row_no") - 1).alias("row_no"), header.alias("header"), "cells"
+    )
 
 
-def construct_table(parsed: DataFrame, columns: Sequence[str] | None = None,
-                    drop_separator: bool = False) -> DataFrame:
+def construct_table(parsed: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(table_id, row_no, col_no, col_name, value)`` from :func:`parse_table_rows`.
 
-    Short rows are filled up with NULL; rows longer than the header are left to
-    :func:`overlong_rows`. The header travels with its rows, so nothing is joined.
+    Short rows are filled up with NULL; rows longer than the header are left to :func:`overlong_rows`.
     """
-    body = _body_rows(parsed, columns, drop_separator).filter(F.size("cells") <= F.size("header"))
-    named = F.transform(
-        F.col("header"), lambda name, i: F.struct(i.alias("col_no"), name.alias("col_name"), F.get("cells", i).alias("value"))
-    )
-    return body.select("table_id", "row_no", F.inline(named))
+    body = _body_rows(parsed, columns).filter(F.size("cells") <= F.size("header"))
+    named = body.select("table_id", "row_no", "cells", F.posexplode("header").alias("col_no", "col_name"))
+    return named.select("table_id", "row_no", "col_no", "col_name", F.get("cells", F.col("col_no")).alias("value"))
 
 
-def overlong_rows(parsed: DataFrame, columns: Sequence[str] | None = None, drop_separator: bool = False) -> DataFrame:
+def overlong_rows(parsed: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(table_id, row_no, cells, error)``: rows with more cells than the header."""
-    body = _body_rows(parsed, columns, drop_separator)
+    body = _body_rows(parsed, columns)
     width, wanted = F.size("cells"), F.size("header")
     return body.filter(width > wanted).select(
         "table_id", "row_no", "cells",
@@ -59,9 +69,9 @@ def overlong_rows(parsed: DataFrame, columns: Sequence[str] | None = None, drop_
     )
 
 
-def wide_table(parsed: DataFrame, columns: Sequence[str], drop_separator: bool = False) -> DataFrame:
+def wide_table(parsed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(table_id, row_no, *columns)``: the columns are known, so this is a projection and not a pivot."""
-    body = _body_rows(parsed, columns, drop_separator).filter(F.size("cells") <= len(columns))
+    body = _body_rows(parsed, columns).filter(F.size("cells") <= len(columns))
     return body.select("table_id", "row_no", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 

@@ -349,7 +349,7 @@ select doc_id, page_no, row_no as table_no, cast(0 as int) as row_no,
        array_to_string(list_transform(cells, lambda c: coalesce(c, '<null>')), '~') as cells from cell_rows where page_no between 1 and 4
 union all
 select doc_id, page_no, row_no, 1, 'n' || row_no || '~a' || chr(10) || 'b' from cell_rows where page_no between 1 and 4"""
-ORACLES["normalize_line_text"] = """select doc_id, trim(regexp_replace(text, '[\\s\\x{0B}\\x{85}\\p{Z}]+', ' ', 'g'), ' ') as text from documents"""
+ORACLES["normalize_line_text"] = """select doc_id, trim(regexp_replace(text, '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+', ' ', 'g'), ' ') as text from documents"""
 ORACLES["page_reading_order"] = f"""with {ELEMENTS}
 select doc_id, page_no, elem_no, row_number() over (partition by doc_id, page_no order by y1 desc, elem_no) as reading_order from elements"""
 

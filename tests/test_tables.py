@@ -22,17 +22,20 @@ def expected_rows(text):
     return [[c.strip() for c in line.strip().split(delimiter) if c.strip()] for line in text.split("\n") if line.strip()]
 
 
-CASES = [GOLDEN, "a,b\n1,2\n", "a\tb\n1\t\t2", "plain\n\ntext", "", "a,b|c,d|", "x|y\n|\n 1 | 2 ", " a , b \n\r\n c,d"]
+CASES = [GOLDEN, "a,b\n1,2\n", "a\tb\n1\t\t2", "plain\n\ntext", "", "a,b|c,d|", "x|y\n|\n 1 | 2 ", "\u2003x\x1f,\xa0y\n\x85\n1,\u30002", " a , b \n\r\n c,d"]
 
 
 def test_parse(spark):
-    got = {r.table_id: r.rows for r in T.parse_table_rows(texts(spark, *CASES)).collect()}
+    got = {}
+    for r in T.parse_table_rows(texts(spark, *CASES)).orderBy("row_no").collect():
+        got.setdefault(r.table_id, []).append(r.cells)
+        assert r.header == got[r.table_id][0]
     for i, text in enumerate(CASES):
-        assert got[f"t{i}"] == expected_rows(text), text
-    kept = T.parse_table_rows(texts(spark, "a,,b"), keep_empty=True).first().rows
-    assert kept == [["a", "", "b"]]
+        assert got.get(f"t{i}", []) == expected_rows(text), text
+    kept = T.parse_table_rows(texts(spark, "a,,b"), keep_empty=True).first().cells
+    assert kept == ["a", "", "b"]
     assert [r.delimiter for r in T.detect_delimiter(texts(spark, *CASES)).orderBy("table_id").collect()] == \
-        ["|", ",", "\t", "|", "|", "|", "|", ","]
+        ["|", ",", "\t", "|", "|", "|", "|", ",", ","]
 
 
 def test_construct(spark, rows):
@@ -44,7 +47,8 @@ def test_construct(spark, rows):
     short = rows(T.construct_table(parsed).filter("table_id = 't2'"), "row_no", "col_name", "value")
     assert short == [(0, "a", "1"), (0, "b", None), (2, "a", "4"), (2, "b", "5")]
     assert rows(T.overlong_rows(parsed)) == [("t2", 1, ["1", "2", "3"], "row has 3 cells, header has 2")]
-    named = T.construct_table(parsed, columns=["x", "y"], drop_separator=True).filter("table_id = 't0'")
+    lean = T.parse_table_rows(texts(spark, GOLDEN), drop_separator=True)
+    named = T.construct_table(lean, columns=["x", "y"])
     assert rows(named)[0] == ("t0", 0, 0, "x", "Product A")
     wide = T.wide_table(parsed, ["x", "y"]).filter("table_id = 't2'")
     assert rows(wide, "x", "y") == [("1", None), ("4", "5")]
