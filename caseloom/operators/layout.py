@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions.tabletext import rendered_rows
 from caseloom.functions.text import squeeze
-from caseloom.plans.parts import fold_parts
-from caseloom.plans.skew import BAND, heavy_ranges, with_descending_band
+from caseloom.plans.parts import ordered_texts
+from caseloom.plans.skew import BAND, HEAVY_LIMIT, heavy_ranges, with_descending_band
 
 PAGE = ["doc_id", "page_no"]
 MAX_ELEMENTS = 250_000
@@ -42,158 +42,112 @@ def page_reading_order(elements: DataFrame, max_elements: int = MAX_ELEMENTS) ->
 
     A page with more than ``max_elements`` elements is cut into bands of height;
     a row's rank is its rank in its band plus the sizes of the bands above.
-    Other pages are one band, for which nothing is added.
     """
     ranges = heavy_ranges(elements, PAGE, "y1", max_elements)
+    top_down = [F.desc("y1"), F.asc("elem_no")]
+    if ranges is None:
+        rank = F.row_number().over(W.partitionBy(*PAGE).orderBy(*top_down))
+        return elements.withColumn("reading_order", rank.cast("long"))
     banded = with_descending_band(elements, ranges, PAGE, "y1")
-    in_band = F.row_number().over(W.partitionBy(*PAGE, BAND).orderBy(F.desc("y1"), "elem_no"))
-    sizes = (
-        with_descending_band(elements.select(*PAGE, "y1").join(F.broadcast(ranges.select(*PAGE)), PAGE, "left_semi"),
-                             ranges, PAGE, "y1")
-        .groupBy(*PAGE, BAND).agg(F.count(F.lit(1)).alias("__size"))
-    )
-    # At most HEAVY_LIMIT pages x the band limit of rows.
+    heavy = elements.select(*PAGE, "y1").join(F.broadcast(ranges.select(*PAGE)), PAGE, "left_semi")
+    sizes = with_descending_band(heavy, ranges, PAGE, "y1").groupBy(*PAGE, BAND).agg(F.count(F.lit(1)).alias("__size"))
+    # Per heavy page no more rows than it has bands.
     above = sizes.select(
-        *PAGE, BAND,
-        (F.sum("__size").over(W.partitionBy(*PAGE).orderBy(BAND)) - F.col("__size")).alias("__above"),
+        *PAGE, BAND, (F.sum("__size").over(W.partitionBy(*PAGE).orderBy(BAND)) - F.col("__size")).alias("__above")
     )
     return (
-        banded.withColumn("__rank", in_band)
+        banded.withColumn("__rank", F.row_number().over(W.partitionBy(*PAGE, BAND).orderBy(*top_down)))
         .join(above, [*PAGE, BAND], "left")
         .withColumn("reading_order", F.col("__rank") + F.coalesce("__above", F.lit(0)))
         .select(*elements.columns, "reading_order")
     )
 
 
-# One step over a rectangle. Text never changes the state, so the fold below
-# looks at rectangles only. A table is entered at the first rectangle met
-# outside; it is left at the last rectangle of a run that lies below its lower edge.
-
-def _enters(state: Column, n_tables: Column) -> Column:
-    return ~state["inside"] & (state["t"] < n_tables)
-
-
-def _leaves(state: Column, rect: Column, tables: Column, run_end: Column, n_tables: Column) -> Column:
-    below = rect["y0"] < F.get(tables, state["t"])["floor"]
-    return F.coalesce(run_end & (state["t"] < n_tables) & below, F.lit(False))
-
-
-def _spans(rects: Column, tables: Column, start_t: Column, start_inside: Column) -> Column:
-    """The stretches of a page taken up by tables: ``array<struct<lo, hi, t>>`` of element places, ends included.
-
-    ``lo`` is -1 for a table already entered before the first element, ``hi``
-    is a place past the end for a table that is not left.
-    """
-    n_tables = F.size(tables)
-    no_spans = F.array().cast("array<struct<lo:int,hi:int,t:int>>")
-    start = F.struct(
-        start_t.cast("int").alias("t"), start_inside.cast("boolean").alias("inside"),
-        F.lit(-1).alias("lo"), no_spans.alias("closed"),
-    )
-
-    def step(state: Column, rect: Column) -> Column:
-        enters = _enters(state, n_tables)
-        leaves = _leaves(state, rect, tables, rect["run_end"], n_tables)
-        lo = F.when(enters, rect["place"]).otherwise(state["lo"])
-        span = F.struct(lo.alias("lo"), rect["place"].alias("hi"), state["t"].alias("t"))
-        return F.struct(
-            F.when(leaves, state["t"] + 1).otherwise(state["t"]).alias("t"),
-            ((state["inside"] | enters) & ~leaves).alias("inside"),
-            lo.alias("lo"),
-            F.when(leaves, F.concat(state["closed"], F.array(span))).otherwise(state["closed"]).alias("closed"),
-        )
+# The walk over a page. Text never changes its state, so the folds below look at
+# rectangles only: a table is entered at the first rectangle met outside, and left
+# at the last rectangle of a run that lies below the table's lower edge. The state
+# is the table number and whether the walk is inside it. The lambdas are SQL text:
+# built from Column objects they would cost thousands of calls to the JVM.
+
+_LEAVES = "coalesce({run_end} and s.t < size(tables) and r.y0 < get(tables, s.t).floor, false)"
+_NOW_INSIDE = "(s.inside or s.t < size(tables))"
+
+# Stretches taken up by tables, ends included. lo is -1 for a table entered before
+# the first element here, hi lies past the end for a table that is not left here.
+_SPANS = f"""
+aggregate(
+  filter(__marked, m -> m.kind = 'R'),
+  named_struct('t', {{start_t}}, 'inside', {{start_inside}}, 'lo', -1,
+               'closed', cast(array() as array<struct<lo:int,hi:int,t:int>>)),
+  (s, r) -> get(transform(
+    array(named_struct('leaves', {_LEAVES.format(run_end="r.run_end")},
+                       'lo', if(not s.inside and s.t < size(tables), r.place, s.lo))),
+    n -> named_struct(
+      't', if(n.leaves, s.t + 1, s.t),
+      'inside', {_NOW_INSIDE} and not n.leaves,
+      'lo', n.lo,
+      'closed', if(n.leaves, concat(s.closed, array(named_struct('lo', n.lo, 'hi', r.place, 't', s.t))), s.closed))), 0),
+  s -> if(s.inside, concat(s.closed, array(named_struct('lo', s.lo, 'hi', 2147483647, 't', s.t))), s.closed))
+"""
 
-    def finish(state: Column) -> Column:
-        open_span = F.struct(state["lo"].alias("lo"), F.lit(2147483647).alias("hi"), state["t"].alias("t"))
-        return F.when(state["inside"], F.concat(state["closed"], F.array(open_span))).otherwise(state["closed"])
 
-    return F.aggregate(rects, start, step, finish)
+def _marked(following: str) -> Column:
+    """Elements with their place, and for rectangles whether their run ends: the next element is no rectangle."""
+    return F.expr(f"""
+    transform(els, (e, i) -> named_struct(
+      'place', i, 'kind', e.kind, 'y0', e.y0, 'shown', e.shown, 'last', i = size(els) - 1,
+      'run_end', e.kind = 'R' and coalesce(get(els, i + 1).kind, {following}, '') <> 'R'))""")
 
 
-def _outcomes(rects: Column, tables: Column, last_is_run_end: bool) -> Column:
+def _outcomes(last_is_run_end: bool) -> Column:
     """Where a band leads from every possible state: for each table number, from outside and from inside.
 
-    ``array<struct<outside struct<t,inside>, inside struct<t,inside>>>``. Only
-    the band's last element depends on what follows it; ``last_is_run_end``
-    decides that case.
+    Only the band's last element depends on what follows the band; ``last_is_run_end`` decides that case.
     """
-    n_tables = F.size(tables)
-
-    def walk(t: Column, inside: bool) -> Column:
-        def step(state: Column, rect: Column) -> Column:
-            run_end = rect["run_end"] | (rect["last"] if last_is_run_end else F.lit(False))
-            leaves = _leaves(state, rect, tables, run_end, n_tables)
-            return F.struct(
-                F.when(leaves, state["t"] + 1).otherwise(state["t"]).alias("t"),
-                ((state["inside"] | _enters(state, n_tables)) & ~leaves).alias("inside"),
-            )
-
-        return F.aggregate(rects, F.struct(t.cast("int").alias("t"), F.lit(inside).alias("inside")), step)
+    leaves = _LEAVES.format(run_end="(r.run_end or r.last)" if last_is_run_end else "r.run_end")
 
-    return F.transform(
-        F.sequence(F.lit(0), n_tables), lambda t: F.struct(walk(t, False).alias("outside"), walk(t, True).alias("inside"))
-    )
-
-
-def _marked(elements: Column, following: Column) -> Column:
-    """Elements with their place, and for rectangles whether their run ends (the next element is no rectangle)."""
-    return F.transform(
-        elements,
-        lambda e, i: F.struct(
-            i.alias("place"), e["kind"].alias("kind"), e["y0"].alias("y0"), e["shown"].alias("shown"),
-            (i == F.size(elements) - 1).alias("last"),
-            ((e["kind"] == "R") & (F.coalesce(F.get(elements, i + 1)["kind"], following, F.lit("")) != "R")).alias("run_end"),
-        ),
-    )
+    def walk(inside: str) -> str:
+        return f"""aggregate(__rects, named_struct('t', t0, 'inside', {inside}), (s, r) -> get(transform(array({leaves}),
+          leaves -> named_struct('t', if(leaves, s.t + 1, s.t), 'inside', {_NOW_INSIDE} and not leaves)), 0))"""
 
-
-def _is_rect(e: Column) -> Column:
-    return e["kind"] == "R"
+    return F.expr(f"""transform(sequence(0, size(tables)),
+      t0 -> named_struct('outside', {walk("false")}, 'inside', {walk("true")}))""")
 
 
 def _heavy_starts(bands: DataFrame) -> DataFrame:
     """``(doc_id, page_no, band, start_t, start_inside, following)`` for the bands of heavy pages.
 
     Each band is boiled down, in its own task, to where it leads from every
-    state; one page then only chains those small tables.
+    state; a page then only chains those small tables.
     """
-    # While the next band is unknown the last rectangle counts as inside a run; both readings are kept.
-    marked = _marked(F.col("els"), F.lit("R"))
-    small = bands.select(
-        *PAGE, BAND,
-        F.get("els", F.lit(0))["kind"].alias("first_kind"),
-        F.filter(marked, _is_rect).alias("__rects"), "tables",
-    ).select(
-        *PAGE, BAND, "first_kind",
-        _outcomes(F.col("__rects"), F.col("tables"), False).alias("running"),
-        _outcomes(F.col("__rects"), F.col("tables"), True).alias("ending"),
+    # While the next band is unknown its last rectangle counts as inside a run; both readings are kept.
+    rects = bands.select(
+        *PAGE, BAND, "tables", F.expr("get(els, 0).kind").alias("first_kind"),
+        F.filter(_marked("'R'"), lambda m: m["kind"] == "R").alias("__rects"),
+    )
+    small = rects.select(
+        *PAGE, BAND, "first_kind", _outcomes(False).alias("running"), _outcomes(True).alias("ending")
     )
     pages = small.groupBy(*PAGE).agg(
         F.sort_array(F.collect_list(F.struct(BAND, "first_kind", "running", "ending"))).alias("bands")
     )
-    state = "struct<t:int,inside:boolean>"
-    start = F.struct(
-        F.lit(0).alias("t"), F.lit(False).alias("inside"),
-        F.array().cast("array<struct<band:int,t:int,inside:boolean,following:string>>").alias("starts"),
-    )
-
-    def chain(acc: Column, band: Column) -> Column:
-        after = F.get(
-            F.filter(F.col("bands"), lambda b: (b[BAND] > band[BAND]) & b["first_kind"].isNotNull()), F.lit(0)
-        )["first_kind"]
-        table = F.when(F.coalesce(after, F.lit("")) == "R", band["running"]).otherwise(band["ending"])
-        row = F.get(table, acc["t"])
-        to = F.when(acc["inside"], row["inside"]).otherwise(row["outside"]).cast(state)
-        here = F.struct(band[BAND].alias("band"), acc["t"].alias("t"), acc["inside"].alias("inside"),
-                        after.alias("following"))
-        return F.struct(
-            to["t"].alias("t"), to["inside"].alias("inside"), F.concat(acc["starts"], F.array(here)).alias("starts")
-        )
-
-    starts = F.aggregate("bands", start, chain, lambda acc: acc["starts"])
-    return pages.select(*PAGE, F.inline(starts)).select(
-        *PAGE, F.col("band").alias(BAND), F.col("t").alias("start_t"), F.col("inside").alias("start_inside"), "following"
-    )
+    followed = pages.withColumn("bands", F.expr(f"""
+      transform(bands, (b, i) -> named_struct('band', b.{BAND}, 'running', b.running, 'ending', b.ending, 'following',
+        get(filter(slice(bands, i + 2, size(bands)), n -> n.first_kind is not null), 0).first_kind))"""))
+    starts = F.expr("""
+      aggregate(
+        bands,
+        named_struct('t', 0, 'inside', false,
+                     'starts', cast(array() as array<struct<band:int,start_t:int,start_inside:boolean,following:string>>)),
+        (s, b) -> get(transform(
+          array(get(if(coalesce(b.following, '') = 'R', b.running, b.ending), s.t)),
+          way -> named_struct(
+            't', if(s.inside, way.inside.t, way.outside.t),
+            'inside', if(s.inside, way.inside.inside, way.outside.inside),
+            'starts', concat(s.starts, array(named_struct(
+              'band', b.band, 'start_t', s.t, 'start_inside', s.inside, 'following', b.following))))), 0),
+        s -> s.starts)""")
+    return followed.select(*PAGE, F.inline(starts)).withColumnRenamed("band", BAND)
 
 
 def assemble_page(elements: DataFrame, page_tables: DataFrame, page_boxes: DataFrame, text: bool = True,
@@ -208,14 +162,25 @@ def assemble_page(elements: DataFrame, page_tables: DataFrame, page_boxes: DataF
     start states found beforehand; its content is the parts in order.
     """
     ranges = heavy_ranges(elements, PAGE, "y1", max_elements)
+    keys = PAGE if ranges is None else [*PAGE, BAND]
+    banded = elements if ranges is None else with_descending_band(elements, ranges, PAGE, "y1")
+    boxes = page_boxes.select(*PAGE)
+    if ranges is not None:
+        boxes = boxes.join(F.broadcast(ranges.select(*PAGE, "__bands")), PAGE, "left").select(
+            *PAGE, F.col("__bands").isNotNull().alias("__heavy"),
+            F.expr(f"explode(sequence(0, coalesce(__bands, 1) - 1)) as {BAND}"))
     shown = F.when(F.col("elem_type") == "T", squeeze(F.col("text")))
     els = (
-        with_descending_band(elements, ranges, PAGE, "y1")
-        .select(*PAGE, BAND, F.struct(
+        banded.select(*keys, F.struct(
             (-F.col("y1")).alias("down"), "elem_no", F.col("elem_type").alias("kind"), "y0", shown.alias("shown")).alias("e"))
-        .groupBy(*PAGE, BAND)
-        .agg(F.sort_array(F.collect_list("e")).alias("els"))
+        .groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("els"))
     )
+    bands = boxes.join(els, keys, "left").withColumn("els", F.expr(
+        "coalesce(els, cast(array() as array<struct<down:double,elem_no:bigint,kind:string,y0:double,shown:string>>))"))
+    if not table:
+        content = F.expr("array_join(transform(filter(els, e -> e.kind = 'T'), e -> e.shown), '')") if text else F.lit("")
+        return _parts(bands, content, keys)
+
     tables = (
         page_tables.join(page_boxes, PAGE)
         .select(*PAGE, F.struct(
@@ -223,58 +188,61 @@ def assemble_page(elements: DataFrame, page_tables: DataFrame, page_boxes: DataF
             rendered_rows(F.col("cells")).alias("shown")).alias("t"))
         .groupBy(*PAGE).agg(F.sort_array(F.collect_list("t")).alias("tables"))
     )
-    table_type = "array<struct<table_no:int,floor:double,shown:string>>"
-    none = F.array().cast(table_type)
-    pages = page_boxes.select(*PAGE).join(tables, PAGE, "left").withColumn(
-        "tables", F.coalesce(F.col("tables").cast(table_type), none) if table else none)
-    banded_pages = (
-        pages.join(F.broadcast(ranges.select(*PAGE, "__bands")), PAGE, "left")
-        .withColumn("__heavy", F.col("__bands").isNotNull())
-        .withColumn(BAND, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__bands"), F.lit(1)) - 1)))
-        .drop("__bands")
-    )
-    no_els = F.array().cast("array<struct<down:double,elem_no:bigint,kind:string,y0:double,shown:string>>")
-    bands = banded_pages.join(els, [*PAGE, BAND], "left").withColumn("els", F.coalesce("els", no_els))
-    if table:
-        starts = _heavy_starts(bands.filter("__heavy"))
-        bands = bands.join(starts, [*PAGE, BAND], "left")
+    bands = bands.join(tables, PAGE, "left").withColumn(
+        "tables", F.expr("coalesce(tables, cast(array() as array<struct<table_no:int,floor:double,shown:string>>))"))
+    if ranges is None:
+        start = {"start_t": "0", "start_inside": "false", "following": "cast(null as string)"}
     else:
-        bands = bands.select("*", F.lit(0).alias("start_t"), F.lit(False).alias("start_inside"),
-                             F.lit(None).cast("string").alias("following"))
-
-    marked = bands.withColumn("__marked", _marked(F.col("els"), F.col("following")))
-    spanned = marked.withColumn(
-        "__spans",
-        _spans(F.filter("__marked", _is_rect), F.col("tables"),
-               F.coalesce("start_t", F.lit(0)), F.coalesce("start_inside", F.lit(False))),
-    )
-
-    def covered(e: Column) -> Column:
-        return F.exists("__spans", lambda s: (e["place"] > s["lo"]) & (e["place"] <= s["hi"]))
+        bands = bands.join(_heavy_starts(bands.filter("__heavy")), keys, "left")
+        start = {"start_t": "coalesce(start_t, 0)", "start_inside": "coalesce(start_inside, false)", "following": "following"}
+    spanned = bands.withColumn("__marked", _marked(start["following"])).withColumn("__spans", F.expr(_SPANS.format(**start)))
+    outside = "not exists(__spans, s -> e.place > s.lo and e.place <= s.hi)" if text else "false"
+    content = F.expr(f"""
+      array_join(transform(__marked, e -> case
+        when e.kind = 'R' then get(tables, get(filter(__spans, s -> s.lo = e.place), 0).t).shown
+        when e.kind = 'T' and {outside} then e.shown end), '')""")
+    return _parts(spanned, content, keys)
 
-    def opens(e: Column) -> Column:
-        return F.filter("__spans", lambda s: s["lo"] == e["place"])
 
-    def piece(e: Column) -> Column:
-        of_text = F.when((e["kind"] == "T") & ~covered(e), e["shown"]) if text else F.lit(None).cast("string")
-        if not table:
-            return of_text
-        entered = F.get(opens(e), F.lit(0))["t"]
-        return F.when(_is_rect(e), F.get("tables", entered)["shown"]).otherwise(of_text)
-
-    content = F.array_join(F.array_compact(F.transform("__marked", piece)), "")
-    return spanned.select(
-        *PAGE, F.col(BAND).alias("part_no"), F.regexp_replace(content, r"\n+", "\n").alias("content")
-    ).filter((F.col("part_no") == 0) | (F.col("content") != ""))
+def _parts(bands: DataFrame, content: Column, keys: Sequence[str]) -> DataFrame:
+    """One row per band; empty ones after the first are left out. Runs of line breaks become one."""
+    part = F.col(BAND) if BAND in keys else F.lit(0)
+    parts = bands.select(*PAGE, part.alias("part_no"), F.regexp_replace(content, r"\n+", "\n").alias("content"))
+    return parts.filter((F.col("part_no") == 0) | (F.col("content") != "")) if BAND in keys else parts
 
 
 def assemble_document(page_content: DataFrame, sep: str = "\n", block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """``(doc_id, part_no, n_pages, text)``: page contents in page order, joined by ``sep``.
+    """``(doc_id, page_from, part_from, n_pages, text)``: page contents in page order, joined by ``sep``.
 
-    ``page_content`` has one row per page. A document of up to ``block_pages``
-    pages is one row; a longer one is several, themselves to be joined by ``sep``.
+    A document of up to ``block_pages`` pages is one row. A longer one is
+    several rows, and a page that itself comes in parts keeps a row per part.
+    The whole text is the rows in ``(page_from, part_from)`` order, with ``sep``
+    before every row that starts a page (``part_from`` 0).
     """
-    return fold_parts(page_content, ["doc_id"], "page_no", "content", sep, block_pages).withColumnRenamed("n_rows", "n_pages")
+    if "part_no" not in page_content.columns:
+        page_content = page_content.withColumn("part_no", F.lit(0))
+    # Pages in several parts are the heavy ones, so there are at most HEAVY_LIMIT of them.
+    cut = (
+        page_content.filter(F.col("part_no") > 0).groupBy(*PAGE).agg(F.lit(True).alias("__cut"))
+        .limit(HEAVY_LIMIT)
+        .groupBy("doc_id").agg(F.collect_list("page_no").alias("__cut_pages"))
+    )
+    placed = page_content.join(F.broadcast(cut), "doc_id", "left").select(
+        *PAGE, "part_no", "content",
+        F.expr(f"page_no div {block_pages}").alias("__block"),
+        # Cut pages stand alone and divide the pages before them from those after.
+        F.expr("coalesce(size(filter(__cut_pages, p -> p < page_no)), 0)").alias("__after"),
+        F.expr("if(coalesce(array_contains(__cut_pages, page_no), false), part_no, -1)").alias("__alone"),
+    )
+    return (
+        placed.groupBy("doc_id", "__block", "__after", "__alone")
+        .agg(
+            F.min("page_no").alias("page_from"), F.min("part_no").alias("part_from"),
+            F.sum((F.col("part_no") == 0).cast("long")).alias("n_pages"),
+            F.array_join(ordered_texts(["page_no"], "content"), sep).alias("text"),
+        )
+        .drop("__block", "__after", "__alone")
+    )
 
 
 def collect_tables(page_tables: DataFrame, start: int, end: int) -> DataFrame:

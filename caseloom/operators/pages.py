@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions import html as H
 from caseloom.plans.parts import ordered_texts, part_number
-from caseloom.plans.skew import SALT, salt_sides
+from caseloom.plans.skew import SALT, salt_sides, salted_left_join
 
 FOLLOWED_LINKS = 5
 BLOCK_LINKS = 1024
@@ -63,10 +63,10 @@ def _latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 def _matched(links: DataFrame, targets: DataFrame, hot_rows: int) -> DataFrame:
     """``links`` left-joined to the latest target per url; a link that very many pages share is split."""
     keyed = targets.withColumnRenamed("url", "link").withColumnRenamed("page_id", "__version")
-    left, right = salt_sides(links, keyed, ["link"], ["page_id", "pos"], hot_rows)
-    newest = _latest(right, ["link", SALT], "__version").withColumn("fetched", F.lit(True))
+    left, right, on = salt_sides(links, keyed, ["link"], ["page_id", "pos"], hot_rows)
+    newest = _latest(right, on, "__version").withColumn("fetched", F.lit(True))
     return (
-        left.join(newest, ["link", SALT], "left")
+        left.join(newest, on, "left")
         .drop(SALT, "__version")
         .withColumn("fetched", F.coalesce(F.col("fetched"), F.lit(False)))
     )
@@ -94,9 +94,8 @@ def link_status(links: DataFrame, pages: DataFrame, k: int = FOLLOWED_LINKS, den
     else:
         # The k-th smallest position per page; combined before the shuffle and joined back on a narrow key.
         first = crawl_frontier(narrow, k).groupBy("page_id").agg(F.max("pos").alias("__kth"))
-        left, right = salt_sides(narrow, first, ["page_id"], ["pos"], hot_rows)
         flagged = (
-            left.join(right, ["page_id", SALT], "left").drop(SALT)
+            salted_left_join(narrow, first, ["page_id"], ["pos"], hot_rows)
             .withColumn("attempted", F.col("pos") <= F.col("__kth")).drop("__kth")
         )
     joined = _matched(flagged, pages.select("page_id", "url"), hot_rows)

@@ -23,16 +23,3 @@ def ordered_texts(order: Sequence[str], text: str) -> Column:
     """Aggregate: the texts of a bounded group as an array, in the given order."""
     rows = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("__text"))))
     return F.transform(rows, lambda r: r["__text"])
-
-
-def fold_parts(df: DataFrame, keys: Sequence[str], position: str, text: str, sep: str, block: int,
-               then: Sequence[str] = ()) -> DataFrame:
-    """``(keys, part_no, n_rows, text)``: texts joined by ``sep`` in ``(position, *then)`` order."""
-    return (
-        df.withColumn("part_no", part_number(F.col(position), block))
-        .groupBy(*keys, "part_no")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.array_join(ordered_texts([position, *then], text), sep).alias("text"),
-        )
-    )

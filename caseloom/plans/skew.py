@@ -1,9 +1,11 @@
 """Keeping one hot key from becoming one hot task.
 
-All helpers stay lazy: the heavy keys are found by a column-pruned aggregate
-inside the same query. The list of heavy keys is broadcast, and its size is
-bounded by construction (``limit`` rows). Any key that does not make the list
-is smaller than every key on it, so it holds less than ``1/limit`` of the rows.
+Before a plan that gathers rows by key is laid down, the key sizes are measured
+by a narrow aggregate: it reads the key columns only and combines rows before its
+shuffle. Of the keys above a row limit at most ``HEAVY_LIMIT`` come back, the
+largest ones, so what reaches the driver, and is broadcast later, is bounded by
+construction. A key left off the list is smaller than all on it and holds less
+than ``1/HEAVY_LIMIT`` of the rows. Without heavy keys the plan is the plain one.
 No row is ever dropped: the list only decides how rows are spread.
 """
 
@@ -18,77 +20,62 @@ SALT = "__salt"
 BAND = "__band"
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int, *extra: Column,
-               limit: int = HEAVY_LIMIT) -> DataFrame:
-    """The at most ``limit`` largest keys having more than ``min_rows`` rows, with ``n_rows`` and extra aggregates."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *extra)
-    return (
-        counts.filter(F.col("n_rows") > min_rows)
-        .orderBy(F.desc("n_rows"), *keys)
-        .limit(limit)
+def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int, *extra: Column) -> DataFrame | None:
+    """``(keys, n_rows, extra)`` of the largest keys with more than ``min_rows`` rows; None when there are none."""
+    found = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *extra)
+        .filter(F.col("n_rows") > min_rows)
+        .orderBy(F.desc("n_rows")).limit(HEAVY_LIMIT)
     )
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
-def salt_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str],
-               min_rows: int = 1_000_000, salts: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Prepare ``left`` (may hold hot keys) and ``right`` for a left join on ``keys + [SALT]``.
+def salt_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], min_rows: int,
+               salts: int = 256) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a left join and the columns to join on, such that hot keys of ``left`` are split.
 
     Rows of a heavy key, and rows whose key is NULL, are spread over ``salts``
     groups by a hash of their ``spread`` columns; ``right`` repeats only the
-    rows of heavy keys. Hashing row values keeps the salt stable when a lost
+    rows of heavy keys. Hashing row values keeps the salt the same when a lost
     task is run again.
     """
-    heavy = heavy_keys(left, keys, min_rows).select(*keys, F.lit(True).alias("__heavy"))
-    is_null = F.lit(False)
-    for key in keys:
-        is_null = is_null | F.col(key).isNull()
-    own_salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    salted_left = (
-        left.join(F.broadcast(heavy), list(keys), "left")
-        .withColumn(SALT, F.when(F.col("__heavy") | is_null, own_salt).otherwise(F.lit(0)))
-        .drop("__heavy")
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_right = (
-        right.join(F.broadcast(heavy), list(keys), "left")
-        .withColumn(SALT, F.explode(F.when(F.col("__heavy"), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("__heavy")
-    )
-    return salted_left, salted_right
-
-
-def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                     min_rows: int = 1_000_000, salts: int = 256) -> DataFrame:
+    heavy = heavy_keys(left, keys, min_rows)
+    if heavy is None:
+        return left, right, list(keys)
+    heavy = heavy.select(*keys, F.lit(True).alias("__heavy"))
+    no_key = " or ".join(f"{key} is null" for key in keys)
+    own_salt = f"if(__heavy or {no_key}, cast(pmod(xxhash64({', '.join(spread)}), {salts}) as int), 0)"
+    every_salt = f"explode(if(__heavy, sequence(0, {salts - 1}), array(0)))"
+    left = left.join(F.broadcast(heavy), list(keys), "left").withColumn(SALT, F.expr(own_salt)).drop("__heavy")
+    right = right.join(F.broadcast(heavy), list(keys), "left").withColumn(SALT, F.expr(every_salt)).drop("__heavy")
+    return left, right, [*keys, SALT]
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], min_rows: int,
+                     salts: int = 256) -> DataFrame:
     """``left LEFT JOIN right USING (keys)`` that splits hot and NULL keys of ``left``. ``right`` is unique by key."""
-    salted_left, salted_right = salt_sides(left, right, keys, spread, min_rows, salts)
-    return salted_left.join(salted_right, [*keys, SALT], "left").drop(SALT)
+    left, right, on = salt_sides(left, right, keys, spread, min_rows, salts)
+    return left.join(right, on, "left").drop(SALT)
 
 
-def heavy_ranges(df: DataFrame, keys: Sequence[str], value: str, min_rows: int, max_bands: int = 4096) -> DataFrame:
-    """Heavy keys with the value range and the number of bands their rows are to be cut into."""
+def heavy_ranges(df: DataFrame, keys: Sequence[str], value: str, min_rows: int, max_bands: int = 4096) -> DataFrame | None:
+    """Heavy keys with the range of ``value`` and the number of bands their rows are to be cut into."""
     found = heavy_keys(df, keys, min_rows, F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    wanted = F.ceil(F.col("n_rows") * 4 / F.lit(min_rows))
-    return found.select(
-        *keys, "__lo", "__hi",
-        F.greatest(F.lit(2), F.least(F.lit(max_bands), wanted)).cast("int").alias("__bands"),
-    )
+    if found is None:
+        return None
+    bands = F.expr(f"cast(greatest(2, least({max_bands}, ceil(n_rows * 4 / {min_rows}))) as int) as __bands")
+    return found.select(*keys, "__lo", "__hi", bands)
 
 
-def descending_band(value: Column) -> Column:
-    """Band number of a value inside its heavy key's range: higher values come first; 0 where the key is not heavy.
+def with_descending_band(df: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows tagged with a band of their heavy key's range, higher values first; 0 where the key is not heavy.
 
-    Needs the columns of :func:`heavy_ranges`. The cut depends on values only,
-    so evaluating it twice gives the same bands.
+    The cut depends on values only, so computing it twice gives the same bands.
     """
-    width = F.col("__hi") - F.col("__lo")
-    place = F.floor(F.try_divide(F.col("__hi") - value, width) * F.col("__bands"))
-    return F.coalesce(F.least(F.col("__bands") - 1, place.cast("int")), F.lit(0))
-
-
-def with_descending_band(df: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Tag rows with :func:`descending_band`; ``ranges`` has at most ``HEAVY_LIMIT`` rows."""
+    place = f"cast(floor(try_divide(__hi - {value}, __hi - __lo) * __bands) as int)"
     return (
         df.join(F.broadcast(ranges), list(keys), "left")
-        .withColumn(BAND, descending_band(F.col(value)))
+        .withColumn(BAND, F.expr(f"coalesce(least(__bands - 1, {place}), 0)"))
         .drop("__lo", "__hi", "__bands")
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from caseloom import schemas
+
 
 def uploaded_files(spark: SparkSession, path: str) -> DataFrame:
     """``(name, length, content)`` of every file under ``path``."""
@@ -42,7 +44,7 @@ def csv_export(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def captured_pages(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, url, html)``: pages captured beforehand take the place of a live fetch."""
-    return spark.read.parquet(path).select("page_id", "url", "html")
+    return spark.read.schema(schemas.PAGES).parquet(path)
 
 
 def write_keyed_texts(texts: DataFrame, path: str, mode: str = "overwrite", shelf_digits: int = 0) -> None:

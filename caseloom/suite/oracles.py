@@ -377,7 +377,7 @@ TEXT_ONLY = """contents as (select doc_id, page_no, coalesce(string_agg(regexp_r
     filter (where elem_type = 'T'), '') as content from elements group by doc_id, page_no)"""
 ORACLES["assemble_page_text_only"] = f"with {ELEMENTS}, {TEXT_ONLY} select doc_id, page_no, 0 as part_no, content from contents"
 ORACLES["assemble_document"] = f"""with {ELEMENTS}, {TEXT_ONLY}
-select doc_id, cast(page_no // 256 as bigint) as part_no, count(*) as n_pages, string_agg(content, chr(10) order by page_no) as text
+select doc_id, min(page_no) as page_from, 0 as part_from, count(*) as n_pages, string_agg(content, chr(10) order by page_no) as text
 from contents group by doc_id, page_no // 256"""
 
 # --- intake ---------------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseloom.operators import cases, conversations, eligibility, intake, layout, pages, reports, tables, uploads
-from caseloom.plans.store import fresh_path
+from caseloom.plans.store import fresh_path, stored
 from caseloom.sources import files
 from caseloom.streaming import ingest
 from caseloom.suite import inputs as I
@@ -135,10 +135,6 @@ def crawl_frontier(spark, sf_dir):
 
 @query
 def crawl_join(spark, sf_dir):
-    return _crawled(spark, sf_dir)
-
-
-def _crawled(spark, sf_dir):
     frontier = pages.crawl_frontier(I.link_plan(spark, sf_dir))
     return pages.crawl_join(frontier, pages.extract_main_text(I.pages(spark, sf_dir)))
 
@@ -154,18 +150,21 @@ def crawl_coverage(spark, sf_dir):
     return pages.crawl_coverage(status).withColumn("progress", F.round("progress", 6))
 
 
-def _accumulated(spark, sf_dir):
-    return pages.accumulate_text(pages.extract_main_text(I.pages(spark, sf_dir)), _crawled(spark, sf_dir))
+def _accumulated(spark, sf_dir, links):
+    # The texts are needed twice, for a page itself and for the links to it: the HTML is read once.
+    texts = stored(pages.extract_main_text(I.pages(spark, sf_dir)), "page-texts")
+    return pages.accumulate_text(texts, pages.crawl_join(pages.crawl_frontier(links), texts))
 
 
 @query
 def accumulate_text(spark, sf_dir):
-    return _accumulated(spark, sf_dir)
+    return _accumulated(spark, sf_dir, I.link_plan(spark, sf_dir))
 
 
 @query
 def report_context(spark, sf_dir):
-    return pages.report_context(_accumulated(spark, sf_dir), I.link_plan(spark, sf_dir))
+    links = stored(I.link_plan(spark, sf_dir), "links")
+    return pages.report_context(_accumulated(spark, sf_dir, links), links)
 
 
 @query

@@ -119,13 +119,26 @@ def test_document_parts(spark):
     df = spark.createDataFrame([(1, p, f"p{p}") for p in range(1, 12)] + [(2, 3, "only")], "doc_id long, page_no int, content string")
     whole = {r.doc_id: r.text for r in L.assemble_document(df).collect()}
     assert whole == {1: "\n".join(f"p{p}" for p in range(1, 12)), 2: "only"}
-    parts = {}
-    for r in L.assemble_document(df, block_pages=4).orderBy("part_no").collect():
-        parts.setdefault(r.doc_id, []).append(r.text)
-    assert {d: "\n".join(t) for d, t in parts.items()} == whole and len(parts[1]) == 3
+    parts = L.assemble_document(df, block_pages=4)
+    assert told(parts) == whole and parts.filter("doc_id = 1").count() == 3
     assert L.assemble_document(df.filter("doc_id = 1"), sep="\n\n").first().text.startswith("p1\n\np2")
 
 
+def told(parts, sep="\n"):
+    out = {}
+    for r in sorted(parts.collect(), key=lambda r: (r.doc_id, r.page_from, r.part_from)):
+        joint = sep if r.part_from == 0 and r.doc_id in out else ""
+        out[r.doc_id] = out.get(r.doc_id, "") + joint + r.text
+    return out
+
+
+def test_document_with_a_page_in_parts(spark, random_pages):
+    whole = L.assemble_page(*frames(spark, random_pages), max_elements=1000)
+    cut = L.assemble_page(*frames(spark, random_pages), max_elements=30)
+    assert cut.filter("part_no > 0").count() > 10
+    assert told(L.assemble_document(cut, block_pages=8)) == told(L.assemble_document(whole))
+
+
 def test_collect_tables(spark, rows):
     df = spark.createDataFrame([(1, 1, 0, 5.0, [["a"], ["b", None]]), (1, 2, 0, 5.0, [["c"]]), (1, 5, 0, 5.0, [["d"]])],
                                schemas.PAGE_TABLES)
