@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from caseloom.functions.html import tag_text, unescape
+from caseloom.functions.html import unescape_rare
 from caseloom.functions.text import without_space
 
-ANCHOR_IN_CELL = r"(?s)^\s*<td[^>]*+>.*?(<a\b[^>]*+>.*?</a>)"
+# The first cell and, if a cell follows it at once, that cell. The second part being optional, the matcher
+# stops at the first cell's end instead of looking for a later pair.
+CELL_AFTER_FIRST = r"(?s)<td\b[^>]*+>.*?</td>(\s*+<td\b[^>]*+>.*?</td>)?"
+FIRST_ANCHOR = r"(?s)(<a\b[^>]*+>.*?</a>)"
 ANCHOR_TEXT = r"(?s)^<a\b[^>]*+>(.*)</a>$"
 ANCHOR_HREF = r'^<a\b[^>]*?href="([^"]*+)"'
 CASE_ID = r"id=(\d*)&"
@@ -15,28 +18,28 @@ HISTORY_ITEM = r'(?s)<li\s[^>]*?class="(?:[^"]*\s)?mrgn-bttm-md(?:\s[^"]*+)?"[^>
 
 
 def group_or_null(text: Column, pattern: str) -> Column:
-    """First group of the first match; NULL (not an empty text) without a match."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+    """First group of the first match; NULL (not an empty text) without a match. The text is looked at once."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
 def status_anchor(html: Column) -> Column:
-    """The first link of the cell right after the first cell; NULL when there is none.
+    """The first link of the cell right after the first cell; NULL when there is none."""
+    return group_or_null(F.regexp_extract(html, CELL_AFTER_FIRST, 1), FIRST_ANCHOR)
 
-    The cells are cut out by their closing tags, so the pattern runs over one cell and not over the page.
-    """
-    after_first = F.when(F.contains(F.split_part(html, F.lit("</td>"), F.lit(1)), F.lit("<td")),
-                         F.split_part(html, F.lit("</td>"), F.lit(2)))
-    return F.nullif(F.regexp_extract(after_first, ANCHOR_IN_CELL, 1), F.lit(""))
+
+def anchor_text(anchor: Column) -> Column:
+    """Text of a link, character references not yet replaced."""
+    return F.regexp_replace(F.regexp_extract(anchor, ANCHOR_TEXT, 1), r"<[^>]+>", "")
 
 
-def status_text(anchor: Column) -> Column:
-    """Text of the status link with all whitespace taken out."""
-    return without_space(tag_text(F.regexp_extract(anchor, ANCHOR_TEXT, 1)))
+def status_text(text: Column) -> Column:
+    """Status without any whitespace."""
+    return without_space(unescape_rare(text))
 
 
 def case_id(anchor: Column) -> Column:
-    """Digits of the first ``id=...&`` in the address of the status link; may be empty."""
-    return group_or_null(unescape(group_or_null(anchor, ANCHOR_HREF)), CASE_ID)
+    """Digits of the first ``id=...&`` in the address of the status link; may be empty. ``&amp;`` ends them just as well."""
+    return group_or_null(group_or_null(anchor, ANCHOR_HREF), CASE_ID)
 
 
 def history_items(html: Column) -> Column:
@@ -45,12 +48,12 @@ def history_items(html: Column) -> Column:
     An item that wraps its text in one element keeps the text; an item mixing
     text and elements, or holding several elements, or nothing, reads NULL.
     """
-    wrapped = r"^<([A-Za-z][A-Za-z0-9]*)\b[^>]*>([^<]*)</[A-Za-z][A-Za-z0-9]*>$"
+    wrapped = r"^<([A-Za-z][A-Za-z0-9]*)\b[^>]*>([^<]+)</[A-Za-z][A-Za-z0-9]*>$"
 
     def single_text(inner: Column) -> Column:
         return (
-            F.when((inner != "") & ~F.contains(inner, F.lit("<")), unescape(inner))
-            .when(inner.rlike(wrapped), F.nullif(unescape(F.regexp_extract(inner, wrapped, 2)), F.lit("")))
+            F.when((inner != "") & ~F.contains(inner, F.lit("<")), unescape_rare(inner))
+            .when(inner.rlike(wrapped), unescape_rare(F.regexp_extract(inner, wrapped, 2)))
         )
 
     return F.transform(F.regexp_extract_all(html, F.lit(HISTORY_ITEM), F.lit(1)), single_text)

@@ -25,24 +25,25 @@ ENTITIES = [
 
 
 def unescape(text: Column) -> Column:
-    """Replaces character references; a text without an ampersand is passed through at the cost of one look."""
-    plain = text
     for reference, char in ENTITIES:
-        plain = F.replace(plain, F.lit(reference), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return text
+
+
+def unescape_rare(text: Column) -> Column:
+    """The same where most texts hold no character reference: one look saves them the replacements.
+
+    ``text`` should be a column or a lambda variable, for it is named three times.
+    """
+    return F.when(F.contains(text, F.lit("&")), unescape(text)).otherwise(text)
 
 
 def main_text(html: Column) -> Column:
     """Readable text of a page; NULL when there is none."""
-    text = unescape(F.regexp_replace(html, NOT_MAIN_TEXT, " "))
+    text = unescape_rare(F.regexp_replace(html, NOT_MAIN_TEXT, " "))
     return F.nullif(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), F.lit(""))
 
 
-def tag_text(inner: Column) -> Column:
-    """Text of an element given its inner HTML."""
-    return unescape(F.regexp_replace(inner, r"<[^>]+>", ""))
-
-
 def hrefs(html: Column) -> Column:
     """Non-empty ``href`` values of the anchors of a page, in document order, duplicates kept."""
     found = F.regexp_extract_all(html, F.lit(HIDDEN_OR_ANCHOR), F.lit(0))

@@ -9,7 +9,8 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_RUN = f"[{WHITESPACE}]+"
+# The same set as a pattern; the Unicode class is far quicker than the characters one by one.
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def strip(text: Column) -> Column:

@@ -20,12 +20,16 @@ def _error(status: Column, case_id: Column) -> Column:
     )
 
 
+def _read(status_pages: DataFrame) -> DataFrame:
+    """The pages with ``__status`` and ``__id``. Step by step, so that no expression is worked out twice."""
+    anchored = status_pages.withColumn("__anchor", C.status_anchor(F.col("html")))
+    inner = anchored.withColumn("__inner", C.anchor_text(F.col("__anchor"))).withColumn("__id", C.case_id(F.col("__anchor")))
+    return inner.withColumn("__status", C.status_text(F.col("__inner"))).drop("__anchor", "__inner")
+
+
 def case_status_extract(status_pages: DataFrame) -> DataFrame:
     """``(case_key, status, case_id)``; NULL where the page does not hold it."""
-    anchor = F.col("__anchor")
-    return status_pages.withColumn("__anchor", C.status_anchor(F.col("html"))).select(
-        "case_key", C.status_text(anchor).alias("status"), C.case_id(anchor).alias("case_id")
-    )
+    return _read(status_pages).select("case_key", F.col("__status").alias("status"), F.col("__id").alias("case_id"))
 
 
 def case_history(status_pages: DataFrame) -> DataFrame:
@@ -39,12 +43,7 @@ def case_status(status_pages: DataFrame) -> DataFrame:
     With an error, ``status`` holds its message and ``detail`` is empty. The
     reply code is looked at first.
     """
-    anchor = F.col("__anchor")
-    read = (
-        status_pages.withColumn("__anchor", C.status_anchor(F.col("html")))
-        .select("case_key", "status_code", "html", C.status_text(anchor).alias("__status"), C.case_id(anchor).alias("__id"))
-        .withColumn("error", _error(F.col("__status"), F.col("__id")))
-    )
+    read = _read(status_pages).withColumn("error", _error(F.col("__status"), F.col("__id")))
     failed = F.col("error").isNotNull()
     return read.select(
         "case_key", "status_code",
@@ -56,8 +55,10 @@ def case_status(status_pages: DataFrame) -> DataFrame:
 
 
 def error_capture(status_pages: DataFrame) -> DataFrame:
-    """``(case_key, status_code, error, n_detail)`` of the pages that could not be read."""
-    return (
-        case_status(status_pages).filter(F.col("error").isNotNull())
-        .select("case_key", "status_code", "error", F.size("detail").alias("n_detail"))
-    )
+    """``(case_key, status_code, error, n_detail)`` of the pages that could not be read.
+
+    An explode picks them: a filter on ``error`` would be pushed below the extraction and run it twice.
+    """
+    errors = F.array_compact(F.array(_error(F.col("__status"), F.col("__id"))))
+    return _read(status_pages).select("case_key", "status_code", F.explode(errors).alias("error")).withColumn(
+        "n_detail", F.lit(0))
