@@ -165,9 +165,20 @@ def assemble_page(elements: DataFrame, page_tables: DataFrame, page_boxes: DataF
     keys = PAGE if ranges is None else [*PAGE, BAND]
     banded = elements if ranges is None else with_descending_band(elements, ranges, PAGE, "y1")
     boxes = page_boxes.select(*PAGE)
+    if table:
+        # Tables come to the pages before these are cut: the elements are then gathered and joined by band only.
+        tables = (
+            page_tables.join(page_boxes, PAGE)
+            .select(*PAGE, F.struct(
+                "table_no", (F.col("page_h") - F.col("bbox_bottom")).alias("floor"),
+                rendered_rows(F.col("cells")).alias("shown")).alias("t"))
+            .groupBy(*PAGE).agg(F.sort_array(F.collect_list("t")).alias("tables"))
+        )
+        boxes = boxes.join(tables, PAGE, "left").withColumn(
+            "tables", F.expr("coalesce(tables, cast(array() as array<struct<table_no:int,floor:double,shown:string>>))"))
     if ranges is not None:
         boxes = boxes.join(F.broadcast(ranges.select(*PAGE, "__bands")), PAGE, "left").select(
-            *PAGE, F.col("__bands").isNotNull().alias("__heavy"),
+            *boxes.columns, F.col("__bands").isNotNull().alias("__heavy"),
             F.expr(f"explode(sequence(0, coalesce(__bands, 1) - 1)) as {BAND}"))
     shown = F.when(F.col("elem_type") == "T", squeeze(F.col("text")))
     els = (
@@ -181,15 +192,6 @@ def assemble_page(elements: DataFrame, page_tables: DataFrame, page_boxes: DataF
         content = F.expr("array_join(transform(filter(els, e -> e.kind = 'T'), e -> e.shown), '')") if text else F.lit("")
         return _parts(bands, content, keys)
 
-    tables = (
-        page_tables.join(page_boxes, PAGE)
-        .select(*PAGE, F.struct(
-            "table_no", (F.col("page_h") - F.col("bbox_bottom")).alias("floor"),
-            rendered_rows(F.col("cells")).alias("shown")).alias("t"))
-        .groupBy(*PAGE).agg(F.sort_array(F.collect_list("t")).alias("tables"))
-    )
-    bands = bands.join(tables, PAGE, "left").withColumn(
-        "tables", F.expr("coalesce(tables, cast(array() as array<struct<table_no:int,floor:double,shown:string>>))"))
     if ranges is None:
         start = {"start_t": "0", "start_inside": "false", "following": "cast(null as string)"}
     else:
@@ -205,9 +207,14 @@ def assemble_page(elements: DataFrame, page_tables: DataFrame, page_boxes: DataF
 
 
 def _parts(bands: DataFrame, content: Column, keys: Sequence[str]) -> DataFrame:
-    """One row per band; empty ones after the first are left out. Runs of line breaks become one."""
+    """One row per band; empty ones after the first are left out. Runs of line breaks become one.
+
+    The row is made by a generator, which no later filter on ``content`` can be
+    pushed through: pushed into the walk, it would fold a page anew for every element.
+    """
     part = F.col(BAND) if BAND in keys else F.lit(0)
-    parts = bands.select(*PAGE, part.alias("part_no"), F.regexp_replace(content, r"\n+", "\n").alias("content"))
+    row = F.struct(part.alias("part_no"), F.regexp_replace(content, r"\n+", "\n").alias("content"))
+    parts = bands.select(*PAGE, F.inline(F.array(row)))
     return parts.filter((F.col("part_no") == 0) | (F.col("content") != "")) if BAND in keys else parts
 
 

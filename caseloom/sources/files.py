@@ -17,14 +17,17 @@ def uploaded_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_scan(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None,
-             keep_bad_rows: bool = True) -> DataFrame:
+             keep_bad_rows: bool = True, multi_line: bool = True) -> DataFrame:
     """A CSV table with a header line.
 
+    ``multi_line`` reads line breaks inside quotes, one file per task. Without
+    it large files are split over many tasks, but no value may hold a line break.
+
     With a ``schema`` the file is read once; rows that do not fit it keep their
     text in ``_corrupt_record``. Without one the types are inferred, which reads
     the data twice.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     if isinstance(schema, str):

@@ -52,8 +52,9 @@ def incremental_ingest(arrivals: DataFrame, store: str, checkpoint: str) -> Stre
         try:
             known = ingest_store(spark, store).filter(F.col("batch_id") < batch_id)
             new = new.join(known.select("md5", "ext"), ["md5", "ext"], "left_anti")
-        except AnalysisException:
-            pass  # nothing stored yet
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":  # nothing stored yet
+                raise
         new.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
     return (
