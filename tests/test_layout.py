@@ -110,6 +110,21 @@ def test_select_pages(spark, rows):
     assert rows(L.select_pages(df, start=2, end=4), "page_no") == [(2,), (3,), (4,)]
 
 
+def test_page_choice_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "elements")
+    spark.range(10).selectExpr("id as doc_id", "cast(id as int) as page_no", "'x' as text", "'y' as unused").write.parquet(path)
+    plan = L.select_pages(spark.read.parquet(path), start=2, end=4).select("doc_id")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(page_no,2)" in text and "LessThanOrEqual(page_no,4)" in text
+    assert "unused" not in text.split("ReadSchema")[1]
+
+
+def test_a_filter_on_the_content_stays_out_of_the_walk(spark, random_pages):
+    pages = L.assemble_page(*frames(spark, random_pages)).filter("content like '%t0%'")
+    plan = pages._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "aggregate(" not in plan and "Filter" in plan
+
+
 def test_line_text(spark):
     df = spark.createDataFrame([("  a\n b\t c \n",), ("",)], "text string")
     assert [r.text for r in L.normalize_line_text(df).collect()] == ["a b c", ""]
