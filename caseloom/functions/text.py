@@ -35,8 +35,3 @@ def sentence_case(text: Column) -> Column:
 def file_extension(name: Column) -> Column:
     """What follows the last dot; the whole name when it has no dot."""
     return F.substring_index(name, ".", -1)
-
-
-def quoted_list(items: Column) -> Column:
-    """An array of strings as ``['a', 'b']``; ``[]`` when empty."""
-    return F.when(F.size(items) > 0, F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))).otherwise("[]")
