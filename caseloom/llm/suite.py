@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseloom.llm import simhash
+from caseloom.llm import decontaminate, exact, language, simhash
 from caseloom.llm.tables import read
 
 QUERIES = {}
@@ -17,3 +17,28 @@ def query(fn):
 @query
 def op2_simhash_near_duplicates(spark, sf_dir):
     return simhash.simhash_near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.benchmark_overlap(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_exact_dedup(spark, sf_dir):
+    return exact.exact_duplicates(read(spark, sf_dir, "documents"), exact.new_index(spark))
+
+
+ORACLES["op4_exact_dedup"] = r"""
+select doc_id, first_value(doc_id) over (partition by text_sha256 order by chars desc, doc_id) as keep_id,
+       count(*) over (partition by text_sha256) as group_size,
+       row_number() over (partition by text_sha256 order by chars desc, doc_id) = 1 as kept, text_sha256
+from (select doc_id, length(coalesce(text, '')) as chars,
+             sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
+      from documents)
+"""
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    return language.predicted_languages(read(spark, sf_dir, "documents"))
