@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseloom.llm import decontaminate, exact, language, simhash
+from caseloom.llm import decontaminate, exact, language, mixing, simhash
 from caseloom.llm.tables import read
 
 QUERIES = {}
@@ -42,3 +42,8 @@ from (select doc_id, length(coalesce(text, '')) as chars,
 @query
 def op5_language_id(spark, sf_dir):
     return language.predicted_languages(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_source_mixing(spark, sf_dir):
+    return mixing.mixed_documents(read(spark, sf_dir, "documents"))
