@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from caseloom.llm import decontaminate, exact, language, mixing, simhash
+import public_tokenizers
+
+from caseloom.llm import decontaminate, exact, language, mixing, simhash, token_files
 from caseloom.llm.tables import read
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES = {}
 ORACLES = {}
 
@@ -47,3 +51,8 @@ def op5_language_id(spark, sf_dir):
 @query
 def op9_source_mixing(spark, sf_dir):
     return mixing.mixed_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_output(spark, sf_dir):
+    return token_files.token_output(read(spark, sf_dir, "documents"), TOKENIZER)
