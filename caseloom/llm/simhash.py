@@ -16,7 +16,7 @@ on, so that a dense group of m nodes gives m - 1 links, not m * m.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +121,13 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def connecting_links(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of links within ``radius`` inside equal ``groups`` (sorted), enough to connect all that are linked."""
+def connecting_links(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS,
+                     agreed: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of links within ``radius`` inside equal ``groups`` (sorted), enough to connect all that are linked.
+
+    A pair counts as a link if ``agreed``, when given, says so as well; it is asked
+    for every pair within the radius that is not connected yet.
+    """
     n = len(prints)
     parent = np.arange(n)
     rows = np.arange(n)  # rows that still take part
@@ -156,7 +161,7 @@ def connecting_links(groups: np.ndarray, prints: np.ndarray, radius: int = RADIU
         new = parent[left] != parent[right]
         for i, j in zip(left[new].tolist(), right[new].tolist()):
             a, b = _root(parent, i), _root(parent, j)
-            if a != b:
+            if a != b and (agreed is None or agreed(i, j)):
                 parent[max(a, b)] = min(a, b)
                 out.append((i, j))
         shift += 1
@@ -191,8 +196,8 @@ def _compare(radius: int):
     return run
 
 
-def filed(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``(key, lo, hi, fp)``: distinct fingerprints under their pairs of pieces, files of one left out.
+def filed(prints: DataFrame, chunk: int = CHUNK, more: Sequence[str] = ()) -> DataFrame:
+    """``(key, lo, hi, fp, more)``: distinct rows under their fingerprint's pairs of pieces, files of one left out.
 
     Files of more than ``chunk`` go out as all pairs of their chunks, so that no
     group exceeds about twice the chunk and no pair of fingerprints is missed.
@@ -204,15 +209,15 @@ def filed(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1))
 
     keys = [F.lit(n << 26).bitwiseOR(F.shiftleft(piece(i), 13).bitwiseOR(piece(j))) for n, (i, j) in enumerate(pairs)]
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+    rows = prints.select("fp", *more, F.explode(F.array(*keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = (
         rows.join(sizes, "key")
         .withColumn("chunks", F.expr(f"cast(ceil(n / {chunk}) as int)"))
-        .withColumn("own", F.expr("cast(pmod(xxhash64(fp), chunks) as int)"))
+        .withColumn("own", F.expr(f"cast(pmod(xxhash64({', '.join(['fp', *more])}), chunks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     )
-    return dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+    return dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", *more)
 
 
 def similar_fingerprints(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from caseloom.llm import decontaminate, exact, language, mixing, simhash, token_files
+from caseloom.llm import decontaminate, exact, fuzzy_lines, language, mixing, simhash, token_files
 from caseloom.llm.tables import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,3 +56,8 @@ def op9_source_mixing(spark, sf_dir):
 @query
 def op8_token_output(spark, sf_dir):
     return token_files.token_output(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op6_line_dedup(spark, sf_dir):
+    return fuzzy_lines.fuzzy_line_dedup(read(spark, sf_dir, "documents"))
