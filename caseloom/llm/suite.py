@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from caseloom.llm import chat, decontaminate, exact, fuzzy_lines, language, licenses, mixing, simhash, token_files
+from caseloom.llm import chat, decontaminate, exact, fuzzy_lines, language, licenses, mixing, secret_scan, simhash, token_files
 from caseloom.llm.tables import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,3 +71,8 @@ def op10_chat_formatting(spark, sf_dir):
 @query
 def op1_license_scan(spark, sf_dir):
     return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_secret_scan(spark, sf_dir):
+    return secret_scan.secret_scan(read(spark, sf_dir, "documents"))
