@@ -21,7 +21,7 @@ BLOCK = 256            # words of a block
 SHARD_SLOTS = 4096     # blocks of a shard
 SHARE = 1.5            # words of the mix, as a part of all words
 MAX_REPEAT = 2         # times that a source's words may be taken
-GROUP = 1 << 16        # documents whose places are counted in one task
+GROUP = 1 << 10        # documents whose places are counted together
 ROUNDS = 24            # of the permutation
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -133,8 +133,10 @@ def mixture_slots(sources: DataFrame, seed: int = 42, block: int = BLOCK, shard_
         .withColumn("rest", F.expr("if(source_size = 0, 0L, wanted - epochs * source_size)"))
         .withColumn("slots", F.expr(f"epochs * blocks + (rest + {block - 1}) div {block}")), "targets")
     draws = stored(shard_draws(counted, seed, block, shard_slots), "draws")
+    # A draw is a few bytes that grow to thousands of slots: spread first.
+    spread = draws.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "sno")
     slots = (
-        draws.select("shard", "sno", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
+        spread.select("shard", "sno", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
         .join(counted.select("sno", "source_size", "whole", "blocks", "epochs", "rest"), "sno")
         .withColumn("epoch", F.expr("slot div blocks")).withColumn("q", F.expr("slot % blocks"))
         .withColumn("block", F.expr(f"if(q >= whole, whole, {permuted('q', 'whole', f'{seed}L', 'sno', 'epoch')})"))
