@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from caseloom.functions.html import unescape_rare
+from caseloom.functions.html import attribute_token, href_of, unescape_rare
 from caseloom.functions.text import without_space
 
 # The first cell and, if a cell follows it at once, that cell. The second part being optional, the matcher
 # stops at the first cell's end instead of looking for a later pair.
-CELL_AFTER_FIRST = r"(?s)<td\b[^>]*+>.*?</td>(\s*+<td\b[^>]*+>.*?</td>)?"
-FIRST_ANCHOR = r"(?s)(<a\b[^>]*+>.*?</a>)"
-ANCHOR_TEXT = r"(?s)^<a\b[^>]*+>(.*)</a>$"
-ANCHOR_HREF = r'^<a\b[^>]*?href="([^"]*+)"'
+CELL_AFTER_FIRST = r"(?is)<td\b[^>]*+>.*?</td\s*+>(\s*+<td\b[^>]*+>.*?</td\s*+>)?"
+FIRST_ANCHOR = r"(?is)(<a\b[^>]*+>.*?</a\s*+>)"
+OPENING_TAG = r"(?is)^(<a\b[^>]*+>)"
+ANCHOR_TEXT = r"(?is)^<a\b[^>]*+>(.*)</a\s*+>$"
 CASE_ID = r"id=(\d*)&"
-HISTORY_ITEM = r'(?s)<li\s[^>]*?class="(?:[^"]*\s)?mrgn-bttm-md(?:\s[^"]*+)?"[^>]*+>(.*?)</li>'
+HISTORY_ITEM = rf"(?is)<li\b{attribute_token('class', 'mrgn-bttm-md')}(.*?)</li\s*+>"
 
 
 def group_or_null(text: Column, pattern: str) -> Column:
@@ -38,8 +38,8 @@ def status_text(text: Column) -> Column:
 
 
 def case_id(anchor: Column) -> Column:
-    """Digits of the first ``id=...&`` in the address of the status link; may be empty. ``&amp;`` ends them just as well."""
-    return group_or_null(group_or_null(anchor, ANCHOR_HREF), CASE_ID)
+    """Digits of the first ``id=...&`` in the decoded address of the status link; may be empty."""
+    return group_or_null(href_of(group_or_null(anchor, OPENING_TAG)), CASE_ID)
 
 
 def history_items(html: Column) -> Column:

@@ -59,6 +59,6 @@ def error_capture(status_pages: DataFrame) -> DataFrame:
 
     An explode picks them: a filter on ``error`` would be pushed below the extraction and run it twice.
     """
-    errors = F.array_compact(F.array(_error(F.col("__status"), F.col("__id"))))
-    return _read(status_pages).select("case_key", "status_code", F.explode(errors).alias("error")).withColumn(
-        "n_detail", F.lit(0))
+    record = case_status(status_pages)
+    errors = F.array_compact(F.array("error"))
+    return record.select("case_key", "status_code", F.size("detail").alias("n_detail"), F.explode(errors).alias("error"))

@@ -24,6 +24,13 @@ def test_history(spark):
     assert got == [(0, "one"), (1, "two & a half"), (2, None), (3, "x")]
 
 
+def test_markup_in_either_case_and_any_quotes(spark):
+    html = ("<TABLE><TR><TD>PR</TD> <TD><A HREF='v.do?id=12&amp;t=x'>In  P</A></TD></TR></TABLE><ul><LI CLASS='mrgn-bttm-md'>one</LI>"
+            "<li data-class=\"mrgn-bttm-md\">no</li><li class=mrgn-bttm-md>Re&ccedil;u</li></ul>")
+    record = C.case_status(frame(spark, html)).first()
+    assert (record.status, record.case_id, record.detail, record.error) == ("InP", "12", ["one", "Reçu"], None)
+
+
 def test_outcome_per_page(spark):
     good = page(items='<li class="mrgn-bttm-md">one</li>')
     df = frame(spark, good, "<p></p>", page('<a href="?x=1">s</a>')).unionAll(
@@ -33,4 +40,4 @@ def test_outcome_per_page(spark):
     assert (got[1].status, got[1].detail) == (C.NO_STATUS, [])
     assert got[2].error == C.NO_CASE_ID
     assert got[7].status == got[8].status == C.BAD_RESPONSE and got[7].detail == [] and got[7].case_id is None
-    assert sorted(r.case_key for r in C.error_capture(df).collect()) == [1, 2, 7, 8]
+    assert sorted((r.case_key, r.n_detail) for r in C.error_capture(df).collect()) == [(1, 0), (2, 0), (7, 0), (8, 0)]
