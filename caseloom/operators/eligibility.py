@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions import scoring
 
-# The papers an application needs, and the line shown when none is missing.
+# The papers an application needs, and the lines shown when none or some are missing.
 REQUIRED_DOCS = ["passeport", "photos", "relevé_bancaire", "lettre_invitation", "preuve_linguistique"]
 ALL_PRESENT = "Tous les documents requis sont présents!"
+SOME_MISSING = "Documents manquants : "
 
 
 def eligibility_score(applicants: DataFrame, jitter_seed: int | None = None) -> DataFrame:
-    """``(applicant_id, score, error)``. An unknown diploma gives a NULL score and an error text.
+    """``(applicant_id, score, error)``. An unknown diploma, or a missing age, mark or number of years, gives a NULL score and an error text.
 
     ``jitter_seed`` adds a draw from ±0.05 that depends on the applicant and
     the seed only; without it the score is exact.
@@ -26,10 +27,12 @@ def eligibility_score(applicants: DataFrame, jitter_seed: int | None = None) ->
         width = scoring.JITTER_WIDTH
         score = score + scoring.hash_uniform(F.col("applicant_id"), jitter_seed) * F.lit(2 * width) - F.lit(width)
     unknown = scoring.education_factor(F.col("education")).isNull()
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("age", "language_score", "work_experience")]))
     return applicants.select(
         "applicant_id",
-        scoring.clamp_unit(score).alias("score"),
-        F.when(unknown, F.concat(F.lit("unknown education: "), F.coalesce(F.col("education"), F.lit("NULL")))).alias("error"),
+        F.when((F.size(missing) == 0) & ~unknown, scoring.clamp_unit(score)).alias("score"),
+        F.when(unknown, F.concat(F.lit("unknown education: "), F.coalesce(F.col("education"), F.lit("NULL"))))
+        .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))).alias("error"),
     )
 
 
@@ -55,30 +58,14 @@ def band_summary(banded: DataFrame) -> DataFrame:
 def _missing_lists(applicants: DataFrame, submitted: DataFrame, required: Sequence[str]) -> DataFrame:
     """``(applicant_id, missing array)`` for every applicant, names in order.
 
-    Every submitted name becomes one bit, so one hash aggregate with a long
-    buffer replaces the anti join over applicants x papers: repeated names
-    melt away before the shuffle and the join is one row to one row.
+    An applicant's set of papers holds required names only, so it is no larger
+    than their list, and repeated names melt away before the shuffle; the join
+    is one row to one row instead of applicants x papers.
     """
     names = sorted(set(required))
-    if len(names) > 63:
-        raise ValueError("at most 63 required documents")
-
-    def bit(name: str) -> Column:
-        return F.lit(1 << names.index(name)).cast("long")
-
-    own_bit = F.lit(0).cast("long")
-    for name in names:
-        own_bit = F.when(F.col("doc") == name, bit(name)).otherwise(own_bit)
-    held = (
-        submitted.filter(F.col("doc").isin(names))
-        .groupBy("applicant_id")
-        .agg(F.bit_or(own_bit).alias("held"))
-    )
-    mask = F.coalesce(F.col("held"), F.lit(0).cast("long"))
-    missing = F.array_compact(F.array(*[F.when(mask.bitwiseAND(bit(n)) == 0, F.lit(n)) for n in names]))
+    held = submitted.filter(F.col("doc").isin(names)).groupBy("applicant_id").agg(F.collect_set("doc").alias("held"))
     return applicants.select("applicant_id").join(held, "applicant_id", "left").select(
-        "applicant_id", missing.alias("missing")
-    )
+        "applicant_id", missing_in_array(F.coalesce("held", F.array().cast("array<string>")), names).alias("missing"))
 
 
 def missing_documents(applicants: DataFrame, submitted: DataFrame,
@@ -101,5 +88,5 @@ def completeness_report(applicants: DataFrame, submitted: DataFrame,
         "applicant_id",
         F.size("missing").alias("n_missing"),
         F.when(F.size("missing") == 0, F.lit(ALL_PRESENT))
-        .otherwise(F.concat(F.lit("Documents manquants : "), F.array_join("missing", ", "))).alias("message"),
+        .otherwise(F.concat(F.lit(SOME_MISSING), F.array_join("missing", ", "))).alias("message"),
     )

@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from caseloom.functions.tabletext import rendered_rows
 from caseloom.functions.text import squeeze
 from caseloom.plans.parts import ordered_texts
-from caseloom.plans.skew import BAND, HEAVY_LIMIT, heavy_ranges, with_descending_band
+from caseloom.plans.store import stored
 
 PAGE = ["doc_id", "page_no"]
-MAX_ELEMENTS = 250_000
-BLOCK_PAGES = 256
+CHUNK = 1 << 16
+NO_BOX = "no page box"
 
 
 def select_pages(df: DataFrame, page_ids: Sequence[int] | None = None, start: int | None = None,
@@ -37,219 +37,118 @@ def normalize_line_text(df: DataFrame, *keys: str, text: str = "text") -> DataFr
     return df.select(*keys, squeeze(F.col(text)).alias("text"))
 
 
-def page_reading_order(elements: DataFrame, max_elements: int = MAX_ELEMENTS) -> DataFrame:
-    """The elements with ``reading_order`` from 1: top to bottom by ``y1``, ties by ``elem_no``.
-
-    A page with more than ``max_elements`` elements is cut into bands of height;
-    a row's rank is its rank in its band plus the sizes of the bands above.
-    """
-    ranges = heavy_ranges(elements, PAGE, "y1", max_elements)
-    top_down = [F.desc("y1"), F.asc("elem_no")]
-    if ranges is None:
-        rank = F.row_number().over(W.partitionBy(*PAGE).orderBy(*top_down))
-        return elements.withColumn("reading_order", rank.cast("long"))
-    banded = with_descending_band(elements, ranges, PAGE, "y1")
-    heavy = elements.select(*PAGE, "y1").join(F.broadcast(ranges.select(*PAGE)), PAGE, "left_semi")
-    sizes = with_descending_band(heavy, ranges, PAGE, "y1").groupBy(*PAGE, BAND).agg(F.count(F.lit(1)).alias("__size"))
-    # Per heavy page no more rows than it has bands.
-    above = sizes.select(
-        *PAGE, BAND, (F.sum("__size").over(W.partitionBy(*PAGE).orderBy(BAND)) - F.col("__size")).alias("__above")
-    )
-    return (
-        banded.withColumn("__rank", F.row_number().over(W.partitionBy(*PAGE, BAND).orderBy(*top_down)))
-        .join(above, [*PAGE, BAND], "left")
-        .withColumn("reading_order", F.col("__rank") + F.coalesce("__above", F.lit(0)))
-        .select(*elements.columns, "reading_order")
-    )
+def _top_down() -> list[Column]:
+    """The one order of a page: by upper edge, NULL ones last, then by number."""
+    return [F.desc_nulls_last("y1"), F.asc("elem_no")]
 
 
-# The walk over a page. Text never changes its state, so the folds below look at
-# rectangles only: a table is entered at the first rectangle met outside, and left
-# at the last rectangle of a run that lies below the table's lower edge. The state
-# is the table number and whether the walk is inside it. The lambdas are SQL text:
-# built from Column objects they would cost thousands of calls to the JVM.
+def page_reading_order(elements: DataFrame, spread: bool = False) -> DataFrame:
+    """The elements with ``reading_order`` from 1: top to bottom by ``y1``, NULL last, ties by ``elem_no``.
 
-_LEAVES = "coalesce({run_end} and s.t < size(tables) and r.y0 < get(tables, s.t).floor, false)"
-_NOW_INSIDE = "(s.inside or s.t < size(tables))"
-
-# Stretches taken up by tables, ends included. lo is -1 for a table entered before
-# the first element here, hi lies past the end for a table that is not left here.
-_SPANS = f"""
+    A page is ranked in one streaming sort. ``spread`` is for pages too long for a
+    task: elements are dealt out by ranges of the whole order, so that one page, or
+    one height, may lie in many of them, and ranks are counted on from range to range.
+    """
+    if not spread:
+        rank = F.row_number().over(W.partitionBy(*PAGE).orderBy(*_top_down()))
+        return elements.withColumn("reading_order", rank.cast("long"))
+    # Written, for the borders of the ranges come from a sample.
+    dealt = stored(elements.repartitionByRange(*PAGE, *_top_down()).withColumn("__range", F.spark_partition_id()), "reading-order")
+    sizes = dealt.groupBy(*PAGE, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(*PAGE).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    above = sizes.select(*PAGE, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__above"))
+    inner = F.row_number().over(W.partitionBy(*PAGE, "__range").orderBy(*_top_down()))
+    return dealt.withColumn("__rank", inner).join(above, [*PAGE, "__range"]).select(
+        *elements.columns, (F.col("__rank") + F.col("__above")).alias("reading_order"))
+
+
+# The walk over a page. Text never changes its state, so it goes over rectangles only: a table is entered at the first
+# rectangle met outside, and left at the last rectangle of a run that lies below the table's lower edge. The state is
+# the table number and whether the walk is inside it. What comes out are the stretches taken up by tables, ends
+# included; one that is not left goes on to the end of the page. The lambdas are SQL text: built from Column objects
+# they would cost thousands of calls to the JVM.
+_SPANS = """
 aggregate(
-  filter(__marked, m -> m.kind = 'R'),
-  named_struct('t', {{start_t}}, 'inside', {{start_inside}}, 'lo', -1,
-               'closed', cast(array() as array<struct<lo:int,hi:int,t:int>>)),
+  transform(rects, (r, i) -> named_struct('pos', r.pos, 'y0', r.y0, 'run_end', coalesce(get(rects, i + 1).pos <> r.pos + 1, true))),
+  named_struct('t', 0, 'inside', false, 'lo', 0L, 'closed', cast(array() as array<struct<lo:bigint,hi:bigint,t:int>>)),
   (s, r) -> get(transform(
-    array(named_struct('leaves', {_LEAVES.format(run_end="r.run_end")},
-                       'lo', if(not s.inside and s.t < size(tables), r.place, s.lo))),
+    array(named_struct('leaves', coalesce(r.run_end and s.t < size(floors) and r.y0 < get(floors, s.t), false),
+                       'lo', if(not s.inside and s.t < size(floors), r.pos, s.lo))),
     n -> named_struct(
       't', if(n.leaves, s.t + 1, s.t),
-      'inside', {_NOW_INSIDE} and not n.leaves,
+      'inside', (s.inside or s.t < size(floors)) and not n.leaves,
       'lo', n.lo,
-      'closed', if(n.leaves, concat(s.closed, array(named_struct('lo', n.lo, 'hi', r.place, 't', s.t))), s.closed))), 0),
-  s -> if(s.inside, concat(s.closed, array(named_struct('lo', s.lo, 'hi', 2147483647, 't', s.t))), s.closed))
+      'closed', if(n.leaves, concat(s.closed, array(named_struct('lo', n.lo, 'hi', r.pos, 't', s.t))), s.closed))), 0),
+  s -> if(s.inside, concat(s.closed, array(named_struct('lo', s.lo, 'hi', last_pos, 't', s.t))), s.closed))
 """
 
 
-def _marked(following: str) -> Column:
-    """Elements with their place, and for rectangles whether their run ends: the next element is no rectangle."""
-    return F.expr(f"""
-    transform(els, (e, i) -> named_struct(
-      'place', i, 'kind', e.kind, 'y0', e.y0, 'shown', e.shown, 'last', i = size(els) - 1,
-      'run_end', e.kind = 'R' and coalesce(get(els, i + 1).kind, {following}, '') <> 'R'))""")
-
+def _table_spans(ordered: DataFrame, page_tables: DataFrame, page_boxes: DataFrame) -> DataFrame:
+    """``(doc_id, page_no, lo, hi, t)``: positions taken up by the page's table number ``t``, counted from 0.
 
-def _outcomes(last_is_run_end: bool) -> Column:
-    """Where a band leads from every possible state: for each table number, from outside and from inside.
-
-    Only the band's last element depends on what follows the band; ``last_is_run_end`` decides that case.
+    Of an element its position and lower edge are gathered, and of rectangles only; of a table its lower edge.
     """
-    leaves = _LEAVES.format(run_end="(r.run_end or r.last)" if last_is_run_end else "r.run_end")
-
-    def walk(inside: str) -> str:
-        return f"""aggregate(__rects, named_struct('t', t0, 'inside', {inside}), (s, r) -> get(transform(array({leaves}),
-          leaves -> named_struct('t', if(leaves, s.t + 1, s.t), 'inside', {_NOW_INSIDE} and not leaves)), 0))"""
-
-    return F.expr(f"""transform(sequence(0, size(tables)),
-      t0 -> named_struct('outside', {walk("false")}, 'inside', {walk("true")}))""")
-
-
-def _heavy_starts(bands: DataFrame) -> DataFrame:
-    """``(doc_id, page_no, band, start_t, start_inside, following)`` for the bands of heavy pages.
-
-    Each band is boiled down, in its own task, to where it leads from every
-    state; a page then only chains those small tables.
+    rects = ordered.groupBy(*PAGE).agg(
+        F.sort_array(F.collect_list(F.when(F.col("elem_type") == "R", F.struct(F.col("reading_order").alias("pos"), "y0")))).alias("rects"),
+        F.max("reading_order").alias("last_pos"))
+    floors = page_tables.join(page_boxes, PAGE).groupBy(*PAGE).agg(
+        F.sort_array(F.collect_list(F.struct("table_no", (F.col("page_h") - F.col("bbox_bottom")).alias("floor")))).alias("t"))
+    walked = rects.join(floors.select(*PAGE, F.transform("t", lambda t: t["floor"]).alias("floors")), PAGE)
+    return walked.select(*PAGE, F.inline(F.expr(_SPANS)))
+
+
+def page_pieces(elements: DataFrame, page_tables: DataFrame, page_boxes: DataFrame, text: bool = True, table: bool = True,
+                spread: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """``(doc_id, page_no, pos, piece)``: texts and rendered tables of the pages, as rows in the order of ``pos``.
+
+    Elements are walked top to bottom. At the first rectangle of a table the
+    rendered table comes, and text is left out up to the table's last rectangle.
+    ``text`` and ``table`` switch either kind off. A page without a box has no
+    tables. Texts are held against the tables in chunks of positions, so that no
+    task gets a long page whole; ``spread`` is that of :func:`page_reading_order`.
     """
-    # While the next band is unknown its last rectangle counts as inside a run; both readings are kept.
-    rects = bands.select(
-        *PAGE, BAND, "tables", F.expr("get(els, 0).kind").alias("first_kind"),
-        F.filter(_marked("'R'"), lambda m: m["kind"] == "R").alias("__rects"),
-    )
-    small = rects.select(
-        *PAGE, BAND, "first_kind", _outcomes(False).alias("running"), _outcomes(True).alias("ending")
-    )
-    pages = small.groupBy(*PAGE).agg(
-        F.sort_array(F.collect_list(F.struct(BAND, "first_kind", "running", "ending"))).alias("bands")
-    )
-    followed = pages.withColumn("bands", F.expr(f"""
-      transform(bands, (b, i) -> named_struct('band', b.{BAND}, 'running', b.running, 'ending', b.ending, 'following',
-        get(filter(slice(bands, i + 2, size(bands)), n -> n.first_kind is not null), 0).first_kind))"""))
-    starts = F.expr("""
-      aggregate(
-        bands,
-        named_struct('t', 0, 'inside', false,
-                     'starts', cast(array() as array<struct<band:int,start_t:int,start_inside:boolean,following:string>>)),
-        (s, b) -> get(transform(
-          array(get(if(coalesce(b.following, '') = 'R', b.running, b.ending), s.t)),
-          way -> named_struct(
-            't', if(s.inside, way.inside.t, way.outside.t),
-            'inside', if(s.inside, way.inside.inside, way.outside.inside),
-            'starts', concat(s.starts, array(named_struct(
-              'band', b.band, 'start_t', s.t, 'start_inside', s.inside, 'following', b.following))))), 0),
-        s -> s.starts)""")
-    return followed.select(*PAGE, F.inline(starts)).withColumnRenamed("band", BAND)
-
-
-def assemble_page(elements: DataFrame, page_tables: DataFrame, page_boxes: DataFrame, text: bool = True,
-                  table: bool = True, max_elements: int = MAX_ELEMENTS) -> DataFrame:
-    """``(doc_id, page_no, part_no, content)``: text of each page of ``page_boxes`` with its tables in place.
-
-    Elements are walked top to bottom. Text is run together; at the first
-    rectangle of a table the rendered table comes instead, and text is left out
-    up to the table's last rectangle. ``text`` and ``table`` switch either kind
-    off. A page is one row (part 0). Only a page of more than ``max_elements``
-    elements comes as several, cut into bands that are walked in parallel from
-    start states found beforehand; its content is the parts in order.
-    """
-    ranges = heavy_ranges(elements, PAGE, "y1", max_elements)
-    keys = PAGE if ranges is None else [*PAGE, BAND]
-    banded = elements if ranges is None else with_descending_band(elements, ranges, PAGE, "y1")
-    boxes = page_boxes.select(*PAGE)
-    if table:
-        # Tables come to the pages before these are cut: the elements are then gathered and joined by band only.
-        tables = (
-            page_tables.join(page_boxes, PAGE)
-            .select(*PAGE, F.struct(
-                "table_no", (F.col("page_h") - F.col("bbox_bottom")).alias("floor"),
-                rendered_rows(F.col("cells")).alias("shown")).alias("t"))
-            .groupBy(*PAGE).agg(F.sort_array(F.collect_list("t")).alias("tables"))
-        )
-        boxes = boxes.join(tables, PAGE, "left").withColumn(
-            "tables", F.expr("coalesce(tables, cast(array() as array<struct<table_no:int,floor:double,shown:string>>))"))
-    if ranges is not None:
-        boxes = boxes.join(F.broadcast(ranges.select(*PAGE, "__bands")), PAGE, "left").select(
-            *boxes.columns, F.col("__bands").isNotNull().alias("__heavy"),
-            F.expr(f"explode(sequence(0, coalesce(__bands, 1) - 1)) as {BAND}"))
-    shown = F.when(F.col("elem_type") == "T", squeeze(F.col("text")))
-    els = (
-        banded.select(*keys, F.struct(
-            (-F.col("y1")).alias("down"), "elem_no", F.col("elem_type").alias("kind"), "y0", shown.alias("shown")).alias("e"))
-        .groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("els"))
-    )
-    bands = boxes.join(els, keys, "left").withColumn("els", F.expr(
-        "coalesce(els, cast(array() as array<struct<down:double,elem_no:bigint,kind:string,y0:double,shown:string>>))"))
+    ordered = page_reading_order(elements, spread)
+    texts = ordered.filter(F.col("elem_type") == "T").select(
+        *PAGE, F.col("reading_order").alias("pos"), squeeze(F.col("text")).alias("piece"))
     if not table:
-        content = F.expr("array_join(transform(filter(els, e -> e.kind = 'T'), e -> e.shown), '')") if text else F.lit("")
-        return _parts(bands, content, keys)
-
-    if ranges is None:
-        start = {"start_t": "0", "start_inside": "false", "following": "cast(null as string)"}
-    else:
-        bands = bands.join(_heavy_starts(bands.filter("__heavy")), keys, "left")
-        start = {"start_t": "coalesce(start_t, 0)", "start_inside": "coalesce(start_inside, false)", "following": "following"}
-    spanned = bands.withColumn("__marked", _marked(start["following"])).withColumn("__spans", F.expr(_SPANS.format(**start)))
-    outside = "not exists(__spans, s -> e.place > s.lo and e.place <= s.hi)" if text else "false"
-    content = F.expr(f"""
-      array_join(transform(__marked, e -> case
-        when e.kind = 'R' then get(tables, get(filter(__spans, s -> s.lo = e.place), 0).t).shown
-        when e.kind = 'T' and {outside} then e.shown end), '')""")
-    return _parts(spanned, content, keys)
+        return texts if text else texts.limit(0)
+    spans = _table_spans(ordered, page_tables, page_boxes)
+    numbered = page_tables.withColumn("t", F.row_number().over(W.partitionBy(*PAGE).orderBy("table_no")) - 1)
+    shown = spans.select(*PAGE, F.col("lo").alias("pos"), "t").join(
+        numbered.select(*PAGE, "t", rendered_rows(F.col("cells")).alias("piece")), [*PAGE, "t"]).select(*PAGE, "pos", "piece")
+    if not text:
+        return shown
+    # A span is cut at the borders of the chunks; in each, its beginning counts up before and its end down after the texts.
+    cut = spans.select(*PAGE, "lo", "hi", F.explode(F.expr(f"sequence(lo div {chunk}, hi div {chunk})")).alias("chunk"))
+    ends = cut.select(*PAGE, "chunk", F.inline(F.array(
+        F.struct(F.greatest("lo", F.col("chunk") * chunk).alias("pos"), F.lit(0).alias("k"), F.lit(1).alias("d")),
+        F.struct(F.least("hi", (F.col("chunk") + 1) * chunk - 1).alias("pos"), F.lit(2).alias("k"), F.lit(-1).alias("d")))))
+    marked = texts.select(*PAGE, F.expr(f"pos div {chunk}").alias("chunk"), "pos", F.lit(1).alias("k"), F.lit(0).alias("d"), "piece").unionByName(
+        ends, allowMissingColumns=True)
+    inside = F.sum("d").over(W.partitionBy(*PAGE, "chunk").orderBy("pos", "k").rowsBetween(W.unboundedPreceding, 0))
+    outside = marked.withColumn("__inside", inside).filter("k = 1 and __inside = 0").select(*PAGE, "pos", "piece")
+    return outside.unionByName(shown)
 
 
-def _parts(bands: DataFrame, content: Column, keys: Sequence[str]) -> DataFrame:
-    """One row per band; empty ones after the first are left out. Runs of line breaks become one.
-
-    The row is made by a generator, which no later filter on ``content`` can be
-    pushed through: pushed into the walk, it would fold a page anew for every element.
-    """
-    part = F.col(BAND) if BAND in keys else F.lit(0)
-    row = F.struct(part.alias("part_no"), F.regexp_replace(content, r"\n+", "\n").alias("content"))
-    parts = bands.select(*PAGE, F.inline(F.array(row)))
-    return parts.filter((F.col("part_no") == 0) | (F.col("content") != "")) if BAND in keys else parts
-
-
-def assemble_document(page_content: DataFrame, sep: str = "\n", block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """``(doc_id, page_from, part_from, n_pages, text)``: page contents in page order, joined by ``sep``.
+def assemble_page(elements: DataFrame, page_tables: DataFrame, page_boxes: DataFrame, text: bool = True,
+                  table: bool = True, spread: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """``(doc_id, page_no, content, error)``: text of each page with its tables in place, one row per page.
 
-    A document of up to ``block_pages`` pages is one row. A longer one is
-    several rows, and a page that itself comes in parts keeps a row per part.
-    The whole text is the rows in ``(page_from, part_from)`` order, with ``sep``
-    before every row that starts a page (``part_from`` 0).
+    Pages are those of ``page_boxes`` and of ``elements``; one without a box is assembled without tables and has an
+    ``error``. Runs of line breaks become one. For pages too long for a row there is :func:`page_pieces`.
     """
-    if "part_no" not in page_content.columns:
-        page_content = page_content.withColumn("part_no", F.lit(0))
-    # Pages in several parts are the heavy ones, so there are at most HEAVY_LIMIT of them.
-    cut = (
-        page_content.filter(F.col("part_no") > 0).groupBy(*PAGE).agg(F.lit(True).alias("__cut"))
-        .limit(HEAVY_LIMIT)
-        .groupBy("doc_id").agg(F.collect_list("page_no").alias("__cut_pages"))
-    )
-    placed = page_content.join(F.broadcast(cut), "doc_id", "left").select(
-        *PAGE, "part_no", "content",
-        F.expr(f"page_no div {block_pages}").alias("__block"),
-        # Cut pages stand alone and divide the pages before them from those after.
-        F.expr("coalesce(size(filter(__cut_pages, p -> p < page_no)), 0)").alias("__after"),
-        F.expr("if(coalesce(array_contains(__cut_pages, page_no), false), part_no, -1)").alias("__alone"),
-    )
-    return (
-        placed.groupBy("doc_id", "__block", "__after", "__alone")
-        .agg(
-            F.min("page_no").alias("page_from"), F.min("part_no").alias("part_from"),
-            F.sum((F.col("part_no") == 0).cast("long")).alias("n_pages"),
-            F.array_join(ordered_texts(["page_no"], "content"), sep).alias("text"),
-        )
-        .drop("__block", "__after", "__alone")
-    )
+    pieces = page_pieces(elements, page_tables, page_boxes, text, table, spread, chunk)
+    pages = page_boxes.select(*PAGE, F.lit(1).alias("box")).unionByName(elements.select(*PAGE, F.lit(0).alias("box")))
+    rows = pages.select(*PAGE, "box", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("piece")).distinct().unionByName(
+        pieces.select(*PAGE, F.lit(0).alias("box"), "pos", "piece"))
+    joined = rows.groupBy(*PAGE).agg(F.array_join(ordered_texts(["pos"], "piece"), "").alias("content"), F.max("box").alias("box"))
+    return joined.select(*PAGE, F.regexp_replace("content", r"\n+", "\n").alias("content"), F.when(F.col("box") == 0, NO_BOX).alias("error"))
+
+
+def assemble_document(page_content: DataFrame, sep: str = "\n") -> DataFrame:
+    """``(doc_id, n_pages, text)``: page contents in page order, joined by ``sep``, one row per document."""
+    return page_content.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.array_join(ordered_texts(["page_no"], "content"), sep).alias("text"))
 
 
 def collect_tables(page_tables: DataFrame, start: int, end: int) -> DataFrame:

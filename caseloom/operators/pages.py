@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions import html as H
-from caseloom.plans.parts import ordered_texts, part_number
-from caseloom.plans.skew import SALT, salt_sides, salted_left_join
+from caseloom.plans.parts import ordered_texts
+from caseloom.plans.store import stored
 
 FOLLOWED_LINKS = 5
-BLOCK_LINKS = 1024
-HOT_ROWS = 1_000_000
 
 
 def extract_main_text(pages: DataFrame, fallback: Column | None = None) -> DataFrame:
@@ -54,54 +52,37 @@ def crawl_frontier(links: DataFrame, k: int = FOLLOWED_LINKS, dense: bool = Fals
     return links.withColumn("__rank", rank).filter(F.col("__rank") <= k).select("page_id", "pos", "link")
 
 
-def _latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """One row per key, the one with the highest version; the others are cut off before the shuffle."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(version)))
-    return df.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
+def _newest(pages: DataFrame) -> DataFrame:
+    """``(link, target)``: the latest page of every url. Reads and moves ids and urls only.
 
-
-def _matched(links: DataFrame, targets: DataFrame, hot_rows: int) -> DataFrame:
-    """``links`` left-joined to the latest target per url; a link that very many pages share is split."""
-    keyed = targets.withColumnRenamed("url", "link").withColumnRenamed("page_id", "__version")
-    left, right, on = salt_sides(links, keyed, ["link"], ["page_id", "pos"], hot_rows)
-    newest = _latest(right, on, "__version").withColumn("fetched", F.lit(True))
-    return (
-        left.join(newest, on, "left")
-        .drop(SALT, "__version")
-        .withColumn("fetched", F.coalesce(F.col("fetched"), F.lit(False)))
-    )
+    Written once: both sides of a join with it are then plain scans, which the adaptive join can split.
+    """
+    return stored(pages.groupBy(F.col("url").alias("link")).agg(F.max("page_id").alias("target")), "newest")
 
 
-def crawl_join(frontier: DataFrame, page_texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def crawl_join(frontier: DataFrame, page_texts: DataFrame) -> DataFrame:
     """``(page_id, pos, link, text, fetched)``: text of every frontier link, empty where nothing was captured.
 
     ``page_texts`` is ``(page_id, url, text)``; of several captures of a url the
-    latest page counts.
+    latest page counts. Which page that is is found on ids and urls; the texts
+    come last, by page, once, and neither sorted nor ranked. A link or page that
+    very many rows share is split by the adaptive skew join.
     """
-    joined = _matched(frontier.select("page_id", "pos", "link"), page_texts.select("page_id", "url", "text"), hot_rows)
-    return joined.select("page_id", "pos", "link", F.coalesce("text", F.lit("")).alias("text"), "fetched")
+    found = frontier.select("page_id", "pos", "link").join(_newest(page_texts), "link", "left")
+    texts = page_texts.select(F.col("page_id").alias("target"), "text")
+    return found.join(texts, "target", "left").select(
+        "page_id", "pos", "link", F.coalesce("text", F.lit("")).alias("text"), F.col("target").isNotNull().alias("fetched"))
 
 
-def link_status(links: DataFrame, pages: DataFrame, k: int = FOLLOWED_LINKS, dense: bool = False,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def link_status(links: DataFrame, pages: DataFrame, k: int = FOLLOWED_LINKS, dense: bool = False) -> DataFrame:
     """``(page_id, pos, link, attempted, fetched)`` for all links. Only urls are joined, no text.
 
     ``attempted`` marks the first ``k`` links of a page, ``fetched`` those of them that were captured.
     """
-    narrow = links.select("page_id", "pos", "link")
-    if dense:
-        flagged = narrow.withColumn("attempted", F.col("pos") <= k)
-    else:
-        # The k-th smallest position per page; combined before the shuffle and joined back on a narrow key.
-        first = crawl_frontier(narrow, k).groupBy("page_id").agg(F.max("pos").alias("__kth"))
-        flagged = (
-            salted_left_join(narrow, first, ["page_id"], ["pos"], hot_rows)
-            .withColumn("attempted", F.col("pos") <= F.col("__kth")).drop("__kth")
-        )
-    joined = _matched(flagged, pages.select("page_id", "url"), hot_rows)
-    return joined.select(
-        "page_id", "pos", "link", "attempted", (F.col("attempted") & F.col("fetched")).alias("fetched")
-    )
+    rank = F.col("pos") if dense else F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
+    flagged = links.select("page_id", "pos", "link", (rank <= k).alias("attempted"))
+    return flagged.join(_newest(pages.select("page_id", "url")), "link", "left").select(
+        "page_id", "pos", "link", "attempted", (F.col("attempted") & F.col("target").isNotNull()).alias("fetched"))
 
 
 def pending_links(status: DataFrame) -> DataFrame:
@@ -135,41 +116,19 @@ def accumulate_text(page_texts: DataFrame, crawled: DataFrame) -> DataFrame:
     )
 
 
-def report_context(accumulated: DataFrame, links: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame:
-    """``(page_id, part_no, num_urls, context)``: accumulated text followed by the list of all links.
+def report_context(accumulated: DataFrame, links: DataFrame) -> DataFrame:
+    """``(page_id, num_urls, context)``: accumulated text followed by the list of all links, one row per page.
 
-    ``num_urls`` is the number of links plus one. Up to ``block_links`` links
-    (``pos`` from 1) the context is one row; a longer list continues in further
-    parts, to be run together in ``part_no`` order.
+    ``num_urls`` is the number of links plus one.
     """
-    blocks = (
-        links.withColumn("part_no", part_number(F.col("pos") - 1, block_links))
-        .groupBy("page_id", "part_no")
-        .agg(F.count(F.lit(1)).alias("__n"), F.array_join(ordered_texts(["pos"], "link"), "', '").alias("__list"))
-    )
-    totals = blocks.groupBy("page_id").agg(F.sum("__n").alias("__links"), F.max("part_no").alias("__last"))
-    heads = accumulated.join(totals, "page_id", "left").select(
-        "page_id", F.lit(0).cast("long").alias("part_no"), "all_text",
-        F.coalesce("__links", F.lit(0)).alias("__links"), F.coalesce("__last", F.lit(0)).alias("__last"),
-    )
-    first = heads.join(blocks, ["page_id", "part_no"], "left")
-    more = (
-        blocks.filter(F.col("part_no") > 0)
-        .join(heads.filter(F.col("__last") > 0).drop("part_no", "all_text"), "page_id")
-        .withColumn("all_text", F.lit(""))
-    )
-    opening = F.when(F.col("part_no") == 0, F.lit("['")).otherwise(F.lit("', '"))
-    closing = F.when(F.col("part_no") == F.col("__last"), F.lit("']")).otherwise(F.lit(""))
-    listed = F.when(F.col("__list").isNull(), F.lit("[]")).otherwise(F.concat(opening, F.col("__list"), closing))
-    return first.unionByName(more).select(
-        "page_id", "part_no", (F.col("__links") + 1).alias("num_urls"),
-        F.concat("all_text", listed).alias("context"),
-    )
+    lists = links.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("__links"), F.array_join(ordered_texts(["pos"], "link"), "', '").alias("__list"))
+    listed = F.when(F.col("__links").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("['"), F.col("__list"), F.lit("']")))
+    return accumulated.join(lists, "page_id", "left").select(
+        "page_id", (F.coalesce("__links", F.lit(0)) + 1).alias("num_urls"), F.concat("all_text", listed).alias("context"))
 
 
 def keyed_texts(page_texts: DataFrame) -> DataFrame:
     """``(file_name, page_id, url, text)``: one text per url under its md5 name; the last version written wins."""
-    texts = page_texts.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    return _latest(texts, ["url"], "page_id").select(
-        F.concat(F.md5("url"), F.lit(".txt")).alias("file_name"), "page_id", "url", "text"
-    )
+    last = page_texts.groupBy("url").agg(F.max_by(F.coalesce("text", F.lit("")), "page_id").alias("text"), F.max("page_id").alias("page_id"))
+    return last.select(F.concat(F.md5("url"), F.lit(".txt")).alias("file_name"), "page_id", "url", "text")

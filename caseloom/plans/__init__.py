@@ -1 +1 @@
-"""Plan-level building blocks: skew handling, ordered parts, stored intermediates."""
+"""Plan-level building blocks: ordered folds, stored intermediates."""

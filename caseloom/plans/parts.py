@@ -1,25 +1,13 @@
-"""Ordered folds of text, cut into bounded numbered parts.
-
-A whole text per key is a fold over a group, and a group may be arbitrarily
-large. The position of a row inside its group is known beforehand (list
-position, page number), so ``position div block`` is a grouping key that cuts
-every group into pieces of at most ``block`` positions without a second pass.
-A group that fits one block - the normal case - comes out as one row, part 0.
-Nothing is lost: the parts in ``part_no`` order, joined by the separator, are the whole text.
-"""
+"""Ordered folds of text."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-
-def part_number(position: Column, block: int) -> Column:
-    return F.floor(position / F.lit(block)).cast("long")
+from pyspark.sql import Column, functions as F
 
 
 def ordered_texts(order: Sequence[str], text: str) -> Column:
-    """Aggregate: the texts of a bounded group as an array, in the given order."""
+    """Aggregate: the texts of a group as an array, in the given order, NULL keys first."""
     rows = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("__text"))))
     return F.transform(rows, lambda r: r["__text"])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from caseloom import schemas
+from caseloom.plans.store import stored
 
 
 def uploaded_files(spark: SparkSession, path: str) -> DataFrame:
@@ -17,11 +18,11 @@ def uploaded_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_scan(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None,
-             keep_bad_rows: bool = True, multi_line: bool = True) -> DataFrame:
+             keep_bad_rows: bool = True, multi_line: bool = False) -> DataFrame:
     """A CSV table with a header line.
 
-    ``multi_line`` reads line breaks inside quotes, one file per task. Without
-    it large files are split over many tasks, but no value may hold a line break.
+    Large files are split over many tasks; no value may hold a line break then.
+    ``multi_line`` reads line breaks inside quotes, at one task per file.
 
     With a ``schema`` the file is read once; rows that do not fit it keep their
     text in ``_corrupt_record``. Without one the types are inferred, which reads
@@ -37,6 +38,21 @@ def csv_scan(spark: SparkSession, path: str | Sequence[str], schema: StructType
     return reader.schema(schema).option("mode", "PERMISSIVE").csv(path)
 
 
+def with_row_index(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """A file scan with the number of each row, from 0, in the order of files and of rows in them.
+
+    Rows are counted per piece of a file, in the task that reads it; only the pieces' sizes are added up.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from")).withColumn(
+        "__n", F.monotonically_increasing_id())
+    rows = stored(placed, "indexed")  # the counting below has to see the numbers as they were given
+    pieces = rows.groupBy("__file", "__from").agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    before = W.partitionBy().orderBy("__file", "__from").rowsBetween(W.unboundedPreceding, -1)  # a row per piece of a file
+    starts = pieces.select("__file", "__from", "__first", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    return rows.join(starts, ["__file", "__from"]).select(
+        (F.col("__n") - F.col("__first") + F.col("__start")).alias(name), *df.columns)
+
+
 def csv_export(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header, no index, quotes only where needed, NULL as an empty field, blanks kept. UTF-8 without a byte order mark."""
     (

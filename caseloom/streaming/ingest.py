@@ -1,14 +1,15 @@
-"""Files that keep arriving: every distinct content is stored once, also after a restart."""
+"""Files that keep arriving: every distinct content is one entry with its number of copies, also after a restart."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from caseloom.functions.text import file_extension
 
-STORE_SCHEMA = "md5 string, ext string, name string, copies long, batch_id long"
+STORE_SCHEMA = "md5 string, ext string, name string, copies long, run string, batch_id long"
 
 
 def arriving_files(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
@@ -32,30 +33,27 @@ def digested(uploads: DataFrame) -> DataFrame:
 
 
 def ingest_store(spark: SparkSession, store: str) -> DataFrame:
-    """What has been stored so far: ``(md5, ext, name, copies, batch_id)``, one row per content and ending."""
-    return spark.read.schema(STORE_SCHEMA).parquet(store)
+    """What has been stored so far: ``(md5, ext, name, copies)``, one row per content and ending, over all batches and runs."""
+    rows = spark.read.schema(STORE_SCHEMA).parquet(store)
+    return rows.groupBy("md5", "ext").agg(F.min("name").alias("name"), F.sum("copies").alias("copies"))
 
 
 def incremental_ingest(arrivals: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Start a run that takes everything there is and stops; each ``(md5, ext)`` enters ``store`` once.
-
-    Copies within a batch are combined before the shuffle, so a file that makes
-    up a third of the arrivals costs one row per task. What is already stored is
-    taken out by an anti join on the digests. The store itself is the memory: it
-    needs no watermark and no state in executors. A batch that is run again
-    replaces its own folder, so a restart adds nothing twice.
+    """Start a run that takes everything there is and stops.
+
+    A batch writes one row per content and ending with the number of its copies,
+    combined before the shuffle, so that a file that makes up a third of the
+    arrivals costs one row per task. Nothing stored before is read or changed:
+    :func:`ingest_store` adds the batches up. A batch has a folder of its own,
+    named by checkpoint and number: run again, it replaces that folder and counts
+    once; a new checkpoint on an old store adds folders beside the old ones, and
+    what it is given counts as arriving.
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy("md5", "ext").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("copies"))
-        try:
-            known = ingest_store(spark, store).filter(F.col("batch_id") < batch_id)
-            new = new.join(known.select("md5", "ext"), ["md5", "ext"], "left_anti")
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":  # nothing stored yet
-                raise
-        new.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        found = batch.groupBy("md5", "ext").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("copies"))
+        found.write.mode("overwrite").parquet(f"{store}/run={run}/batch_id={batch_id}")
 
     return (
         arrivals.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -81,10 +81,23 @@ def test_one_applicant_with_most_papers_is_combined_before_the_shuffle(spark):
     plan = E.missing_documents(people, given)
     assert plan.filter("doc = 'photos'").count() == 0
     text = plan._jdf.queryExecution().toString()
-    assert "partial_bit_or" in text and "CartesianProduct" not in text
+    assert "partial_collect_set" in text and "CartesianProduct" not in text
 
 
 def test_missing_in_array(spark):
     df = spark.createDataFrame([(["photos", "x"],)], "docs array<string>")
     got = df.select(E.missing_in_array(F.col("docs")).alias("m")).first().m
     assert got == sorted(set(E.REQUIRED_DOCS) - {"photos"})
+
+
+def test_missing_values_are_named(spark):
+    people = spark.createDataFrame([(1, None, "Master", 5.0, 2), (2, 20, "Master", None, None), (3, 20, None, 5.0, 2), (4, 20, "Master", 5.0, 2)], schemas.APPLICANTS)
+    got = {r.applicant_id: (r.score is None, r.error) for r in E.eligibility_score(people).collect()}
+    assert got == {1: (True, "missing: age"), 2: (True, "missing: language_score, work_experience"), 3: (True, "unknown education: NULL"), 4: (False, None)}
+
+
+def test_any_number_of_required_papers(spark):
+    names = [f"p{i:03}" for i in range(150)]
+    people = spark.createDataFrame([(1, 20, "Master", 5.0, 2)], schemas.APPLICANTS)
+    given = spark.createDataFrame([(1, n) for n in names[:100]], schemas.SUBMITTED)
+    assert [r.doc for r in E.missing_documents(people, given, names).orderBy("doc").collect()] == names[100:]

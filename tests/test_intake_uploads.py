@@ -60,3 +60,30 @@ def test_files_are_stored_once_also_after_a_restart(spark, tmp_path, rows):
     assert len(run()) == 3
     listed = {r.name: bytes(r.content) for r in files.uploaded_files(spark, str(inbox)).collect()}
     assert listed["e.pdf"] == b"two" and len(listed) == 5
+
+
+def counted(spark, store):
+    return {(r.md5, r.ext): r.copies for r in ingest.ingest_store(spark, store).collect()}
+
+
+def test_copies_add_up_over_batches_restarts_and_checkpoints(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    store = str(tmp_path / "store")
+    one, two = hashlib.md5(b"one").hexdigest(), hashlib.md5(b"two").hexdigest()
+
+    def run(checkpoint, folder=inbox):
+        found = ingest.arriving_files(spark, str(folder), files_per_batch=1)
+        ingest.incremental_ingest(found, store, str(tmp_path / checkpoint)).awaitTermination()
+        return counted(spark, store)
+
+    for i in range(3):
+        put(inbox, f"{i}.pdf", b"one")
+    assert run("first") == {(one, "pdf"): 3}
+    put(inbox, "3.pdf", b"one")
+    assert run("first") == {(one, "pdf"): 4}
+    assert run("first") == {(one, "pdf"): 4}
+    late = tmp_path / "late"
+    late.mkdir()
+    put(late, "x.pdf", b"two")
+    assert run("second", late) == {(one, "pdf"): 4, (two, "pdf"): 1}  # a new checkpoint begins at batch 0 and overwrites nothing

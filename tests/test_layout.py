@@ -10,19 +10,15 @@ from caseloom.operators import layout as L
 HEIGHT = 1000.0
 
 
-def render(cells):
-    return "\n".join("|" + "|".join("None" if c is None else c.replace("\n", " ") for c in row) + "|" for row in cells)
-
-
 def expected_page(elements, tables, text=True, table=True):
     """The page walk told over runs of like elements."""
     pieces, number, inside = [], 0, False
     ordered = sorted(elements, key=lambda e: (-e["y1"], e["elem_no"]))
     for kind, run in itertools.groupby(ordered, key=lambda e: e["elem_type"]):
         run = list(run)
-        if kind == "R" and table:
+        if kind == "R" and table and tables:
             if not inside and number < len(tables):
-                pieces.append(render(tables[number]["cells"]))
+                pieces.append(f"|t{number}|None|\n|a b|")  # what the cells of random_page look like
                 inside = True
             if inside and run[-1]["y0"] < HEIGHT - tables[number]["bbox_bottom"]:
                 number, inside = number + 1, False
@@ -65,41 +61,60 @@ def random_pages():
 
 
 @pytest.mark.parametrize("text,table", [(True, True), (False, True), (True, False)])
-@pytest.mark.parametrize("max_elements", [1000, 10])
-def test_page_walk(spark, random_pages, text, table, max_elements):
-    """With ``max_elements`` 10 most pages are cut into bands and walked in parallel."""
-    got = {}
-    result = L.assemble_page(*frames(spark, random_pages), text=text, table=table, max_elements=max_elements)
-    for r in sorted(result.collect(), key=lambda r: r.part_no):
-        got.setdefault(r.page_no, []).append(r.content)
+@pytest.mark.parametrize("spread,chunk", [(False, 1 << 16), (True, 7)])
+def test_page_walk(spark, random_pages, text, table, spread, chunk):
+    """Also with elements spread by ranges, and texts held against the tables in chunks of seven."""
+    result = L.assemble_page(*frames(spark, random_pages), text=text, table=table, spread=spread, chunk=chunk)
+    got = {r.page_no: r.content for r in result.collect()}
+    assert len(got) == len(random_pages)
+    for p, (els, tabs) in enumerate(random_pages):
+        assert got[p] == expected_page(els, tabs, text, table), p
+
+
+def test_pieces_in_order_are_the_page(spark, random_pages):
+    pieces = {}
+    for r in L.page_pieces(*frames(spark, random_pages), chunk=5).orderBy("page_no", "pos").collect():
+        pieces.setdefault(r.page_no, []).append(r.piece)
     for p, (els, tabs) in enumerate(random_pages):
-        assert "".join(got[p]) == expected_page(els, tabs, text, table), p
-    if max_elements == 1000:
-        assert all(len(parts) == 1 for parts in got.values())
+        assert re.sub("\n+", "\n", "".join(pieces.get(p, []))) == expected_page(els, tabs), p
 
 
-@pytest.mark.parametrize("max_elements", [1000, 10, 1])
-def test_reading_order(spark, random_pages, max_elements):
+@pytest.mark.parametrize("spread", [False, True])
+def test_reading_order(spark, random_pages, spread):
     elements, _, _ = frames(spark, random_pages)
     got = {}
-    for r in L.page_reading_order(elements, max_elements).collect():
+    for r in L.page_reading_order(elements, spread).collect():
         got[r.page_no, r.elem_no] = r.reading_order
     for p, (els, _) in enumerate(random_pages):
         for rank, e in enumerate(sorted(els, key=lambda e: (-e["y1"], e["elem_no"])), 1):
             assert got[p, e["elem_no"]] == rank
 
 
-def test_hot_page_is_spread(spark):
-    """A page with a third of all rows is cut into bands; ties and order stay right."""
+def test_a_hot_page_of_equal_heights_is_spread(spark):
+    """Two thirds of the rows are one page, all at one height but for an outlier and a few without height."""
     elements = spark.range(9000).selectExpr(
-        "1L as doc_id", "cast(case when id % 3 = 0 then 0 else id end as int) as page_no", "id as elem_no", "'T' as elem_type",
-        "cast(id % 700 as double) as y0", "cast(id % 700 as double) as y1", "'x' as text")
-    ordered = L.page_reading_order(elements, max_elements=500).filter("page_no = 0")
-    ranks = [r.reading_order for r in ordered.orderBy("y1", "elem_no").select("reading_order").collect()]
-    assert sorted(ranks) == list(range(1, 3001))
-    want = sorted(range(0, 9000, 3), key=lambda i: (-(i % 700), i))
-    got = [r.elem_no for r in ordered.orderBy("reading_order").collect()]
-    assert got == want
+        "1L as doc_id", "cast(case when id % 3 < 2 then 0 else id end as int) as page_no", "id as elem_no", "'T' as elem_type",
+        "0.0D as y0", "case when id = 0 then 1e9D when id % 1000 = 1 then null else 5.0D end as y1", "'x' as text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ordered = L.page_reading_order(elements, spread=True).filter("page_no = 0").collect()
+    ranges = elements.repartitionByRange(*L.PAGE, *L._top_down()).filter("page_no = 0").selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(r["count"] for r in ranges) < 2000
+    ids = [i for i in range(9000) if i % 3 < 2]
+    want = [0] + [i for i in ids if i and i % 1000 != 1] + [i for i in ids if i % 1000 == 1]
+    assert [r.elem_no for r in sorted(ordered, key=lambda r: r.reading_order)] == want
+    assert sorted(r.reading_order for r in ordered) == list(range(1, 6001))
+
+
+def test_missing_boxes_and_elements(spark):
+    elements = spark.createDataFrame([(1, 1, 0, "T", 0.0, 9.0, "nine"), (1, 1, 1, "T", 0.0, None, "none"), (1, 1, 2, "T", 0.0, 5.0, "five"),
+                                      (1, 2, 3, "T", 0.0, 1.0, "lost?")], schemas.ELEMENTS)
+    boxes = spark.createDataFrame([(1, 1, HEIGHT), (1, 3, HEIGHT)], schemas.PAGE_BOXES)
+    got = {r.page_no: (r.content, r.error) for r in L.assemble_page(elements, spark.createDataFrame([], schemas.PAGE_TABLES), boxes).collect()}
+    assert got == {1: ("ninefivenone", None), 2: ("lost?", L.NO_BOX), 3: ("", None)}
 
 
 def test_select_pages(spark, rows):
@@ -119,41 +134,18 @@ def test_page_choice_and_columns_reach_the_scan(spark, tmp_path):
     assert "unused" not in text.split("ReadSchema")[1]
 
 
-def test_a_filter_on_the_content_stays_out_of_the_walk(spark, random_pages):
-    pages = L.assemble_page(*frames(spark, random_pages)).filter("content like '%t0%'")
-    plan = pages._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
-    assert "aggregate(" not in plan and "Filter" in plan
-
-
 def test_line_text(spark):
     df = spark.createDataFrame([("  a\n b\t c \n",), ("",)], "text string")
     assert [r.text for r in L.normalize_line_text(df).collect()] == ["a b c", ""]
 
 
-def test_document_parts(spark):
-    df = spark.createDataFrame([(1, p, f"p{p}") for p in range(1, 12)] + [(2, 3, "only")], "doc_id long, page_no int, content string")
-    whole = {r.doc_id: r.text for r in L.assemble_document(df).collect()}
-    assert whole == {1: "\n".join(f"p{p}" for p in range(1, 12)), 2: "only"}
-    parts = L.assemble_document(df, block_pages=4)
-    assert told(parts) == whole and parts.filter("doc_id = 1").count() == 3
+def test_document_is_one_row(spark):
+    df = spark.createDataFrame([(1, p, f"p{p}") for p in range(1, 601)] + [(2, 3, "only")], "doc_id long, page_no int, content string")
+    got = {r.doc_id: (r.n_pages, r.text) for r in L.assemble_document(df).collect()}
+    assert got == {1: (600, "\n".join(f"p{p}" for p in range(1, 601))), 2: (1, "only")}
     assert L.assemble_document(df.filter("doc_id = 1"), sep="\n\n").first().text.startswith("p1\n\np2")
 
 
-def told(parts, sep="\n"):
-    out = {}
-    for r in sorted(parts.collect(), key=lambda r: (r.doc_id, r.page_from, r.part_from)):
-        joint = sep if r.part_from == 0 and r.doc_id in out else ""
-        out[r.doc_id] = out.get(r.doc_id, "") + joint + r.text
-    return out
-
-
-def test_document_with_a_page_in_parts(spark, random_pages):
-    whole = L.assemble_page(*frames(spark, random_pages), max_elements=1000)
-    cut = L.assemble_page(*frames(spark, random_pages), max_elements=30)
-    assert cut.filter("part_no > 0").count() > 10
-    assert told(L.assemble_document(cut, block_pages=8)) == told(L.assemble_document(whole))
-
-
 def test_collect_tables(spark, rows):
     df = spark.createDataFrame([(1, 1, 0, 5.0, [["a"], ["b", None]]), (1, 2, 0, 5.0, [["c"]]), (1, 5, 0, 5.0, [["d"]])],
                                schemas.PAGE_TABLES)

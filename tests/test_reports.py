@@ -23,15 +23,12 @@ JSON_TEXTS = [
 ]
 
 
-def test_strict_json_agrees_with_python(spark):
+VALID = {FULL, "[1, 2]", "null", '"text"', "NaN", '{"a":"]["}', '{"a":1}\n', "true", "-1.5e3", '[{"a":[]}]'}
+
+
+def test_strict_json(spark):
     got = {r.doc_id: r.ok for r in R.parse_report_json(responses(spark, *["s```json" + t for t in JSON_TEXTS])).collect()}
-    for i, text in enumerate(JSON_TEXTS):
-        try:
-            json.loads(text.strip().rstrip("`"))
-            valid = True
-        except json.JSONDecodeError:
-            valid = False
-        assert got[i] == valid, text
+    assert {text for i, text in enumerate(JSON_TEXTS) if got[i]} == VALID
 
 
 def test_split(spark):

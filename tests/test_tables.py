@@ -17,13 +17,21 @@ def texts(spark, *values):
     return spark.createDataFrame([(f"t{i}", v) for i, v in enumerate(values)], schemas.TABLE_TEXTS)
 
 
-def expected_rows(text):
-    delimiter = sorted("|\t,", key=lambda d: (-text.count(d), "|\t,".index(d)))[0]
-    return [[c.strip() for c in line.strip().split(delimiter) if c.strip()] for line in text.split("\n") if line.strip()]
-
-
 CASES = [GOLDEN, "a,b\n1,2\n", "a\tb\n1\t\t2", "plain\n\ntext", "", "a,b|c,d|", "x|y\n|\n 1 | 2 ", "\u2003x\x1f,\xa0y\n\x85\n1,\u30002", " a , b \n\r\n c,d"]
 
+ROWS = [
+    [["Product Name", "Q1 Revenue"], ["--------------", "-------------"], ["Product A", "$1,000,000"], ["Product B", "$850,000"],
+     ["Product C", "$750,000"], ["Product D"]],
+    [["a", "b"], ["1", "2"]],
+    [["a", "b"], ["1", "2"]],
+    [["plain"], ["text"]],
+    [],
+    [["a,b", "c,d"]],
+    [["x", "y"], [], ["1", "2"]],
+    [["x", "y"], ["1", "2"]],
+    [["a", "b"], ["c", "d"]],
+]
+
 
 def test_parse(spark):
     got = {}
@@ -31,7 +39,7 @@ def test_parse(spark):
         got.setdefault(r.table_id, []).append(r.cells)
         assert r.header == got[r.table_id][0]
     for i, text in enumerate(CASES):
-        assert got.get(f"t{i}", []) == expected_rows(text), text
+        assert got.get(f"t{i}", []) == ROWS[i], text
     kept = T.parse_table_rows(texts(spark, "a,,b"), keep_empty=True).first().cells
     assert kept == ["a", "", "b"]
     assert [r.delimiter for r in T.detect_delimiter(texts(spark, *CASES)).orderBy("table_id").collect()] == \
@@ -98,10 +106,25 @@ def test_csv_is_what_pandas_writes(spark, tmp_path):
     buffer = io.StringIO()
     pd.DataFrame(VALUES, columns=["s", "n"]).astype({"n": "Int64"}).to_csv(buffer, index=False)
     assert written == buffer.getvalue()
-    back = files.csv_scan(spark, path, "s string, n int").select("s", "n").collect()
+    back = files.csv_scan(spark, path, "s string, n int", multi_line=True).select("s", "n").collect()
     assert sorted(map(tuple, back), key=str) == sorted(VALUES, key=str)
 
 
+def test_row_index_is_that_of_the_file(spark, tmp_path):
+    path = str(tmp_path / "rows.csv")
+    with open(path, "w") as f:
+        f.write("n,t\n" + "".join(f"{i},{'x' * 50}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30k")
+    try:
+        scanned = files.csv_scan(spark, path, "n int, t string", keep_bad_rows=False)
+        assert scanned.rdd.getNumPartitions() > 5
+        got = files.with_row_index(scanned).select("row_no", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 5000 and all(r.row_no == r.n for r in got)
+
+
 def test_csv_scan(spark, tmp_path):
     path = str(tmp_path / "in.csv")
     open(path, "w", encoding="utf-8").write("a,b\n1,x\nbad,y\n")
