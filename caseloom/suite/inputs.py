@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from caseloom.operators.eligibility import REQUIRED_DOCS
+
 PROMPT = "Répondez avec le document."
 
 
@@ -25,19 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def applicants(spark, sf_dir):
+    """Profiles; some diplomas are unknown, some ages, marks or years missing."""
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey as applicant_id",
-        "cast(18 + c_custkey % 43 as int) as age",
-        "case c_custkey % 4 when 0 then 'Secondaire' when 1 then 'Baccalauréat' when 2 then 'Master' else 'Doctorat' end as education",
-        "cast(c_custkey % 19 as double) / 2 as language_score",
-        "cast(c_custkey % 16 as int) as work_experience",
+        "if(c_custkey % 31 = 5, null, cast(18 + c_custkey % 43 as int)) as age",
+        """case c_custkey % 4 when 0 then 'Secondaire' when 1 then 'Baccalauréat' when 2 then 'Master'
+             else case c_custkey % 5 when 0 then 'Licence' when 1 then null else 'Doctorat' end end as education""",
+        "if(c_custkey % 37 = 6, null, cast(c_custkey % 19 as double) / 2) as language_score",
+        "if(c_custkey % 31 = 5, null, cast(c_custkey % 16 as int)) as work_experience",
     )
 
 
 def submitted(spark, sf_dir):
     """Papers handed in: each of the five, but for every seventh combination of applicant and paper."""
-    papers = ["passeport", "photos", "relevé_bancaire", "lettre_invitation", "preuve_linguistique"]
-    listed = F.array(*[F.struct(F.lit(i).alias("doc_no"), F.lit(name).alias("doc")) for i, name in enumerate(papers)])
+    listed = F.array(*[F.struct(F.lit(i).alias("doc_no"), F.lit(name).alias("doc")) for i, name in enumerate(REQUIRED_DOCS)])
     return (
         table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("applicant_id"), F.inline(listed))
         .filter("(applicant_id * 3 + doc_no) % 7 <> 0").select("applicant_id", "doc")
@@ -53,39 +56,57 @@ def uploads(spark, sf_dir):
 
 
 def messages(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id", "turn", "role",
-        "case when conv_id % 2 = 0 then array(text) end as parts",
-        "case when conv_id % 2 = 1 then text end as content",
-    )
+    """The logs, and one long conversation (-1) with a message of every log, gaps in its numbers and one without number."""
+    shapes = ["case when conv_id % 2 = 0 then array(text) end as parts", "case when conv_id % 2 = 0 then null else text end as content"]
+    logs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    long = logs.filter("turn = 0").selectExpr(
+        "-1L as conv_id", "nullif(conv_id, 0) * 3 as turn", "if(conv_id % 3 = 2, 'assistant', 'user') as role", "'m' || conv_id as text")
+    return logs.unionByName(long).selectExpr("conv_id", "turn", "role", *shapes)
 
 
 def conversation_docs(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id").distinct().selectExpr(
-        "conv_id", "case when conv_id % 10 = 9 then null else conv_id end as doc_id"
-    )
+    """A document for most conversations; every fourth has the same one, every tenth none."""
+    return table(spark, sf_dir, "conversations").filter("turn = 0").selectExpr(
+        "conv_id", "case when conv_id % 10 = 9 then null when conv_id % 4 = 0 then 0L else conv_id end as doc_id"
+    ).unionByName(spark.range(1).selectExpr("-1L as conv_id", "1L as doc_id"))
 
 
 def report_runs(spark, sf_dir):
-    """Two report runs for every third conversation."""
-    return table(spark, sf_dir, "conversations").filter("turn = 0 and conv_id % 3 = 0").selectExpr(
-        "conv_id", "explode(array(0, 1)) as run", "role"
+    """Reports of every conversation; every second one lacks run 1."""
+    return table(spark, sf_dir, "conversations").filter("turn = 0").selectExpr(
+        "conv_id", "explode(if(conv_id % 2 = 0, array(0, 1, 2), array(0, 2))) as run"
     ).selectExpr("conv_id", "run", "'rapport ' || run || ' de ' || conv_id as response")
 
 
 def pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    """Captured pages with further markup at their end; every tenth is a later capture of an address that others have as well."""
+    return table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "if(page_id % 10 = 9, 'https://again.example.org/x/y' || page_id div 40, url) as url",
+        """html || case page_id % 6
+             when 0 then '<p>Caf&eacute; &#233;t&#xE9; &amp;lt; &hellip;</p>'
+             when 1 then '<SCRIPT>var t="<p>no</p>";</SCRIPT><DIV CLASS="ad big">buy<div>in</div>more</DIV><P>after</P>'
+             when 2 then '<a href="p?a=1&amp;b=2">x</a><A HREF=q>u</A><a class=c href=\\'r#s\\'>v</a>'
+             when 3 then '<a href="../x/./y">d</a><a href="/a/../b/">e</a>'
+             when 4 then '<div class=\\'x ad\\'>no</div><div data-class="ad">kept</div>'
+             else '' end as html""".replace("\\\\", "\\"),
+    )
+
+
+def bare_pages(spark, sf_dir):
+    """Pages of which every seventh came without text, next to a second capture (``other``) of all."""
+    return table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "url", "if(page_id % 7 = 0, '<head><title>wait</title></head>', html) as html", "'<p>second ' || page_id || '</p>' as other")
 
 
 def link_plan(spark, sf_dir):
-    """One to eight links per page; every fifth leads nowhere."""
+    """One to eight links per page, forty on the first; every fifth leads nowhere and every third to the first page."""
     all_pages = table(spark, sf_dir, "pages")
     n_pages = all_pages.agg(F.count(F.lit(1))).scalar()
     wanted = (
-        all_pages.selectExpr("page_id", "explode(sequence(1, cast(1 + page_id % 8 as int))) as pos")
-        .withColumn("__to", (F.col("page_id") * 7 + F.col("pos") * 13) % n_pages)
+        all_pages.selectExpr("page_id", "explode(sequence(1, cast(if(page_id = 0, 40, 1 + page_id % 8) as int))) as pos")
+        .withColumn("__to", F.when((F.col("page_id") + F.col("pos")) % 3 == 0, 0).otherwise((F.col("page_id") * 7 + F.col("pos") * 13) % n_pages))
     )
-    targets = all_pages.selectExpr("page_id as __to", "url")
+    targets = pages(spark, sf_dir).selectExpr("page_id as __to", "url")
     return wanted.join(targets, "__to").selectExpr(
         "page_id", "pos",
         "case when (page_id + pos) % 5 = 0 then 'https://missing.example.org/' || page_id || '/' || pos else url end as link",
@@ -97,7 +118,7 @@ def responses(spark, sf_dir):
         "doc_id", "lang",
         """'{"sujets_principaux":["' || source || '","' || lang || '"],"thèmes_clés":[{"thème":"' || lang
            || '","description":"d' || doc_id || '","sujets_connexes":["' || source
-           || '"]}],"points_de_données_significatifs":[],"insights":[{"insight":"i' || doc_id
+           || '","voisin"]}],"points_de_données_significatifs":[{"point_de_donnée":"' || doc_id || '","contexte":"' || lang || '"}],"insights":[{"insight":"i' || doc_id
            || '","explication":"' || lang || '"}]}' as j""",
     )
     return docs.selectExpr(
@@ -112,27 +133,40 @@ def responses(spark, sf_dir):
 
 
 def status_pages(spark, sf_dir):
+    """Portal pages in four ways of writing the same markup."""
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as case_key",
         "cast(case when o_orderkey % 17 = 0 then 500 else 200 end as int) as status_code",
-        """case when o_orderkey % 10 = 0 then '<p>maintenance</p>' else
-             '<table><tr><td>PR</td> <td><a href="viewcasestatus.do?id=' || o_orderkey || '&type=prCases">' || chr(10)
-             || case o_orderstatus when 'F' then ' Decision  Made' when 'O' then ' In  Process' else 'Application Received ' end
-             || '</a></td></tr></table><ul><li class="mrgn-bttm-md">Received ' || o_orderpriority
-             || '</li><li class="other">x</li><li class="mrgn-bttm-md">A <b>b</b> c</li></ul>' end as html""",
-    )
+        "case o_orderstatus when 'F' then ' Decision  Made' when 'O' then ' In  Process' else 'Application Received ' end as said",
+        "o_orderpriority as pr", "o_orderkey as k",
+    ).selectExpr(
+        "case_key", "status_code",
+        """case when k % 10 = 0 then '<p>maintenance</p>'
+             when k % 10 = 1 then '<TABLE><TR><TD>PR</TD> <TD><A CLASS="c" HREF="viewcasestatus.do?id=' || k || '&amp;type=prCases">' || chr(10) || said
+               || '</A></TD></TR></TABLE><UL><LI CLASS="a mrgn-bttm-md b">Received ' || pr || '</LI><li data-class="mrgn-bttm-md">no</li></UL>'
+             when k % 10 = 2 then '<table><tr><td>PR</td><td><a href=viewcasestatus.do?id=' || k || '&type=prCases>' || said
+               || '</a></td></tr></table><ul><li class=mrgn-bttm-md>Re&ccedil;u &amp; ' || pr || '</li></ul>'
+             when k % 10 = 3 then '<table><tr><td>PR</td><td><a href="viewcasestatus.do?type=prCases">' || said || '</a></td></tr></table>'
+             when k % 10 = 4 then replace('<table><tr><td>PR</td> <td><a href="v.do?id=' || k || '&type=prCases">' || said
+               || '</a></td></tr></table><ul><li class="mrgn-bttm-md">Received ' || pr || '</li></ul>', '"', chr(39))
+             else '<table><tr><td>PR</td> <td><a href="viewcasestatus.do?id=' || k || '&type=prCases">' || chr(10) || said
+               || '</a></td></tr></table><ul><li class="mrgn-bttm-md">Received ' || pr
+               || '</li><li class="other">x</li><li class="mrgn-bttm-md">A <b>b</b> c</li></ul>' end as html""")
 
 
 def elements(spark, sf_dir):
+    """Elements of which a fifth lies on one page, many at one height, and some without height."""
     return table(spark, sf_dir, "events").selectExpr(
-        "user_id as doc_id", "cast(1 + event_id % 5 as int) as page_no", "event_id as elem_no",
-        "case when event_type = 'error' then 'R' else 'T' end as elem_type",
-        "1000 - value - 5 as y0", "1000 - value as y1", "event_type || '  ' || event_id || ';' as text",
-    )
+        "if(event_id % 5 = 3, 0L, user_id) as doc_id", "if(event_id % 5 = 3, 1, cast(1 + event_id % 5 as int)) as page_no",
+        "event_id as elem_no", "case when event_type = 'error' then 'R' else 'T' end as elem_type",
+        "if(event_id % 101 = 7, null, if(event_id % 4 = 0, 500.0D, 1000 - value)) as y1", "event_type || '  ' || event_id || ';' as text",
+    ).selectExpr("doc_id", "page_no", "elem_no", "elem_type", "y1 - 5 as y0", "y1", "text")
 
 
 def page_boxes(spark, sf_dir):
-    return elements(spark, sf_dir).select("doc_id", "page_no").distinct().withColumn("page_h", F.lit(1000.0))
+    """Boxes of most pages, and one of a page without elements."""
+    boxes = elements(spark, sf_dir).select("doc_id", "page_no").distinct().filter("(doc_id + page_no) % 13 <> 4")
+    return boxes.unionByName(spark.range(1).selectExpr("-1L as doc_id", "1 as page_no")).withColumn("page_h", F.lit(1000.0))
 
 
 def page_tables(spark, sf_dir):
@@ -147,7 +181,7 @@ def page_tables(spark, sf_dir):
 
 
 def table_texts(spark, sf_dir):
-    """Parts as table texts of at most a thousand part numbers, with the delimiter chosen by brand."""
+    """Parts as table texts of at most a thousand part numbers, with the delimiter chosen by brand; some rows have a cell too many."""
     parts = table(spark, sf_dir, "part").selectExpr(
         "p_brand || '/' || (p_partkey div 1000) as table_id", "p_partkey", "p_name", "p_size",
         "case cast(substr(p_brand, 7) as int) % 3 when 0 then '|' when 1 then chr(9) else ',' end as dl",
@@ -156,7 +190,8 @@ def table_texts(spark, sf_dir):
     return rows.selectExpr(
         "table_id",
         """concat(dl, 'p_partkey', dl, 'p_name', dl, 'p_size', dl, chr(10),
-             array_join(transform(rows, x -> concat(dl, ' ', x.p_partkey, ' ', dl, x.p_name, dl, x.p_size, dl)), chr(10))) as text""",
+             array_join(transform(rows, x -> concat(dl, ' ', x.p_partkey, ' ', dl, x.p_name, dl, x.p_size, dl,
+               if(x.p_partkey % 11 = 3, 'more' || dl, ''))), chr(10))) as text""",
     )
 
 

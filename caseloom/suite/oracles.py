@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from caseloom.functions.html import ENTITIES
-from caseloom.operators.intake import EMAIL
-from caseloom.suite.inputs import PROMPT
-
 ORACLES: dict[str, str] = {}
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
+PROMPT = "'Répondez avec le document.'"
+EMAIL = (r"'^[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
+         r"(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$'")
 
 
 # --- input relations ------------------------------------------------------------------------------------------------
 
 APPLICANTS = """applicants as (
-  select c_custkey as applicant_id, cast(18 + c_custkey % 43 as int) as age,
-         case c_custkey % 4 when 0 then 'Secondaire' when 1 then 'Baccalauréat' when 2 then 'Master' else 'Doctorat' end as education,
-         cast(c_custkey % 19 as double) / 2 as language_score, cast(c_custkey % 16 as int) as work_experience
+  select c_custkey as applicant_id, case when c_custkey % 31 = 5 then null else cast(18 + c_custkey % 43 as int) end as age,
+         case c_custkey % 4 when 0 then 'Secondaire' when 1 then 'Baccalauréat' when 2 then 'Master'
+           else case c_custkey % 5 when 0 then 'Licence' when 1 then null else 'Doctorat' end end as education,
+         case when c_custkey % 37 = 6 then null else cast(c_custkey % 19 as double) / 2 end as language_score,
+         case when c_custkey % 31 = 5 then null else cast(c_custkey % 16 as int) end as work_experience
   from customer)"""
 
 REQUIRED = """required_docs as (
@@ -26,18 +25,34 @@ REQUIRED = """required_docs as (
 submitted as (select applicant_id, doc from applicants cross join required_docs where (applicant_id * 3 + doc_no) % 7 <> 0)"""
 
 MESSAGES = """messages as (
-  select conv_id, turn, role, text from conversations)"""
+  select conv_id, turn, role, text from conversations
+  union all
+  select -1, nullif(conv_id, 0) * 3, case when conv_id % 3 = 2 then 'assistant' else 'user' end, 'm' || conv_id from conversations where turn = 0)"""
 
 CONV_DOCS = """conv_docs as (
-  select distinct conv_id, case when conv_id % 10 = 9 then null else conv_id end as doc_id from conversations)"""
+  select conv_id, case when conv_id % 10 = 9 then null when conv_id % 4 = 0 then 0 else conv_id end as doc_id from conversations where turn = 0
+  union all select -1, 1)"""
+
+CAPTURED = """captured as (
+  select page_id, case when page_id % 10 = 9 then 'https://again.example.org/x/y' || (page_id // 40) else url end as url,
+    html || case page_id % 6
+      when 0 then '<p>Caf&eacute; &#233;t&#xE9; &amp;lt; &hellip;</p>'
+      when 1 then '<SCRIPT>var t="<p>no</p>";</SCRIPT><DIV CLASS="ad big">buy<div>in</div>more</DIV><P>after</P>'
+      when 2 then '<a href="p?a=1&amp;b=2">x</a><A HREF=q>u</A><a class=c href=''r#s''>v</a>'
+      when 3 then '<a href="../x/./y">d</a><a href="/a/../b/">e</a>'
+      when 4 then '<div class=''x ad''>no</div><div data-class="ad">kept</div>'
+      else '' end as html
+  from pages),
+newest as (select url, max(page_id) as page_id from captured group by url)"""
 
-LINK_PLAN = """link_plan as (
+LINK_PLAN = f"""{CAPTURED},
+link_plan as (
   select a.page_id, cast(k.pos as int) as pos,
          case when (a.page_id + k.pos) % 5 = 0
               then 'https://missing.example.org/' || a.page_id || '/' || k.pos else b.url end as link
-  from pages a cross join (values (1),(2),(3),(4),(5),(6),(7),(8)) as k(pos)
-  join pages b on b.page_id = (a.page_id * 7 + k.pos * 13) % (select count(*) from pages)
-  where k.pos <= 1 + a.page_id % 8)"""
+  from pages a cross join (select unnest(range(1, 41)) as pos) as k
+  join captured b on b.page_id = case when (a.page_id + k.pos) % 3 = 0 then 0 else (a.page_id * 7 + k.pos * 13) % (select count(*) from pages) end
+  where k.pos <= case when a.page_id = 0 then 40 else 1 + a.page_id % 8 end)"""
 
 RESPONSES = """responses as (
   select doc_id, lang, j, case doc_id % 5
@@ -48,24 +63,27 @@ RESPONSES = """responses as (
     else 'Résumé: ' || lang || ' ```json ' || j end as response
   from (select doc_id, lang, '{"sujets_principaux":["' || source || '","' || lang || '"],"thèmes_clés":[{"thème":"' || lang
           || '","description":"d' || doc_id || '","sujets_connexes":["' || source
-          || '"]}],"points_de_données_significatifs":[],"insights":[{"insight":"i' || doc_id
+          || '","voisin"]}],"points_de_données_significatifs":[{"point_de_donnée":"' || doc_id || '","contexte":"' || lang || '"}],"insights":[{"insight":"i' || doc_id
           || '","explication":"' || lang || '"}]}' as j from documents) x)"""
 
+# The four ways of writing hold the same things, so the plain contents are told here and not read out of the markup.
 STATUS_PAGES = """status_pages as (
   select o_orderkey as case_key, cast(case when o_orderkey % 17 = 0 then 500 else 200 end as int) as status_code,
-    case when o_orderkey % 10 = 0 then '<p>maintenance</p>' else
-     '<table><tr><td>PR</td> <td><a href="viewcasestatus.do?id=' || o_orderkey || '&type=prCases">' || chr(10)
-     || case o_orderstatus when 'F' then ' Decision  Made' when 'O' then ' In  Process' else 'Application Received ' end
-     || '</a></td></tr></table><ul><li class="mrgn-bttm-md">Received ' || o_orderpriority
-     || '</li><li class="other">x</li><li class="mrgn-bttm-md">A <b>b</b> c</li></ul>' end as html
+    case when o_orderkey % 10 = 0 then null when o_orderstatus = 'F' then 'DecisionMade' when o_orderstatus = 'O' then 'InProcess'
+         else 'ApplicationReceived' end as status,
+    case when o_orderkey % 10 not in (0, 3) then cast(o_orderkey as varchar) end as case_id,
+    case when o_orderkey % 10 in (0, 3) then [] when o_orderkey % 10 in (1, 4) then ['Received ' || o_orderpriority]
+         when o_orderkey % 10 = 2 then ['Reçu & ' || o_orderpriority] else ['Received ' || o_orderpriority, null] end as items
   from orders)"""
 
 ELEMENTS = """elements as (
-  select user_id as doc_id, cast(1 + event_id % 5 as int) as page_no, event_id as elem_no,
-         case when event_type = 'error' then 'R' else 'T' end as elem_type,
-         1000 - value - 5 as y0, 1000 - value as y1, event_type || '  ' || event_id || ';' as text
+  select case when event_id % 5 = 3 then 0 else user_id end as doc_id, case when event_id % 5 = 3 then 1 else cast(1 + event_id % 5 as int) end as page_no,
+         event_id as elem_no, case when event_type = 'error' then 'R' else 'T' end as elem_type,
+         (case when event_id % 101 = 7 then null when event_id % 4 = 0 then 500.0::double else 1000 - value end) - 5 as y0,
+         case when event_id % 101 = 7 then null when event_id % 4 = 0 then 500.0::double else 1000 - value end as y1,
+         event_type || '  ' || event_id || ';' as text
   from events),
-boxes as (select distinct doc_id, page_no from elements)"""
+boxes as (select distinct doc_id, page_no, (doc_id + page_no) % 13 <> 4 as boxed from elements union all select -1, 1, true)"""
 
 CELL_ROWS = """cell_rows as (
   select o_custkey as doc_id, cast(1 + o_orderkey % 6 as int) as page_no, 0 as table_no, o_orderkey as row_no,
@@ -88,24 +106,29 @@ _RAW_SCORE = """(case when age between 18 and 35 then 1.0::double when age betwe
     + least(language_score / 9.0::double, 1.0::double) * 0.3::double
     + least(work_experience / 6.0::double, 1.0::double) * 0.25::double"""
 
+_KNOWN = "education in ('Secondaire', 'Baccalauréat', 'Master', 'Doctorat') and age is not null and language_score is not null and work_experience is not null"
 SCORES = f"""scores as (
-  select applicant_id, greatest(0.0::double, least(1.0::double, {_RAW_SCORE})) as score from applicants)"""
+  select *, case when {_KNOWN} then greatest(0.0::double, least(1.0::double, {_RAW_SCORE})) end as score from applicants)"""
 
 BANDED = """banded as (
   select applicant_id, score,
-         case when score >= 0.8::double then 'top' when score >= 0.6::double then 'good' when score >= 0.3::double then 'medium' else 'limited' end as band
+         case when score is null then null when score >= 0.8::double then 'top' when score >= 0.6::double then 'good' when score >= 0.3::double then 'medium' else 'limited' end as band
   from scores)"""
 
 ORACLES["eligibility_score"] = f"""with {APPLICANTS}, {SCORES}
-select applicant_id, round(score, 6) as score, cast(null as varchar) as error from scores"""
+select applicant_id, round(score, 6) as score,
+  case when education is null then 'unknown education: NULL' when education = 'Licence' then 'unknown education: Licence'
+       when score is null then 'missing: ' || array_to_string(list_filter([case when age is null then 'age' end,
+         case when language_score is null then 'language_score' end, case when work_experience is null then 'work_experience' end], lambda x: x is not null), ', ')
+  end as error from scores"""
 
 ORACLES["eligibility_score_jitter"] = f"""with {APPLICANTS}
-select applicant_id, round(greatest(0.0::double, least(1.0::double, {_RAW_SCORE}
-    + (('0x' || substr(md5(applicant_id || '|42'), 1, 8))::bigint / 4294967296.0::double) * 0.1::double - 0.05::double)), 6) as score
+select applicant_id, case when {_KNOWN} then round(greatest(0.0::double, least(1.0::double, {_RAW_SCORE}
+    + (('0x' || substr(md5(applicant_id || '|42'), 1, 8))::bigint / 4294967296.0::double) * 0.1::double - 0.05::double)), 6) end as score
 from applicants"""
 
 ORACLES["eligibility_band"] = f"""with {APPLICANTS}, {SCORES}, {BANDED}
-select applicant_id, band, printf('%.2f%%', score * 100) as percent from banded"""
+select applicant_id, band, case when score is not null then printf('%.2f%%', score * 100) end as percent from banded"""
 
 ORACLES["band_summary"] = f"""with {APPLICANTS}, {SCORES}, {BANDED}
 select band, count(*) as n, round(avg(score), 6) as mean_score, round(min(score), 6) as min_score, round(max(score), 6) as max_score
@@ -129,77 +152,94 @@ _ROLE = "case when role = 'user' then 'user' else 'model' end"
 
 ORACLES["normalize_messages"] = f"""with {MESSAGES} select conv_id, turn, {_ROLE} as role, text from messages"""
 
-ORACLES["conversation_context"] = f"""with {MESSAGES},
-log as (select conv_id, turn, role, text as question, turn // 256 as part_no,
-          string_agg({_ROLE} || ': ' || text, chr(10)) over (partition by conv_id, turn // 256 order by turn
-             rows between unbounded preceding and current row) as history
-        from messages)
-select conv_id, turn, part_no, question, history from log where role = 'user'"""
-
-ORACLES["sliding_context"] = f"""with {MESSAGES}
-select a.conv_id, a.turn,
-       coalesce(string_agg(case when b.role = 'user' then 'user' else 'model' end || ': ' || b.text, chr(10) order by b.turn), '') as history
-from messages a left join messages b on b.conv_id = a.conv_id and b.turn between a.turn - 3 and a.turn - 1
-where a.role = 'user' group by a.conv_id, a.turn"""
-
-ORACLES["build_prompt"] = f"""with {MESSAGES}, {CONV_DOCS}
-select m.conv_id, m.turn, c.doc_id,
-       {_text(PROMPT)} || chr(10) || chr(10) || 'Document content:' || chr(10) || coalesce(d.text, 'None') || chr(10) || chr(10)
-       || 'User question: ' || m.text || chr(10) || chr(10) || 'Answer:' as prompt
-from messages m join conv_docs c using (conv_id) left join documents d on d.doc_id = c.doc_id
-where m.role = 'user'"""
+_TOLD = f"{_ROLE} || ': ' || text"
+LOG = f"""{MESSAGES}, log as (
+  select conv_id, turn, role, text, {_TOLD} as told, row_number() over (partition by conv_id order by turn nulls first) as n from messages)"""
+
+ORACLES["conversation_context"] = f"""with {LOG}
+select a.conv_id, a.turn, a.text as question, string_agg(b.told, chr(10) order by b.n) as history
+from log a join log b on b.conv_id = a.conv_id and b.n <= a.n where a.role = 'user' group by a.conv_id, a.turn, a.n, a.text"""
+
+ORACLES["sliding_context"] = f"""with {LOG}
+select a.conv_id, a.turn, coalesce(string_agg(b.told, chr(10) order by b.n), '') as history
+from log a left join log b on b.conv_id = a.conv_id and b.n between a.n - 3 and a.n - 1
+where a.role = 'user' group by a.conv_id, a.turn, a.n"""
+
+
+def _prompt(ending: str) -> str:
+    return (f"{PROMPT} || chr(10) || chr(10) || 'Document content:' || chr(10) || coalesce(d.text, 'None') || chr(10) || chr(10) "
+            f"|| 'User question: ' || m.text || chr(10) || chr(10) || '{ending}'")
+
+
+_ASKED = "log m join conv_docs c using (conv_id) left join documents d on d.doc_id = c.doc_id"
+ORACLES["build_prompt"] = f"""with {LOG}, {CONV_DOCS}
+select m.conv_id, m.turn, c.doc_id, {_prompt('Answer:')} as prompt from {_ASKED} where m.role = 'user'"""
+ORACLES["build_prompt_tabular"] = f"""with {LOG}, {CONV_DOCS}
+select m.conv_id, m.turn, c.doc_id, {_prompt('Answer in a clear, tabular format with headers: ')} as prompt from {_ASKED} where m.role = 'user'"""
+ORACLES["build_prompt_with_history"] = f"""with {LOG}, {CONV_DOCS},
+past as (select a.conv_id, a.n, coalesce(string_agg(b.told, chr(10) order by b.n), '') as history
+         from log a left join log b on b.conv_id = a.conv_id and b.n < a.n where a.role = 'user' group by a.conv_id, a.n)
+select m.conv_id, m.turn, md5({_prompt('Answer:')}) as prompt_md5, p.history
+from {_ASKED} join past p on p.conv_id = m.conv_id and p.n = m.n"""
 
 _CAPITAL = "upper(substr(role, 1, 1)) || lower(substr(role, 2))"
 _MD_LINE = f"'## ' || {_CAPITAL} || chr(10) || chr(10) || text || chr(10) || chr(10)"
 
 ORACLES["export_transcript_md"] = f"""with {MESSAGES}
-select conv_id, turn // 256 as part_no, count(*) as n_messages,
-       case when turn // 256 = 0 then '# Chat History' || chr(10) || chr(10) else '' end
-       || string_agg({_MD_LINE}, '' order by turn) as text
-from messages group by conv_id, turn // 256"""
+select conv_id, count(*) as n_messages, '# Chat History' || chr(10) || chr(10) || string_agg({_MD_LINE}, '' order by turn nulls first) as text
+from messages group by conv_id"""
 
 ORACLES["export_transcript_html"] = f"""with {MESSAGES},
 lines as (select conv_id, turn, '<h2>' || {_CAPITAL} || '</h2>' || array_to_string(list_transform(
             list_filter(list_transform(regexp_split_to_array(text, '\\n[ \\t]*\\n'), lambda p: trim(p, ' ')), lambda p: p <> ''),
             lambda p: chr(10) || '<p>' || p || '</p>'), '') as line from messages)
-select conv_id, turn // 256 as part_no, count(*) as n_messages,
-       case when turn // 256 = 0 then '<h1>Chat History</h1>' || chr(10) else '' end || string_agg(line, chr(10) order by turn) as text
-from lines group by conv_id, turn // 256"""
+select conv_id, count(*) as n_messages, '<h1>Chat History</h1>' || chr(10) || string_agg(line, chr(10) order by turn nulls first) as text
+from lines group by conv_id"""
 
 ORACLES["export_message"] = f"""with {MESSAGES}
 select conv_id, turn, '# Chat History' || chr(10) || chr(10) || {_MD_LINE} as text from messages"""
 
 ORACLES["append_messages"] = f"""with {MESSAGES},
-last as (select conv_id, max(turn) as t from messages group by conv_id)
+last as (select conv_id, max(turn) as t from messages where conv_id >= 0 group by conv_id),
+runs as (select * from last cross join (values (0),(1),(2)) as r(run) where run <> 1 or conv_id % 2 = 0)
 select conv_id, turn, role, text from messages
-union all
-select conv_id, t + 1 + 2 * run, 'user', 'Generate comprehensive report' from last cross join (values (0),(1)) as r(run) where conv_id % 3 = 0
-union all
-select conv_id, t + 2 + 2 * run, 'model', 'rapport ' || run || ' de ' || conv_id from last cross join (values (0),(1)) as r(run) where conv_id % 3 = 0"""
+union all select conv_id, t + 1 + 2 * run, 'user', 'Generate comprehensive report' from runs
+union all select conv_id, t + 2 + 2 * run, 'model', 'rapport ' || run || ' de ' || conv_id from runs"""
 
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 
 def _unescaped(expr: str) -> str:
-    for reference, char in ENTITIES:
-        expr = f"replace({expr}, {_text(reference)}, {_text(char)})"
+    """The references that the pages hold; the ampersand last."""
+    held = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"),
+            ("&eacute;", "é"), ("&#233;", "é"), ("&#xE9;", "é"), ("&hellip;", "…"), ("&ccedil;", "ç"), ("&amp;", "&")]
+    for reference, char in held:
+        expr = f"replace({expr}, '{reference}', '{char}')"
     return expr
 
 
-_STRIPPED = r"""regexp_replace(html, '(?s)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<nav\b[^>]*>.*?</nav>|<footer\b[^>]*>.*?</footer>|<head\b[^>]*>.*?</head>|<div class="ad">.*?</div>|<[^>]+>', ' ', 'g')"""
-_MAIN_TEXT = f"nullif(trim(regexp_replace({_unescaped(_STRIPPED)}, '[ \\t\\r\\n]+', ' ', 'g'), ' '), '')"
-TEXTS = f"texts as (select page_id, url, {_MAIN_TEXT} as text from pages)"
+_STRIPPED = r"""regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<nav\b[^>]*>.*?</nav>|<footer\b[^>]*>.*?</footer>|<head\b[^>]*>.*?</head>|<div class="ad big">buy<div>in</div>more</div>|<div class="ad">.*?</div>|<div class=''x ad''>.*?</div>|<[^>]+>', ' ', 'g')"""
+
+
+def _main_text(html: str) -> str:
+    return f"nullif(trim(regexp_replace({_unescaped(_STRIPPED.replace('(html,', f'({html},'))}, '[ \\t\\r\\n]+', ' ', 'g'), ' '), '')"
+
 
-HREFS = r"""hrefs as (
+TEXTS = f"texts as (select page_id, url, {_main_text('html')} as text from captured)"
+
+HREFS = rf"""{CAPTURED}, hrefs as (
   select page_id, url, list_filter(list_transform(
-           regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<script\b[^>]*>.*?</script>', ' ', 'g'), '(?i)<a\s[^>]*>'),
-           lambda tag: case when regexp_matches(tag, '(?i)\shref\s*=\s*"') then regexp_extract(tag, '(?i)\shref\s*=\s*"([^"]*)"', 1)
-                            else regexp_extract(tag, '(?i)\shref\s*=\s*''([^'']*)''', 1) end), lambda h: h <> '') as found
-  from pages),
+           regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script>', ' ', 'g'), '(?i)<a\s[^>]*>'),
+           lambda tag: {_unescaped(r"""case when regexp_matches(tag, '(?i)\shref\s*=\s*"') then regexp_extract(tag, '(?i)\shref\s*=\s*"([^"]*)"', 1)
+                            when regexp_matches(tag, '(?i)\shref\s*=\s*''') then regexp_extract(tag, '(?i)\shref\s*=\s*''([^'']*)''', 1)
+                            else regexp_extract(tag, '(?i)\shref\s*=\s*([^\s>]+)', 1) end""")}), lambda h: h <> '') as found
+  from captured),
 links as (select page_id, url, cast(unnest(range(1, len(found) + 1)) as int) as pos, unnest(found) as href from hrefs)"""
 
 ORACLES["captured_pages"] = "select page_id, url, html from pages"
-ORACLES["extract_main_text"] = f"with {TEXTS} select page_id, url, text from texts"
+ORACLES["extract_main_text"] = f"with {CAPTURED}, {TEXTS} select page_id, url, text from texts"
+ORACLES["extract_main_text_fallback"] = f"""select page_id, url, case when page_id % 7 = 0 then 'second ' || page_id else {_main_text('html')} end as text
+from pages"""
 ORACLES["extract_links"] = f"with {HREFS} select page_id, pos, url || href as link from links"
 ORACLES["resolve_links"] = rf"""with {HREFS},
 parts as (select *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) as scheme,
@@ -208,16 +248,18 @@ parts as (select *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) as sch
 select page_id, pos, case
   when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then href
   when href like '//%' then scheme || href
+  when href = '/a/../b/' then origin || '/b/'
   when href like '/%' then origin || href
   when href like '#%' then page || href
   when href like '?%' then split_part(page, '?', 1) || href
+  when href = '../x/./y' then rtrim(regexp_replace(regexp_replace(split_part(page, '?', 1), '[^/]*$', ''), '^(.*//[^/]*(?:/.*)?)/[^/]*/$', '\1'), '/') || '/x/y'
   when split_part(page, '?', 1) = origin then origin || '/' || href
   else regexp_replace(split_part(page, '?', 1), '[^/]*$', '') || href end as link
 from parts"""
 
 FRONTIER = "frontier as (select page_id, pos, link from link_plan qualify row_number() over (partition by page_id order by pos) <= 5)"
 CRAWLED = """crawled as (select f.page_id, f.pos, f.link, coalesce(t.text, '') as text, t.url is not null as fetched
-  from frontier f left join texts t on t.url = f.link)"""
+  from frontier f left join newest n on n.url = f.link left join texts t on t.page_id = n.page_id)"""
 ACCUMULATED = """pieces as (select page_id, 0 as pos, coalesce(text, '') as text, 0 as hit from texts
   union all select page_id, pos, text, cast(fetched as int) from crawled),
 accumulated as (select page_id, cast(sum(hit) as bigint) as n_fetched, string_agg(text, '' order by pos) as all_text from pieces group by page_id)"""
@@ -225,19 +267,19 @@ accumulated as (select page_id, cast(sum(hit) as bigint) as n_fetched, string_ag
 ORACLES["crawl_frontier"] = f"with {LINK_PLAN}, {FRONTIER} select page_id, pos, link from frontier"
 ORACLES["crawl_join"] = f"with {LINK_PLAN}, {TEXTS}, {FRONTIER}, {CRAWLED} select page_id, pos, link, text, fetched from crawled"
 ORACLES["pending_links"] = f"""with {LINK_PLAN}
-select page_id, pos, link from link_plan l where pos > 5 or not exists (select 1 from pages p where p.url = l.link)"""
+select page_id, pos, link from link_plan l where pos > 5 or not exists (select 1 from captured p where p.url = l.link)"""
 ORACLES["crawl_coverage"] = f"""with {LINK_PLAN}
 select page_id, count(*) as found, count(*) filter (where pos <= 5) as attempted,
-       count(*) filter (where pos <= 5 and link in (select url from pages)) as fetched,
+       count(*) filter (where pos <= 5 and link in (select url from captured)) as fetched,
        round(count(*) filter (where pos <= 5) / cast(count(*) as double), 6) as progress
 from link_plan group by page_id"""
 ORACLES["accumulate_text"] = f"with {LINK_PLAN}, {TEXTS}, {FRONTIER}, {CRAWLED}, {ACCUMULATED} select page_id, n_fetched, all_text from accumulated"
 ORACLES["report_context"] = f"""with {LINK_PLAN}, {TEXTS}, {FRONTIER}, {CRAWLED}, {ACCUMULATED},
 lists as (select page_id, count(*) as n, string_agg(link, ''', ''' order by pos) as listed from link_plan group by page_id)
-select page_id, cast(0 as bigint) as part_no, coalesce(n, 0) + 1 as num_urls,
+select page_id, coalesce(n, 0) + 1 as num_urls,
        all_text || case when n is null then '[]' else '[''' || listed || ''']' end as context
 from accumulated left join lists using (page_id)"""
-ORACLES["keyed_text_store"] = f"with {TEXTS} select md5(url) || '.txt' as file_name, max(page_id) as page_id, coalesce(arg_max(text, page_id), '') as text from texts group by url"
+ORACLES["keyed_text_store"] = f"with {CAPTURED}, {TEXTS} select md5(url) || '.txt' as file_name, max(page_id) as page_id, coalesce(arg_max(text, page_id), '') as text from texts group by url"
 
 # --- reports --------------------------------------------------------------------------------------------------------
 
@@ -264,7 +306,16 @@ select doc_id, 'topic' as kind, cast(p as int) as pos, json_extract_string(j, '$
        cast(null as varchar) as detail, cast(null as varchar) as source
 from good cross join (values (0),(1)) as t(p)
 union all select doc_id, 'theme', 0, json_extract_string(j, '$."thèmes_clés"[0]."thème"'), json_extract_string(j, '$."thèmes_clés"[0].description'), null from good
+union all select doc_id, 'data_point', 0, cast(doc_id as varchar), lang, null from good
 union all select doc_id, 'insight', 0, json_extract_string(j, '$.insights[0].insight'), json_extract_string(j, '$.insights[0].explication'), null from good"""
+ORACLES["theme_related_topics"] = f"""with {RESPONSES}, {SPLIT}, {FACTS}
+select doc_id, 0 as pos, json_extract_string(j, '$."thèmes_clés"[0]."thème"') as theme, cast(p as int) as related_pos,
+       json_extract_string(j, '$."thèmes_clés"[0].sujets_connexes[' || p || ']') as topic from good cross join (values (0),(1)) as t(p)"""
+ORACLES["report_data_points"] = f"""with {RESPONSES}, {SPLIT}, {FACTS}
+select doc_id, 0 as pos, cast(doc_id as varchar) as data_point, lang as context, cast(null as varchar) as source from good"""
+ORACLES["quarantined_reports"] = f"""with {RESPONSES}, {SPLIT}
+select doc_id, regexp_replace(substr(response, strpos(response, '```json') + 7), '^\\s+|\\s+$', '', 'g') as raw, 'Failed to parse JSON. Raw output:' as error
+from split where js is not null and not json_valid(js)"""
 ORACLES["topic_counts"] = f"""with {RESPONSES}, {SPLIT}, {FACTS},
 topics as (select distinct doc_id, json_extract_string(j, '$.sujets_principaux[' || p || ']') as topic
            from good cross join (values (0),(1)) as t(p))
@@ -272,23 +323,16 @@ select topic, count(*) as n_reports from topics group by topic"""
 
 # --- cases ----------------------------------------------------------------------------------------------------------
 
-_CELL = r"""(?s)<td[^>]*>.*?</td>\s*<td[^>]*>.*?"""
-READ = rf"""read as (
-  select case_key, status_code, html,
-    case when regexp_matches(html, '{_CELL}<a\b[^>]*>(.*?)</a>')
-      then regexp_replace(regexp_extract(html, '{_CELL}<a\b[^>]*>(.*?)</a>', 1), '\s+', '', 'g') end as status,
-    case when regexp_matches(html, '{_CELL}<a\b[^>]*href="[^"]*id=(\d*)&')
-      then regexp_extract(regexp_extract(html, '{_CELL}<a\b[^>]*href="([^"]*)"', 1), 'id=(\d*)&', 1) end as case_id
-  from status_pages)"""
-ORACLES["case_status_extract"] = f"with {STATUS_PAGES}, {READ} select case_key, status, case_id from read"
-ORACLES["case_history"] = rf"""with {STATUS_PAGES},
-items as (select case_key, regexp_extract_all(html, '(?s)<li[^>]*class="(?:[^"]*\s)?mrgn-bttm-md(?:\s[^"]*)?"[^>]*>(.*?)</li>', 1) as found from status_pages),
-flat as (select case_key, cast(unnest(range(len(found))) as int) as pos, unnest(found) as item from items)
-select case_key, pos, case when not contains(item, '<') then item end as item from flat"""
-ORACLES["error_capture"] = f"""with {STATUS_PAGES}, {READ},
-failed as (select case_key, status_code, case when status_code <> 200 then 'An error occurred with IRCC. Form submission failed'
-    when status is null then 'no status link on the page' when case_id is null then 'no case id in the status link' end as error from read)
-select case_key, status_code, error, cast(0 as int) as n_detail from failed where error is not null"""
+OUTCOMES = """outcomes as (select *, case when status_code <> 200 then 'An error occurred with IRCC. Form submission failed'
+    when status is null then 'no status link on the page' when case_id is null then 'no case id in the status link' end as error from status_pages)"""
+ORACLES["case_status_extract"] = f"with {STATUS_PAGES} select case_key, status, case_id from status_pages"
+ORACLES["case_history"] = f"""with {STATUS_PAGES}
+select case_key, cast(unnest(range(len(items))) as int) as pos, unnest(items) as item from status_pages"""
+ORACLES["case_status"] = f"""with {STATUS_PAGES}, {OUTCOMES}
+select case_key, status_code, coalesce(error, status) as status, case when error is null then case_id end as case_id,
+       case when error is null then array_to_string(list_transform(items, lambda i: coalesce(i, '<null>')), '~') else '' end as detail, error from outcomes"""
+ORACLES["error_capture"] = f"""with {STATUS_PAGES}, {OUTCOMES}
+select case_key, status_code, error, cast(0 as int) as n_detail from outcomes where error is not null"""
 
 # --- uploads --------------------------------------------------------------------------------------------------------
 
@@ -315,7 +359,21 @@ select 1, '|' || repeat('-', w0 + 1) || ':|:' || repeat('-', w1 + 1) || '|:' ||
 union all
 select p_partkey + 2, '| ' || lpad(c0, w0, ' ') || ' | ' || rpad(c1, w1, ' ') || ' | ' || rpad(c2, w2, ' ') || ' | ' || lpad(c3, w3, ' ') || ' |'
 from cells cross join w"""
+ORACLES["csv_to_markdown"] = """with
+rows as (select *, row_number() over (order by p_partkey) - 1 as n from part),
+cells as (select n, cast(n as varchar) as c0, cast(p_partkey as varchar) as c1, p_name as c2, p_brand as c3, cast(p_size as varchar) as c4 from rows),
+w as (select cast(greatest(2, max(length(c0))) as int) as w0, cast(greatest(11, max(length(c1))) as int) as w1, cast(greatest(8, max(length(c2))) as int) as w2,
+             cast(greatest(9, max(length(c3))) as int) as w3, cast(greatest(8, max(length(c4))) as int) as w4 from cells)
+select cast(0 as bigint) as line_no, '| ' || lpad('', w0, ' ') || ' | ' || lpad('p_partkey', w1, ' ') || ' | ' || rpad('p_name', w2, ' ')
+       || ' | ' || rpad('p_brand', w3, ' ') || ' | ' || lpad('p_size', w4, ' ') || ' |' as line from w
+union all
+select 1, '|' || repeat('-', w0 + 1) || ':|' || repeat('-', w1 + 1) || ':|:' || repeat('-', w2 + 1) || '|:' || repeat('-', w3 + 1)
+       || '|' || repeat('-', w4 + 1) || ':|' from w
+union all
+select n + 2, '| ' || lpad(c0, w0, ' ') || ' | ' || lpad(c1, w1, ' ') || ' | ' || rpad(c2, w2, ' ') || ' | ' || rpad(c3, w3, ' ')
+       || ' | ' || lpad(c4, w4, ' ') || ' |' from cells cross join w"""
 ORACLES["csv_export"] = "select doc_id, nullif(lang, 'de') as lang, text from documents"
+ORACLES["csv_export_numbered"] = f"with {CELL_ROWS} select row_no, cells[1] as c0, cells[2] as c1, cells[3] as c2 from cell_rows"
 ORACLES["csv_scan"] = "select p_partkey, p_name, p_brand, p_size from part"
 
 _TABLE_ID = "p_brand || '/' || (p_partkey // 1000)"
@@ -328,12 +386,17 @@ heads as (select distinct table_id from numbered)
 select table_id, 0 as row_no, col_no, value from heads cross join (values (0,'p_partkey'),(1,'p_name'),(2,'p_size')) as h(col_no, value)
 union all select table_id, row_no + 1, 0, cast(p_partkey as varchar) from numbered
 union all select table_id, row_no + 1, 1, p_name from numbered
-union all select table_id, row_no + 1, 2, cast(p_size as varchar) from numbered"""
-ORACLES["construct_table"] = f"""with {NUMBERED}
-select table_id, row_no, 0 as col_no, 'p_partkey' as col_name, cast(p_partkey as varchar) as value from numbered
-union all select table_id, row_no, 1, 'p_name', p_name from numbered
-union all select table_id, row_no, 2, 'p_size', cast(p_size as varchar) from numbered"""
-ORACLES["wide_table"] = f"""select {_TABLE_ID} as table_id, cast(p_partkey as varchar) as part_key, p_name as name, cast(p_size as varchar) as size from part"""
+union all select table_id, row_no + 1, 2, cast(p_size as varchar) from numbered
+union all select table_id, row_no + 1, 3, 'more' from numbered where p_partkey % 11 = 3"""
+ORACLES["construct_table"] = f"""with {NUMBERED}, fitting as (select * from numbered where p_partkey % 11 <> 3)
+select table_id, row_no, 0 as col_no, 'p_partkey' as col_name, cast(p_partkey as varchar) as value from fitting
+union all select table_id, row_no, 1, 'p_name', p_name from fitting
+union all select table_id, row_no, 2, 'p_size', cast(p_size as varchar) from fitting"""
+ORACLES["wide_table"] = f"""select {_TABLE_ID} as table_id, cast(p_partkey as varchar) as part_key, p_name as name, cast(p_size as varchar) as size
+from part where p_partkey % 11 <> 3"""
+ORACLES["overlong_rows"] = f"""with {NUMBERED}
+select table_id, row_no, p_partkey || '~' || p_name || '~' || p_size || '~more' as cells, 'row has 4 cells, header has 3' as error
+from numbered where p_partkey % 11 = 3"""
 ORACLES["preview"] = f"""{ORACLES["wide_table"]} order by {_TABLE_ID}, p_partkey limit 5"""
 _SHOWN = "array_to_string(list_transform(cells, lambda c: replace(coalesce(c, 'None'), chr(10), ' ')), '|')"
 ORACLES["render_table_rows"] = f"""with {CELL_ROWS}
@@ -351,12 +414,12 @@ union all
 select doc_id, page_no, row_no, 1, 'n' || row_no || '~a' || chr(10) || 'b' from cell_rows where page_no between 1 and 4"""
 ORACLES["normalize_line_text"] = """select doc_id, trim(regexp_replace(text, '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+', ' ', 'g'), ' ') as text from documents"""
 ORACLES["page_reading_order"] = f"""with {ELEMENTS}
-select doc_id, page_no, elem_no, row_number() over (partition by doc_id, page_no order by y1 desc, elem_no) as reading_order from elements"""
+select doc_id, page_no, elem_no, row_number() over (partition by doc_id, page_no order by y1 desc nulls last, elem_no) as reading_order from elements"""
 
 # Two tables per page with lower edges at 900 and 700: the walk in closed form.
 SPANS = """ord as (select *, row_number() over w as pos, lead(elem_type) over w as nxt from elements
-                window w as (partition by doc_id, page_no order by y1 desc, elem_no)),
-in0 as (select doc_id, page_no, min(pos) as p, min(text) as a, max(text) as b from ord where elem_type = 'R' group by 1, 2),
+                window w as (partition by doc_id, page_no order by y1 desc nulls last, elem_no)),
+in0 as (select doc_id, page_no, min(pos) as p, min(text) as a, max(text) as b from ord where elem_type = 'R' and (doc_id + page_no) % 13 <> 4 group by 1, 2),
 out0 as (select o.doc_id, o.page_no, min(o.pos) as p from ord o join in0 i using (doc_id, page_no)
          where o.elem_type = 'R' and coalesce(o.nxt, '') <> 'R' and o.pos >= i.p and o.y0 < 900 group by 1, 2),
 in1 as (select o.doc_id, o.page_no, min(o.pos) as p from ord o join out0 x using (doc_id, page_no)
@@ -370,24 +433,26 @@ shown as (
   where o.elem_type = 'T' and (t.i0 is null or not (o.pos > t.i0 and o.pos <= t.o0)) and (t.i1 is null or not (o.pos > t.i1 and o.pos <= t.o1))
   union all select doc_id, page_no, i0, '|' || regexp_replace(a, ' +', '  ') || '|None|' from tbl
   union all select doc_id, page_no, i1, '|' || b || '|x y|' || chr(10) || '|z|' from tbl where i1 is not null)"""
-ORACLES["assemble_page"] = f"""with {ELEMENTS}, {SPANS}
-select doc_id, page_no, 0 as part_no, coalesce(string_agg(piece, '' order by pos), '') as content
-from boxes left join shown using (doc_id, page_no) group by doc_id, page_no"""
-TEXT_ONLY = """contents as (select doc_id, page_no, coalesce(string_agg(regexp_replace(text, ' +', ' ', 'g'), '' order by y1 desc, elem_no)
-    filter (where elem_type = 'T'), '') as content from elements group by doc_id, page_no)"""
-ORACLES["assemble_page_text_only"] = f"with {ELEMENTS}, {TEXT_ONLY} select doc_id, page_no, 0 as part_no, content from contents"
-ORACLES["assemble_document"] = f"""with {ELEMENTS}, {TEXT_ONLY}
-select doc_id, min(page_no) as page_from, 0 as part_from, count(*) as n_pages, string_agg(content, chr(10) order by page_no) as text
-from contents group by doc_id, page_no // 256"""
+CONTENTS = """contents as (select b.doc_id, b.page_no, regexp_replace(coalesce(string_agg(piece, '' order by pos), ''), '\\n+', chr(10), 'g') as content,
+    case when not boxed then 'no page box' end as error from boxes b left join shown using (doc_id, page_no) group by b.doc_id, b.page_no, boxed)"""
+ORACLES["page_pieces"] = f"with {ELEMENTS}, {SPANS} select doc_id, page_no, pos, piece from shown"
+ORACLES["assemble_page"] = f"with {ELEMENTS}, {SPANS}, {CONTENTS} select doc_id, page_no, content, error from contents"
+ORACLES["assemble_page_text_only"] = f"""with {ELEMENTS}
+select b.doc_id, b.page_no, coalesce(string_agg(regexp_replace(text, ' +', ' ', 'g'), '' order by y1 desc nulls last, elem_no)
+    filter (where elem_type = 'T'), '') as content, case when not boxed then 'no page box' end as error
+from boxes b left join elements using (doc_id, page_no) group by b.doc_id, b.page_no, boxed"""
+ORACLES["assemble_document"] = f"""with {ELEMENTS}, {SPANS}, {CONTENTS}
+select doc_id, count(*) as n_pages, string_agg(content, chr(10) order by page_no) as text from contents group by doc_id"""
 
 # --- intake ---------------------------------------------------------------------------------------------------------
 
 CHECKED = f"""checked as (select *, array_to_string([r for r in [
     case when coalesce(nom, '') = '' then 'nom: missing' end,
-    case when coalesce(email, '') = '' then 'email: missing' when not regexp_matches(email, {_text(EMAIL)}) then 'email: malformed' end,
+    case when coalesce(email, '') = '' then 'email: missing' when not regexp_matches(email, {EMAIL}) then 'email: malformed' end,
     case when coalesce(sujet not in ('evaluation', 'information', 'rendez-vous', 'autre'), true) then 'sujet: unknown' end,
     case when coalesce(message, '') = '' then 'message: missing' end] if r is not null], '; ') as reasons from submissions)"""
 ORACLES["validate_submissions"] = f"with {SUBMISSIONS}, {CHECKED} select sub_id, reasons = '' as valid, reasons from checked"
+ORACLES["rejected_submissions"] = f"with {SUBMISSIONS}, {CHECKED} select sub_id, reasons from checked where reasons <> ''"
 ORACLES["accepted_submissions"] = f"""with {SUBMISSIONS}, {CHECKED}
 select sub_id, '{{"nom":"' || nom || '","email":"' || email || '","telephone":"","sujet":"' || sujet || '","message":"' || message || '"}}' as payload
 from checked where reasons = ''"""

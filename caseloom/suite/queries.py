@@ -69,7 +69,7 @@ def _told(history):
 @query
 def conversation_context(spark, sf_dir):
     context = conversations.conversation_context(I.messages(spark, sf_dir))
-    return context.select("conv_id", "turn", "part_no", "question", _told(F.col("history")).alias("history"))
+    return context.select("conv_id", "turn", "question", _told(F.col("history")).alias("history"))
 
 
 @query
@@ -84,6 +84,19 @@ def build_prompt(spark, sf_dir):
         I.messages(spark, sf_dir), I.conversation_docs(spark, sf_dir), I.table(spark, sf_dir, "documents"), I.PROMPT)
 
 
+@query
+def build_prompt_with_history(spark, sf_dir):
+    asked = conversations.build_prompt(I.messages(spark, sf_dir), I.conversation_docs(spark, sf_dir), I.table(spark, sf_dir, "documents"),
+                                       I.PROMPT, with_history=True)
+    return asked.select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"), _told(F.col("history")).alias("history"))
+
+
+@query
+def build_prompt_tabular(spark, sf_dir):
+    return conversations.build_prompt(I.messages(spark, sf_dir), I.conversation_docs(spark, sf_dir), I.table(spark, sf_dir, "documents"),
+                                      I.PROMPT, ending=conversations.TABLE_ENDING)
+
+
 @query
 def export_transcript_md(spark, sf_dir):
     return conversations.export_transcript(I.messages(spark, sf_dir), "md")
@@ -118,6 +131,11 @@ def extract_main_text(spark, sf_dir):
     return pages.extract_main_text(I.pages(spark, sf_dir))
 
 
+@query
+def extract_main_text_fallback(spark, sf_dir):
+    return pages.extract_main_text(I.bare_pages(spark, sf_dir), fallback=F.col("other"))
+
+
 @query
 def extract_links(spark, sf_dir):
     return pages.extract_links(I.pages(spark, sf_dir))
@@ -197,6 +215,21 @@ def report_facts(spark, sf_dir):
     return reports.report_facts(reports.parse_report_json(I.responses(spark, sf_dir)))
 
 
+@query
+def theme_related_topics(spark, sf_dir):
+    return reports.theme_related_topics(reports.parse_report_json(I.responses(spark, sf_dir)))
+
+
+@query
+def report_data_points(spark, sf_dir):
+    return reports.report_data_points(reports.parse_report_json(I.responses(spark, sf_dir)))
+
+
+@query
+def quarantined_reports(spark, sf_dir):
+    return reports.quarantined_reports(reports.parse_report_json(I.responses(spark, sf_dir)))
+
+
 @query
 def topic_counts(spark, sf_dir):
     return reports.topic_counts(reports.parse_report_json(I.responses(spark, sf_dir)))
@@ -219,6 +252,12 @@ def error_capture(spark, sf_dir):
     return cases.error_capture(I.status_pages(spark, sf_dir))
 
 
+@query
+def case_status(spark, sf_dir):
+    shown = F.array_join("detail", "~", "<null>")
+    return cases.case_status(I.status_pages(spark, sf_dir)).withColumn("detail", shown)
+
+
 # --- uploads --------------------------------------------------------------------------------------------------------
 
 @query
@@ -239,10 +278,11 @@ def route_by_format(spark, sf_dir):
 @query
 def incremental_ingest(spark, sf_dir):
     arriving, store, checkpoint = (fresh_path(spark, label) for label in ("arriving", "store", "progress"))
-    I.uploads(spark, sf_dir).select("name", "content").write.parquet(arriving)
-    for _ in range(2):  # the second run finds nothing new
-        run = ingest.incremental_ingest(ingest.arriving_rows(spark, arriving, "name string, content string"), store, checkpoint)
-        run.awaitTermination()
+    rows = I.uploads(spark, sf_dir).select("name", "content", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("file"))
+    rows.repartition(4, "file").drop("file").write.parquet(arriving)
+    for _ in range(2):  # one file per batch; the second run finds nothing new
+        found = ingest.arriving_rows(spark, arriving, "name string, content string", files_per_batch=1)
+        ingest.incremental_ingest(found, store, checkpoint).awaitTermination()
     return ingest.ingest_store(spark, store).select("md5", "ext", "copies")
 
 
@@ -262,10 +302,19 @@ def csv_export(spark, sf_dir):
     path = fresh_path(spark, "csv")
     rows = I.table(spark, sf_dir, "documents").selectExpr("doc_id", "nullif(lang, 'de') as lang", "text")
     files.csv_export(rows, path)
-    back = files.csv_scan(spark, path, "doc_id long, lang string, text string", keep_bad_rows=False)
+    back = files.csv_scan(spark, path, "doc_id long, lang string, text string", keep_bad_rows=False, multi_line=True)
     return back.select("doc_id", "lang", "text")
 
 
+@query
+def csv_export_numbered(spark, sf_dir):
+    """Ragged rows under headers that are numbers, as many as the widest row needs."""
+    path = fresh_path(spark, "csv")
+    files.csv_export(tables.padded_columns(I.cell_rows(spark, sf_dir), ["row_no"]), path)
+    back = files.csv_scan(spark, path, 'row_no long, `0` string, `1` string, `2` string', keep_bad_rows=False)
+    return back.select("row_no", *[F.col(f"`{i}`").alias(f"c{i}") for i in range(3)])
+
+
 @query
 def csv_scan(spark, sf_dir):
     path = fresh_path(spark, "csv")
@@ -274,6 +323,15 @@ def csv_scan(spark, sf_dir):
         F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_brand", F.col("p_size").cast("int").alias("p_size"))
 
 
+@query
+def csv_to_markdown(spark, sf_dir):
+    """A CSV file as the pipe table that a prompt holds."""
+    path = fresh_path(spark, "csv")
+    files.csv_export(_part_table(spark, sf_dir).orderBy("p_partkey"), path)
+    scanned = files.csv_scan(spark, path, "p_partkey long, p_name string, p_brand string, p_size int", keep_bad_rows=False)
+    return tables.table_to_markdown(files.with_row_index(scanned), index="row_no")
+
+
 @query
 def detect_delimiter(spark, sf_dir):
     return tables.detect_delimiter(I.table_texts(spark, sf_dir))
@@ -295,6 +353,12 @@ def wide_table(spark, sf_dir):
     return tables.wide_table(parsed, ["part_key", "name", "size"]).select("table_id", "part_key", "name", "size")
 
 
+@query
+def overlong_rows(spark, sf_dir):
+    found = tables.overlong_rows(tables.parse_table_rows(I.table_texts(spark, sf_dir)))
+    return found.withColumn("cells", F.array_join("cells", "~"))
+
+
 @query
 def preview(spark, sf_dir):
     parsed = tables.parse_table_rows(I.table_texts(spark, sf_dir))
@@ -347,17 +411,22 @@ def _assembled(spark, sf_dir, **options):
 
 @query
 def assemble_page(spark, sf_dir):
-    return _assembled(spark, sf_dir).select("doc_id", "page_no", "part_no", "content")
+    return _assembled(spark, sf_dir).select("doc_id", "page_no", "content", "error")
 
 
 @query
 def assemble_page_text_only(spark, sf_dir):
-    return _assembled(spark, sf_dir, table=False).select("doc_id", "page_no", "part_no", "content")
+    return _assembled(spark, sf_dir, table=False).select("doc_id", "page_no", "content", "error")
+
+
+@query
+def page_pieces(spark, sf_dir):
+    return layout.page_pieces(I.elements(spark, sf_dir), I.page_tables(spark, sf_dir), I.page_boxes(spark, sf_dir), spread=True, chunk=50)
 
 
 @query
 def assemble_document(spark, sf_dir):
-    return layout.assemble_document(_assembled(spark, sf_dir, table=False))
+    return layout.assemble_document(_assembled(spark, sf_dir))
 
 
 # --- intake ---------------------------------------------------------------------------------------------------------
@@ -368,6 +437,11 @@ def validate_submissions(spark, sf_dir):
     return checked.select("sub_id", "valid", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query
+def rejected_submissions(spark, sf_dir):
+    return intake.rejected_submissions(intake.validate_submissions(I.submissions(spark, sf_dir)))
+
+
 @query
 def accepted_submissions(spark, sf_dir):
     return intake.accepted_submissions(intake.validate_submissions(I.submissions(spark, sf_dir)))

@@ -54,10 +54,10 @@ def test_partitioning_does_not_matter(spark, name):
 
 
 def test_no_python_in_the_plans(spark):
-    for name in ("assemble_page", "report_context", "build_prompt", "parse_report_json", "case_history", "construct_table"):
+    for name in ("assemble_page", "report_context", "build_prompt", "parse_report_json", "page_pieces", "case_history", "construct_table"):
         plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan, name
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["page_id", "part_no", "num_urls", "context"]
+    assert entry.entry(spark).columns == ["page_id", "num_urls", "context"]
