@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,24 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+_notes: list[list[str]] = []
+
+
+@contextmanager
+def given_paths() -> Iterator[list[str]]:
+    """The paths that :func:`fresh_path` gives out meanwhile, for :func:`remove_paths`."""
+    _notes.append([])
+    try:
+        yield _notes[-1]
+    finally:
+        _notes.pop()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for notes in _notes:
+        notes.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -35,7 +53,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written intermediates; DataFrames that read them are of no use afterwards."""
+    for name in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_stored(spark: SparkSession) -> None:
-    """Remove what this application has written so far; DataFrames that read it are of no use afterwards."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """Remove all that this application has written so far."""
+    remove_paths(spark, [_own_folder(spark)])

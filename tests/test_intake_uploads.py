@@ -4,6 +4,7 @@ import os
 
 from caseloom import schemas
 from caseloom.operators import intake, uploads
+from caseloom.plans import store as S
 from caseloom.sources import files
 from caseloom.streaming import ingest
 
@@ -87,3 +88,12 @@ def test_copies_add_up_over_batches_restarts_and_checkpoints(spark, tmp_path):
     late.mkdir()
     put(late, "x.pdf", b"two")
     assert run("second", late) == {(one, "pdf"): 4, (two, "pdf"): 1}  # a new checkpoint begins at batch 0 and overwrites nothing
+
+
+def test_written_intermediates_are_removed(spark):
+    with S.given_paths() as paths:
+        kept = S.stored(spark.range(3), "kept")
+    assert len(paths) == 1 and kept.count() == 3
+    other = S.stored(spark.range(2), "other")
+    S.remove_paths(spark, paths)
+    assert not os.path.exists(paths[0].removeprefix("file:")) and other.count() == 2
