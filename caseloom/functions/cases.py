@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from caseloom.functions.html import attribute_token, href_of, unescape_rare
+from caseloom.functions.html import attribute_token, href_of, unescape_rare, up_to
 from caseloom.functions.text import without_space
 
 # The first cell and, if a cell follows it at once, that cell. The second part being optional, the matcher
 # stops at the first cell's end instead of looking for a later pair.
-CELL_AFTER_FIRST = r"(?is)<td\b[^>]*+>.*?</td\s*+>(\s*+<td\b[^>]*+>.*?</td\s*+>)?"
-FIRST_ANCHOR = r"(?is)(<a\b[^>]*+>.*?</a\s*+>)"
+_CELL = rf"<td\b[^>]*+>{up_to('/td[^a-z0-9]')}</td\s*+>"
+CELL_AFTER_FIRST = rf"(?is){_CELL}(\s*+{_CELL})?"
+FIRST_ANCHOR = rf"(?is)(<a\b[^>]*+>{up_to('/a[^a-z0-9]')}</a\s*+>)"
 OPENING_TAG = r"(?is)^(<a\b[^>]*+>)"
 ANCHOR_TEXT = r"(?is)^<a\b[^>]*+>(.*)</a\s*+>$"
 CASE_ID = r"id=(\d*)&"
-HISTORY_ITEM = rf"(?is)<li\b{attribute_token('class', 'mrgn-bttm-md')}(.*?)</li\s*+>"
+HISTORY_ITEM = rf"(?is)<li\b{attribute_token('class', 'mrgn-bttm-md')}({up_to('/li[^a-z0-9]')})</li\s*+>"
 
 
 def group_or_null(text: Column, pattern: str) -> Column:
@@ -39,7 +40,8 @@ def status_text(text: Column) -> Column:
 
 def case_id(anchor: Column) -> Column:
     """Digits of the first ``id=...&`` in the decoded address of the status link; may be empty."""
-    return group_or_null(href_of(group_or_null(anchor, OPENING_TAG)), CASE_ID)
+    tag = F.array(group_or_null(anchor, OPENING_TAG))  # in a list, so that it is cut out once
+    return F.get(F.transform(tag, lambda t: group_or_null(href_of(t), CASE_ID)), F.lit(0))
 
 
 def history_items(html: Column) -> Column:

@@ -6,7 +6,14 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-_INNER = r"[^<]*+(?:<(?!/?div\b)[^<]*+)*+"
+
+def up_to(end: str) -> str:
+    """Pattern of everything up to a tag that begins like ``end``; it goes from bracket to bracket and never back."""
+    return rf"[^<]*+(?:<(?!{end})[^<]*+)*+"
+
+
+_INNER = up_to(r"/?div\b")
+_COMMENT = r"!--[^-]*+(?:-(?!->)[^-]*+)*+-->"
 
 
 def attribute_token(name: str, token: str) -> str:
@@ -19,13 +26,16 @@ def attribute_token(name: str, token: str) -> str:
 # ad blocks with divs at most one deep inside, then any other tag. Possessive quantifiers keep the matcher from going
 # back over long pages. Names count in either case.
 NOT_MAIN_TEXT = (
-    r"(?is)<(?:!--.*?-->"
-    r"|(script|style|nav|footer|head)\b[^>]*+>.*?</\1\s*+>"
+    rf"(?is)<(?:{_COMMENT}"
+    rf"|(script|style|nav|footer|head)\b[^>]*+>{up_to('/%1[^a-z0-9]').replace('%', chr(92))}</\1\s*+>"
     rf"|div\b{attribute_token('class', 'ad')}{_INNER}(?:<div\b[^>]*+>{_INNER}</div\s*+>{_INNER})*+</div\s*+>"
     r"|[^>]++>)"
 )
 # Comments and scripts are matched as a whole, so that an anchor inside one is not taken for a link.
-HIDDEN_OR_ANCHOR = r"""(?is)<(?:!--.*?-->|script\b[^>]*+>.*?</script>|a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
+HIDDEN_OR_ANCHOR = (
+    rf"(?is)<(?:{_COMMENT}|script\b[^>]*+>{up_to('/script[^a-z0-9]')}</script\s*+>"
+    r"""|a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
+)
 HREF = (r'(?i)\shref\s*+=\s*+"([^"]*+)"', r"(?i)\shref\s*+=\s*+'([^']*+)'", r"""(?i)\shref\s*+=\s*+([^\s"'>]++)""")
 ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 

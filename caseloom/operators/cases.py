@@ -55,10 +55,9 @@ def case_status(status_pages: DataFrame) -> DataFrame:
 
 
 def error_capture(status_pages: DataFrame) -> DataFrame:
-    """``(case_key, status_code, error, n_detail)`` of the pages that could not be read.
+    """``(case_key, status_code, error)`` of the pages that could not be read; their history is not looked at.
 
     An explode picks them: a filter on ``error`` would be pushed below the extraction and run it twice.
     """
-    record = case_status(status_pages)
-    errors = F.array_compact(F.array("error"))
-    return record.select("case_key", "status_code", F.size("detail").alias("n_detail"), F.explode(errors).alias("error"))
+    errors = F.array_compact(F.array(_error(F.col("__status"), F.col("__id"))))
+    return _read(status_pages).select("case_key", "status_code", F.explode(errors).alias("error"))

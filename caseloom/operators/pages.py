@@ -130,5 +130,6 @@ def report_context(accumulated: DataFrame, links: DataFrame) -> DataFrame:
 
 def keyed_texts(page_texts: DataFrame) -> DataFrame:
     """``(file_name, page_id, url, text)``: one text per url under its md5 name; the last version written wins."""
-    last = page_texts.groupBy("url").agg(F.max_by(F.coalesce("text", F.lit("")), "page_id").alias("text"), F.max("page_id").alias("page_id"))
-    return last.select(F.concat(F.md5("url"), F.lit(".txt")).alias("file_name"), "page_id", "url", "text")
+    last = _newest(page_texts).select(F.col("target").alias("page_id"))
+    return page_texts.join(last, "page_id", "left_semi").select(
+        F.concat(F.md5("url"), F.lit(".txt")).alias("file_name"), "page_id", "url", F.coalesce("text", F.lit("")).alias("text"))

@@ -332,7 +332,7 @@ ORACLES["case_status"] = f"""with {STATUS_PAGES}, {OUTCOMES}
 select case_key, status_code, coalesce(error, status) as status, case when error is null then case_id end as case_id,
        case when error is null then array_to_string(list_transform(items, lambda i: coalesce(i, '<null>')), '~') else '' end as detail, error from outcomes"""
 ORACLES["error_capture"] = f"""with {STATUS_PAGES}, {OUTCOMES}
-select case_key, status_code, error, cast(0 as int) as n_detail from outcomes where error is not null"""
+select case_key, status_code, error from outcomes where error is not null"""
 
 # --- uploads --------------------------------------------------------------------------------------------------------
 

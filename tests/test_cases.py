@@ -40,4 +40,5 @@ def test_outcome_per_page(spark):
     assert (got[1].status, got[1].detail) == (C.NO_STATUS, [])
     assert got[2].error == C.NO_CASE_ID
     assert got[7].status == got[8].status == C.BAD_RESPONSE and got[7].detail == [] and got[7].case_id is None
-    assert sorted((r.case_key, r.n_detail) for r in C.error_capture(df).collect()) == [(1, 0), (2, 0), (7, 0), (8, 0)]
+    assert sorted((r.case_key, r.error) for r in C.error_capture(df).collect()) == [
+        (1, C.NO_STATUS), (2, C.NO_CASE_ID), (7, C.BAD_RESPONSE), (8, C.BAD_RESPONSE)]
