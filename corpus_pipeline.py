@@ -7,34 +7,58 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 
 from caseloom.llm import decontaminate, language, mixing, simhash, token_files
 from caseloom.llm.suite import TOKENIZER
 from caseloom.llm.tables import read
-from caseloom.plans.store import stored
+from caseloom.plans.store import given_paths, remove_paths, stored
+
+_left: list[str] = []
+
+
+def _stage(work: Callable) -> Callable:
+    """A stage that begins by removing what its predecessor wrote on the way: that one's result is written by now."""
+
+    @wraps(work)
+    def run_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_paths(spark, _left)
+        with given_paths() as made:
+            result = work(spark, docs, sf_dir)
+        _left[:] = made
+        return result
+
+    return run_stage
 
 
+@_stage
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, NULL ones, and those with no trigram of any learned language go."""
     return language.keep_identified(docs)
 
 
+@_stage
 def simhash_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three-word shingles, at most three differing bits: of each group the document with the smallest id stays."""
     return simhash.keep_one_per_group(docs)
 
 
+@_stage
 def benchmark_decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a word in twenty inside a 13-word passage of ``benchmark`` go."""
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def source_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for every epoch in which a document gives words."""
     return mixing.mixed_texts(docs)
 
 
+@_stage
 def token_output(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, told from the files: ``doc_id, start, n_tokens, ids_crc32``."""
     return token_files.token_output(docs, TOKENIZER)
