@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from caseloom.llm.simhash import mixed
 from caseloom.llm.tables import ROW, map_texts, stored_with_row
 from caseloom.plans.store import stored
 
@@ -41,12 +42,6 @@ _HITS = pa.list_(pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("pos",
                             ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))]))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, first and past-the-last byte of each word, and each text's first word."""
     low = _LOWER[data]
@@ -70,7 +65,7 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     first = np.cumsum(sizes) - sizes
     place = np.arange(total) - np.repeat(first, sizes)
     octets = low[np.repeat(starts, sizes) + place].astype(np.uint64) + np.uint64(1)
-    return _mixed(np.add.reduceat(octets * powers[place], first) + sizes.astype(np.uint64) * _ODD)
+    return mixed(np.add.reduceat(octets * powers[place], first) + sizes.astype(np.uint64) * _ODD)
 
 
 def gram_hashes(words: np.ndarray, size: int, kind: int) -> np.ndarray:
@@ -82,7 +77,7 @@ def gram_hashes(words: np.ndarray, size: int, kind: int) -> np.ndarray:
     out = np.full(n, kind, np.uint64)
     for i in range(size):
         out += words[i:i + n] * factors[i]
-    return _mixed(out)
+    return mixed(out)
 
 
 def winnow(grams: np.ndarray, owner: np.ndarray, window: int, gram: int) -> np.ndarray:

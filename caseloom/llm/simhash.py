@@ -34,6 +34,30 @@ CHUNK = 2048
 SEED = 42
 
 
+#: Byte -> its bits, one to a byte.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes with every bit depending on all of ``x``."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bits set in over half the hashes of each run of ``sizes`` hashes, none of them empty.
+
+    Bits are counted 8 to a machine word, in stretches that a byte can count.
+    """
+    stretches = (sizes + 254) // 255
+    first = np.cumsum(stretches) - stretches
+    starts = np.repeat(np.cumsum(sizes) - sizes, stretches) + 255 * (np.arange(stretches.sum()) - np.repeat(first, stretches))
+    sums = np.add.reduceat(_SPREAD[hashes.view(np.uint8)].reshape(-1, 8), starts, axis=0)
+    ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 64).astype(np.int32), first, axis=0)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """Majority bits of the XXH64 of every shingle of ``shingle`` words; 0 for a text without words."""
     words = text.lower().split()  # bytes: A-Z only, split at 0x20 and 0x09-0x0D
