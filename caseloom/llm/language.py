@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from caseloom.llm.tables import map_texts, ship
+from caseloom.plans.store import stored
 
 MAX_DOCS = 4000      # labelled documents per language that are learned from
 MAX_GRAMS = 40000    # trigrams per language in the filters
 SLOT_BITS = 18
 PROBES = 3
+SALTS = 64
 UNKNOWN = "und"
 _FOLDED = 0x20000
 
@@ -144,7 +146,7 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", id_
     """Filters from the labelled documents outside the held-out fifth.
 
     Of each language at most ``max_docs`` documents count, those with the lowest
-    hash of their id, with their whole texts. A trigram belongs to a language if
+    hash of their id in each of ``SALTS`` parts, with their whole texts. A trigram belongs to a language if
     it is at least ``share`` as frequent there as in the language that has it
     most, and among the language's ``max_grams`` most frequent ones. What reaches
     the driver is bounded by the number of languages times ``max_grams``.
@@ -152,16 +154,18 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", id_
     ship(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~is_held_out(F.col(id_col))).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    low = rows.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= max_docs)
-    found = low.groupBy("lang").agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    # Ranked in salted parts, so that a language that most documents are in is no task of its own.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int"))
+    low = rows.select("lang", "salt", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h")))
+    cuts = low.filter(F.col("r") <= max(1, max_docs // SALTS)).groupBy("lang", "salt").agg(F.max("h").alias("cut"), F.count(F.lit(1)).alias("n"))
+    cuts = stored(cuts, "language-cuts")  # SALTS rows a language
+    found = cuts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
     languages = [r["lang"] for r in found]
     if not languages:
         return LanguageFilters([], UNKNOWN, np.zeros((1 << SLOT_BITS, 0), np.uint64), np.zeros(0))
-    chosen = F.lit(False)
-    for r in found:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["h"]))
+    chosen = rows.join(F.broadcast(cuts.drop("n")), ["lang", "salt"]).filter(F.col("h") <= F.col("cut"))
     counts = (
-        rows.filter(chosen).select("lang", "text")
+        chosen.select("lang", "text")
         .mapInArrow(_count_grams({name: i for i, name in enumerate(languages)}), "place int, gram long, n long")
         .groupBy("place", "gram").agg(F.sum("n").alias("n"))
     )
