@@ -27,7 +27,7 @@ from caseloom.plans.store import stored
 PROSE, UNKNOWN = "none", "unknown"
 MAX_PROSE = 2000       # ordinary paragraphs that are learned from
 MAX_GRAMS = 4096       # size of the vocabulary
-COMMON = 0.01          # a feature is left out if more of the ordinary paragraphs have it
+COMMON = 0.01          # a feature is left out if more of the ordinary paragraphs have it, or each of its words
 PRECISION = 0.98       # of sure families among held-out paragraphs
 SHINGLE, SIMILARITY = 5, 0.8
 
@@ -81,7 +81,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def training_paragraphs(docs: DataFrame, text: str, max_prose: int = MAX_PROSE) -> DataFrame:
-    """``(label, words, held_out)``: notices with words left out and cut, and ordinary paragraphs.
+    """``(label, words, found, held_out)``: notices with words left out and cut, and ordinary paragraphs, ``found`` in the documents.
 
     Ordinary are the first paragraphs of the at most ``max_prose`` documents with
     the lowest hash, where they do not speak of licences or copyright.
@@ -91,7 +91,7 @@ def training_paragraphs(docs: DataFrame, text: str, max_prose: int = MAX_PROSE)
     prose = (
         docs.select(F.xxhash64(text).alias("h"), F.get(paragraphs(F.col(text)), F.lit(0)).alias("text")).filter("text is not null")
         .filter(~F.lower("text").rlike("licen[sc]|copyright|rights|public domain|permission|creative commons|gnu"))
-        .orderBy("h", "text").limit(max_prose).select(F.lit(PROSE).alias("label"), word_list(F.col("text")).alias("words"))
+        .orderBy("h", "text").limit(max_prose).select(F.lit(PROSE).alias("label"), word_list(F.col("text")).alias("words"), F.lit(True).alias("found"))
     )
     whole = spark.createDataFrame(given, "label string, text string").select("label", word_list(F.col("text")).alias("words"))
     cut = whole.select("label", F.explode(F.concat(
@@ -101,7 +101,7 @@ def training_paragraphs(docs: DataFrame, text: str, max_prose: int = MAX_PROSE)
                     lambda i: F.slice("words", 1, F.greatest(F.lit(1), F.size("words") - i))),
         F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") / 3).cast("int")),
                     lambda i: F.slice("words", i + 1, F.size("words"))))).alias("words"))
-    rows = cut.union(prose).filter(F.size("words") > 0)
+    rows = cut.withColumn("found", F.lit(False)).union(prose).filter(F.size("words") > 0)
     return rows.withColumn("held_out", F.pmod(F.xxhash64("label", F.array_join("words", " ")), F.lit(4)) == 0)
 
 
@@ -116,14 +116,17 @@ class LicenseModel:
 
 def train_license_model(docs: DataFrame, text: str = "text", max_prose: int = MAX_PROSE) -> LicenseModel:
     """Train on notices and on ordinary paragraphs of ``docs``; calibrate on the quarter held out."""
-    rows = stored(training_paragraphs(docs, text, max_prose).select("label", "words", gram_list(F.col("words")).alias("grams"), "held_out").coalesce(1), "license-rows")
+    rows = stored(training_paragraphs(docs, text, max_prose).select("label", "words", "found", gram_list(F.col("words")).alias("grams"), "held_out").coalesce(1), "license-rows")
     spark = docs.sparkSession
-    n_prose = max(1, rows.filter(F.col("label") == PROSE).count())
-    counted = rows.select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(
-        F.sum((F.col("label") == PROSE).cast("int")).alias("prose"), F.sum((F.col("label") != PROSE).cast("int")).alias("other"))
+    n_prose = max(1, rows.filter("found").count())
+    counted = rows.select("label", "found", F.explode("grams").alias("gram")).groupBy("gram").agg(
+        F.sum(F.col("found").cast("int")).alias("prose"), F.sum((F.col("label") != PROSE).cast("int")).alias("other"))
     vocabulary = stored(
         counted.filter((F.col("other") > 0) & (F.col("prose") <= COMMON * n_prose)).orderBy(F.desc("other"), "gram").limit(MAX_GRAMS), "license-grams")
-    names = [r["gram"] for r in vocabulary.orderBy(F.desc("other"), "gram").collect()]
+    # A gram is found by its rarer word, so that scanning for one word per gram finds all. That word has to be rare as well.
+    rare = {r["gram"]: r["prose"] for r in counted.filter(~F.col("gram").contains(" ")).collect()}
+    trigger = {g: min(g.split(" "), key=lambda w: (rare.get(w, 0), w)) for g in [r["gram"] for r in vocabulary.orderBy(F.desc("other"), "gram").collect()]}
+    names = [g for g, w in trigger.items() if rare.get(w, 0) <= COMMON * n_prose]
     vectors = CountVectorizerModel.from_vocabulary(names, inputCol="grams", outputCol="features")
     vectors.setBinary(True)
     classes = [PROSE, UNKNOWN, *sorted(NOTICES)]
@@ -135,10 +138,8 @@ def train_license_model(docs: DataFrame, text: str = "text", max_prose: int = MA
     intercepts = [float(x) for x in fitted.interceptVector]
     if max(range(len(classes)), key=lambda i: intercepts[i]) != 0:
         raise ValueError("a paragraph without features must be prose; there are too few ordinary paragraphs to learn from")
-    # A pair is found by its rarer word, so that scanning for one word per gram finds all.
-    rare = {r["gram"]: r["prose"] for r in counted.filter(~F.col("gram").contains(" ")).collect()}
     weights = spark.createDataFrame(
-        [(g, min(g.split(" "), key=lambda w: (rare.get(w, 0), w)), [float(x) for x in table[:, i]]) for i, g in enumerate(names)],
+        [(g, trigger[g], [float(x) for x in table[:, i]]) for i, g in enumerate(names)],
         "gram string, trigger string, w array<double>")
     held = fitted.transform(vectored.filter("held_out")).select("y", vector_to_array("rawPrediction").alias("raw"))
     tried = held.withColumn("t", F.explode(F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)]))).withColumn("p", _softmax(F.col("raw"), F.col("t")))
