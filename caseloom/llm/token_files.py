@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +33,12 @@ from caseloom.plans.store import fresh_path, stored
 
 END = 0
 SEGMENT = 1 << 20      # ids after which a segment ends
-CACHE = 700_000        # units whose ids a worker remembers at a time
+CACHE = 500_000        # units, and twice as many words, whose ids a worker remembers at a time
 _BREAK = re.compile(r"(?= \S)")
-_ODD_SPACE = re.compile(r" (?:\s|$)")
+#: White space other than single blanks and line feeds, as it looks in UTF-8 (with a few others that begin alike).
+_ODD_SPACE = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\x00",
+              b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_MARKS = string.punctuation.replace("'", "")
 _ENCODERS: dict[int, UnitEncoder] = {}
 
 
@@ -43,9 +47,10 @@ _ENCODERS: dict[int, UnitEncoder] = {}
 class UnitEncoder:
     """Ids of whole texts by a byte-level tokenizer, unit by unit.
 
-    Its pre-tokenizer always begins a piece at a space that something other than
-    white space follows, and merges never go over pieces. So a text's ids are those
-    of its units one after the other, and units, mostly words, come again and again.
+    Its pre-tokenizer always begins a piece at a blank that something other than
+    white space follows, around a single line feed, and where letters end and
+    punctuation begins; merges never go over pieces. So a text's ids are those of its
+    units one after the other, and units, mostly words, come again and again.
     """
 
     def __init__(self, definition: str):
@@ -54,24 +59,46 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.known: dict[str, bytes] = {"": b""}     # units as they stand in texts
+        self.words: dict[str, bytes] = {}            # units without the punctuation behind them
+
+    @staticmethod
+    def units(text: bytes) -> list[str]:
+        line = text.decode("utf-8", "replace")
+        if any(odd in text for odd in _ODD_SPACE):
+            return _BREAK.split(line)
+        return line.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def learn(self, units: set[str]) -> None:
+        parts, fresh = [], {}
+        words, known = self.words, self.known
+        for unit in units:
+            word = unit.rstrip(_MARKS)
+            marks = unit[len(word):]
+            if marks and not word.lstrip(" ").isalpha():
+                word, marks = unit, ""
+            parts.append((unit, word, marks))
+            if word not in words:
+                fresh[word] = True
+            if marks and marks not in words:
+                fresh[marks] = True
+        for part, made in zip(fresh, self.tokenizer.encode_batch_fast(list(fresh), add_special_tokens=False)):
+            words[part] = b"".join([i.to_bytes(4, "little") for i in made.ids])
+        for unit, word, marks in parts:
+            known[unit] = words[word] + words[marks] if marks else words[word]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        split = []
-        for text in texts:
-            if _ODD_SPACE.search(text):
-                split.append(_BREAK.split(text))
-            else:
-                head, *rest = text.split(" ")
-                split.append([head, *[" " + x for x in rest]])
         if len(self.known) > CACHE:
             self.known = {"": b""}
-        known = self.known
-        missing = list({u for units in split for u in units if u not in known})
-        for unit, made in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            known[unit] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join([known[u] for u in units]) for units in split]
+        if len(self.words) > 2 * CACHE:
+            self.words = {}
+        split = [self.units(t) for t in texts]
+        found = [list(map(self.known.get, units)) for units in split]
+        unknown = {u for units, ids in zip(split, found) if None in ids for u, i in zip(units, ids) if i is None}
+        if unknown:
+            self.learn(unknown)
+        return [b"".join(map(self.known.__getitem__, units) if None in ids else ids) for units, ids in zip(split, found)]
 
 
 def _encoder(definition: str) -> UnitEncoder:
@@ -91,7 +118,7 @@ def encoded(docs: DataFrame, tokenizer_file: str, text: str, carry: list[str], e
         pack = zstandard.ZstdCompressor(level=1).compress
         last = np.array([end], "<u4").tobytes()
         n, packed = [], []
-        for ids in _encoder(sent.value).encode([t.decode("utf-8", "replace") for t in texts.to_pylist()]):
+        for ids in _encoder(sent.value).encode(texts.to_pylist()):
             ids = np.frombuffer(ids + last, "<u4")
             n.append(len(ids))
             packed.append(pack(_narrow(ids)))

@@ -29,9 +29,18 @@ def expected(rows):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Bé", "'s", "n't", "12", " ", " ", "\x1c", "\x85", "。", "語", "<|endoftext|>", "-", "🙂", "́"]), max_size=14).map("".join))
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Bé", "'s", "n't", "12", " ", " ", "\x1c", "\x85", "。", "語", "<|endoftext|>", "-", "🙂", "́", "word", "Ab.", "x%%%", "²", "\0", "é!'s"]), max_size=14).map("".join))
 def test_units_give_the_ids_of_the_text(text):
-    assert np.frombuffer(UNITS.encode([text])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(UNITS.encode([text.encode()])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_that_forgets(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 50)
+    units = token_files.UnitEncoder(open(FILE, encoding="utf-8").read())
+    for i in range(40):
+        texts = [" ".join(f"word{'abcdefgh'[j % 8] * (j % 5)}{i * j}, and" for j in range(30)), "again and again"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in units.encode([t.encode() for t in texts])] == [
+            PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("count", [0, 1, 3, 4, 5, 1000])
