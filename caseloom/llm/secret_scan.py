@@ -1,7 +1,9 @@
 """Secrets in texts: candidate strings, and a random forest that takes the false ones out.
 
-A candidate is a word of a line with sixteen or more characters of a key in a row.
-What it is like - length, changes between kinds of characters, how much of it
+A candidate is a run of sixteen or more characters of a key; a word of a line can
+have several. A JSON web token is one candidate with all its parts. A name before
+``=`` or ``:`` is no candidate, but belongs to what stands around the value.
+What a candidate is like - length, changes between kinds of characters, how much of it
 dictionary words cover, whether it looks like a path and what stands next to it -
 goes to a random forest trained on labelled findings.
 """
@@ -17,6 +19,9 @@ from caseloom.llm.tables import ROW, stored_with_row
 from caseloom.plans.store import stored
 
 KEY = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+NAME = r"[A-Za-z_\-]+(?:[0-9]{1,2}[A-Za-z_\-]*)?[\"'`]?[=:][\"'`]?[A-Za-z0-9+/_\-]"   # a variable or a member, and the first character of its value
+WEB_TOKEN = r"eyJ[A-Za-z0-9_\-]{13,}(?:\.[A-Za-z0-9_\-]+){1,4}"
+RUN = rf"(?<![A-Za-z0-9+/_\-])(?!{NAME})(?:{WEB_TOKEN}|{KEY})"
 MAX_FINDINGS = 2000      # labelled findings per label that are learned from
 DICTIONARY = 2000        # most frequent words, the pieces of which count as dictionary
 NEAR = 3                 # neighbouring words on each side
@@ -31,21 +36,26 @@ FEATURES = ["length", "changes", "distinct", "digits", "upper", "vowels", "hex_o
 
 
 def candidates(docs: DataFrame, text: str, place: Column, carry: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Stored documents ``(row, carry, found)`` and candidates ``(row, line_no, word_no, place, value, before, word, after)``.
+    """Stored documents ``(row, carry, found)`` and candidates ``(row, line_no, word_no, run_no, place, value, before, word, after)``.
 
     Only lines that have a candidate are taken apart; ``before`` and ``after`` are the
-    neighbouring words in the line.
+    neighbouring words in the line. ``word`` is the candidate's part of its word: what
+    follows the candidate before it, and behind the last one the rest.
     """
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("x")))
-    own = docs.select(*carry, place.alias("place"), F.filter(lines, lambda p: p["x"].rlike(KEY)).alias("l"))
+    own = docs.select(*carry, place.alias("place"), F.filter(lines, lambda p: p["x"].rlike(RUN)).alias("l"))
     exploded = own.withColumn("l", F.transform("l", lambda l: F.struct(l["no"].alias("no"), F.split(l["x"], r"[ \t\r\f\x0B]+").alias("w"))))
-    near = exploded.withColumn("found", F.flatten(F.transform("l", lambda l: F.transform(
-        F.filter(F.transform(l["w"], lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].rlike(KEY)),
+    near = exploded.withColumn("words", F.flatten(F.transform("l", lambda l: F.transform(
+        F.filter(F.transform(l["w"], lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].rlike(RUN)),
         lambda p: F.struct(
-            l["no"].alias("line_no"), p["i"].alias("word_no"), F.regexp_extract(p["x"], KEY, 0).alias("value"), p["x"].alias("word"),
+            l["no"].alias("line_no"), p["i"].alias("word_no"), F.regexp_extract_all(p["x"], F.lit(RUN), F.lit(0)).alias("values"), F.split(p["x"], RUN).alias("around"),
             F.array_join(F.slice(l["w"], F.greatest(F.lit(1), p["i"] + 1 - NEAR), F.least(p["i"], F.lit(NEAR))), " ").alias("before"),
             F.array_join(F.slice(l["w"], p["i"] + 2, F.lit(NEAR)), " ").alias("after"))))))
-    scanned = stored_with_row(near.drop("l"), "candidates")
+    near = near.withColumn("found", F.flatten(F.transform("words", lambda p: F.transform(p["values"], lambda v, k: F.struct(
+        p["line_no"], p["word_no"], k.alias("run_no"), v.alias("value"),
+        F.concat(p["around"][k], v, F.when(k == F.size(p["values"]) - 1, p["around"][k + 1]).otherwise("")).alias("word"),
+        p["before"], p["after"])))))
+    scanned = stored_with_row(near.drop("l", "words"), "candidates")
     return scanned, scanned.select(ROW, "place", F.inline("found"))
 
 
@@ -136,7 +146,7 @@ def find_secrets(docs: DataFrame, text: str, place: Column, carry: list[Column],
     pieces = stored(dictionary_pieces(docs, text), "dictionary")
     featured = stored(with_features(found, pieces), "featured")
     forest = train_forest(rule_labelled(featured) if findings is None else findings)
-    judged = scored(featured, forest).select(ROW, "line_no", "word_no", "place", "value", "before", "after", "score")
+    judged = scored(featured, forest).select(ROW, "line_no", "word_no", "run_no", "place", "value", "before", "after", "score")
     return scanned, judged.withColumn("secret", F.col("score") >= SECRET_AT)
 
 
@@ -150,7 +160,7 @@ def secret_scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pla
     """
     where = F.col(place).cast("string") if place in docs.columns else F.lit("")
     scanned, judged = find_secrets(docs, text, where, [F.col(id_col).alias("id")])
-    order = F.array_sort(F.collect_list(F.when(F.col("secret"), F.struct("line_no", "word_no", "value"))))
+    order = F.array_sort(F.collect_list(F.when(F.col("secret"), F.struct("line_no", "word_no", "run_no", "value"))))
     by_row = judged.groupBy(ROW).agg(
         F.count(F.lit(1)).alias("n_candidates"), F.sum(F.col("secret").cast("long")).alias("n_secrets"), F.max("score").alias("best_score"),
         F.array_join(F.transform(order, lambda s: s["value"]), "\n").alias("all"))

@@ -79,3 +79,41 @@ def test_odd_rows(spark, odd_documents):
     assert len(got) == 10 and all(r.n_secrets == 0 and r.secrets_sha256 == "" for r in got)
     assert secret_scan.secret_scan(odd_documents.drop("source").limit(0)).count() == 0
     assert secret_scan.without_secrets(odd_documents).count() == 10
+
+
+def test_all_runs_of_a_word(spark, documents):
+    """Environment lines, minified JSON, addresses and web tokens: the values, all of them, and not their names."""
+    one, two = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzK4pQ2sT9v", "fedc0123456789abba9876543210cdef"
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    cases = {
+        f"AWS_SECRET_ACCESS_KEY={one}": [one], f"export MY_VERY_LONG_AUTH_TOKEN_2='{two}'": [two], f"AZURE_STORAGE_ACCOUNT_KEY={two}==": [two + "=="],
+        f'{{"api_key":"{one}","refresh_token_of_client":"{two}"}}': [one, two],
+        f'{{"a":"{two}=","b":"{one}"}}': [two + "=", one],
+        f"https://a-very-long-host-label.example.com/?user=1&token={two}&sig={one}": ["//a-very-long-host-label", two, one],
+        f"https://{two}:x-oauth-basic@host.org/": ["//" + two],
+        f"Authorization: Bearer {jwt}": [jwt], f"token={jwt};": [jwt],
+        "SOME_LONG_SETTING_NAME=on": [], "no key at all": [],
+    }
+    docs = documents(list(cases))
+    scanned, found = secret_scan.candidates(docs, "text", F.lit(""), [F.col("doc_id").alias("id")])
+    rows = found.join(scanned.select(secret_scan.ROW, "id"), secret_scan.ROW).orderBy("id", "line_no", "word_no", "run_no").collect()
+    assert [[r.value for r in rows if r.id == i] for i in range(len(cases))] == list(cases.values())
+    named = {(r.id, r.run_no): r.word for r in rows}
+    assert named[3, 0] == f'{{"api_key":"{one}' and named[3, 1] == f'","refresh_token_of_client":"{two}"}}'
+
+
+def test_all_secrets_of_a_word_are_replaced(spark, documents):
+    rng = random.Random(11)
+
+    def key(n=40):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    prose = [f"see thisisaverylongname{'aeiou'[i % 5]}word for the {10**15 + i} number" for i in range(60)]
+    single = [f'the client sets api_key = "{key()}" here' for _ in range(60)]
+    keys = [[key(), key()] for _ in range(20)]
+    words = [f'{{"api_key":"{a}","token":"{b}"}}' if i % 2 else f"https://host.org/?api_key={a}&token={b}" for i, (a, b) in enumerate(keys)]
+    docs = documents(prose + single + words)
+    got = [r.n_secrets for r in secret_scan.secret_scan(docs).orderBy("doc_id").collect()]
+    assert got == [0] * 60 + [1] * 60 + [2] * 20
+    for r in secret_scan.without_secrets(docs).collect():
+        assert not any(k in r.text for pair in keys for k in pair)
