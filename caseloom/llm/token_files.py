@@ -51,14 +51,22 @@ class UnitEncoder:
     white space follows, around a single line feed, and where letters end and
     punctuation begins; merges never go over pieces. So a text's ids are those of its
     units one after the other, and units, mostly words, come again and again.
+
+    With ``added``, as the library has it by default, the strings of added tokens in a
+    text are these tokens, and a text that has one is encoded whole. Without it, those
+    of special tokens are ordinary text.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        kinds = self.tokenizer.get_added_tokens_decoder().values() if added else []
+        self.added = [t.content.encode() for t in kinds if t.content]
+        #: Such tokens are looked for in the normalised text, which need not have the same characters.
+        self.whole = self.tokenizer.normalizer is not None and any(t.normalized for t in kinds)
         self.known: dict[str, bytes] = {"": b""}     # units as they stand in texts
         self.words: dict[str, bytes] = {}            # units without the punctuation behind them
 
@@ -89,6 +97,19 @@ class UnitEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
+        odd = [i for i, t in enumerate(texts) if self.whole or any(a in t for a in self.added)]
+        if odd:
+            plain = list(texts)
+            for i in odd:
+                plain[i] = b""
+            out = self._by_units(plain)
+            for i in odd:
+                ids = self.tokenizer.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids
+                out[i] = np.array(ids, "<u4").tobytes()
+            return out
+        return self._by_units(texts)
+
+    def _by_units(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {"": b""}
         if len(self.words) > 2 * CACHE:
@@ -105,7 +126,7 @@ def _encoder(definition: str) -> UnitEncoder:
     key = hash(definition)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = UnitEncoder(definition)
+        _ENCODERS[key] = UnitEncoder(definition, added=True)
     return _ENCODERS[key]
 
 
@@ -274,7 +295,9 @@ def token_documents(spark, path: str) -> DataFrame:
 def token_output(docs: DataFrame, tokenizer_file: str, text: str = "text", id_col: str = "doc_id", segment: int = SEGMENT) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and tell, from the files, ``doc_id, start, n_tokens, ids_crc32``.
 
-    A NULL or empty text has the end id alone. NULL ids come first, equal ids in
+    Ids are those of ``Tokenizer.from_file(tokenizer_file).encode(text, add_special_tokens=False)``,
+    so that the string of an added token in a text is that token. A NULL or empty
+    text has the end id alone. NULL ids come first, equal ids in
     an order that their texts decide; each row is a document. An empty table gives
     files without segments and no rows.
     """

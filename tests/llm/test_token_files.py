@@ -80,3 +80,19 @@ def test_odd_rows(spark, odd_documents):
     assert [r.doc_id for r in got] == [None, None, 1, 2, 3, 3, 3, 4, 5, 6]
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
     assert token_files.token_output(odd_documents.limit(0), FILE).count() == 0
+
+
+def test_added_tokens_as_the_library_has_them(spark, documents):
+    """Against an unchanged tokenizer: the string of a special token in a text is that token."""
+    library = Tokenizer.from_file(FILE)
+    texts = ["a <|endoftext|> b", "plain words, here", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny", "<|endoftext| >", "", "again plain words,", "<|endoftext|>."]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    units = token_files.UnitEncoder(open(FILE, encoding="utf-8").read(), added=True)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in units.encode([t.encode() for t in texts])] == want
+    at, rows = 0, []
+    for i, ids in enumerate(want):
+        ids = [*ids, 0]
+        rows.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert [tuple(r) for r in token_files.token_output(documents(texts), FILE).orderBy("start").collect()] == rows
