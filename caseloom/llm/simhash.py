@@ -233,7 +233,11 @@ def filed(prints: DataFrame, chunk: int = CHUNK, more: Sequence[str] = ()) -> Da
         return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1))
 
     keys = [F.lit(n << 26).bitwiseOR(F.shiftleft(piece(i), 13).bitwiseOR(piece(j))) for n, (i, j) in enumerate(pairs)]
-    rows = prints.select("fp", *more, F.explode(F.array(*keys)).alias("key"))
+    return dealt_files(prints.select("fp", *more, F.explode(F.array(*keys)).alias("key")), chunk, more)
+
+
+def dealt_files(rows: DataFrame, chunk: int = CHUNK, more: Sequence[str] = ()) -> DataFrame:
+    """``(key, lo, hi, fp, more)`` of ``rows(key, fp, more)``: files of one left out, long ones as all pairs of their chunks."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = (
         rows.join(sizes, "key")

@@ -60,7 +60,7 @@ def op8_token_output(spark, sf_dir):
 
 @query
 def op6_line_dedup(spark, sf_dir):
-    return fuzzy_lines.fuzzy_line_dedup(read(spark, sf_dir, "documents"))
+    return fuzzy_lines.fuzzy_line_dedup(read(spark, sf_dir, "documents"), radius=None)
 
 
 @query
