@@ -7,6 +7,10 @@ calibrated on paragraphs held out of the training; a family that is not sure
 enough becomes ``unknown``. A predicted family is confirmed when most five-word
 shingles of one of its notices stand in the paragraph.
 
+Notices are mostly wrapped. So lines near one with three words of a notice are read
+once more, each with those that follow it: a notice that stands there, and not in
+the line or in those that follow alone, is a confirmed statement as well.
+
 The vocabulary has no word that ordinary paragraphs are full of, so that most
 paragraphs have no feature at all. These get the probabilities of the intercepts,
 which are those of prose, and never leave the scan.
@@ -14,6 +18,7 @@ which are those of prose, and never leave the scan.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -30,6 +35,8 @@ MAX_GRAMS = 4096       # size of the vocabulary
 COMMON = 0.01          # a feature is left out if more of the ordinary paragraphs have it, or each of its words
 PRECISION = 0.98       # of sure families among held-out paragraphs
 SHINGLE, SIMILARITY = 5, 0.8
+NEAR = 16              # lines before and behind a line with words of a notice, over which it may be wrapped
+WRAPPED = 64           # words of a line, and of those that follow; more than any notice has
 
 # Short notices of well-known licences, by family.
 NOTICES = {
@@ -160,29 +167,118 @@ def _softmax(raw: Column, temperature: Column) -> Column:
     return F.transform(scaled, lambda x: x / F.aggregate(scaled, F.lit(0.0), lambda a, b: a + b))
 
 
+def _notice_words() -> list[tuple[str, list[str]]]:
+    return [(f, re.findall("[a-z0-9]+", n.lower())) for f, notices in NOTICES.items() for n in notices]
+
+
+def _three_words(words: Column) -> Column:
+    def behind(at):
+        return F.slice(words, at, F.greatest(F.lit(1), F.size(words)))
+
+    def joined(a, b):
+        return F.when(b.isNotNull(), F.concat_ws(" ", a, b))
+
+    return F.zip_with(F.zip_with(words, behind(2), joined), behind(3), joined)
+
+
 def license_paragraphs(docs: DataFrame, model: LicenseModel, text: str, carry: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Stored documents ``(row, carry, n_paragraphs)`` and their statements ``(row, par_no, paragraph, family, probability, confirmed)``."""
+    """Stored documents ``(row, carry, n_paragraphs, found, near)`` and their statements ``(row, par_no, paragraph, family, probability, confirmed)``."""
     triggers = F.array(*[F.lit(r["trigger"]) for r in model.weights.select("trigger").distinct().orderBy("trigger").collect()])
+    threes = F.array(*[F.lit(t) for t in sorted({" ".join(w[i:i + 3]) for _, w in _notice_words() for i in range(len(w) - 2)})])
     scanned = stored_with_row(
         docs.select(*carry, paragraphs(F.col(text)).alias("p")).select(
             "*", F.size("p").cast("long").alias("n_paragraphs"),
             F.filter(F.transform("p", lambda x, i: F.struct(i.alias("no"), x.alias("x"))), lambda p: F.arrays_overlap(word_list(p["x"]), triggers)).alias("found")
-        ).drop("p"), "license-scan")
+        ).withColumn("hits", F.transform(F.filter("found", lambda p: F.arrays_overlap(_three_words(word_list(p["x"])), threes)), lambda p: p["no"])
+        ).withColumn("near", F.when(F.size("hits") > 0, F.filter(
+            F.transform("p", lambda x, i: F.struct(i.alias("no"), x.alias("x"))), lambda p: F.exists("hits", lambda h: F.abs(p["no"] - h) <= NEAR)))
+        ).drop("p", "hits"), "license-scan")
     found = scanned.select(ROW, F.explode("found").alias("f")).select(ROW, F.col("f.no").alias("par_no"), F.col("f.x").alias("paragraph"))
-    grams = found.select(ROW, "par_no", F.explode(gram_list(word_list(F.col("paragraph")))).alias("gram"))
-    n = len(model.classes)
-    scores = grams.join(F.broadcast(model.weights.select("gram", "w")), "gram").groupBy(ROW, "par_no").agg(  # at most MAX_GRAMS rows
-        *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(n)])
-    raw = F.array(*[F.col(f"s{i}") + F.lit(model.intercepts[i]) for i in range(n)])
     classes = F.array(*map(F.lit, model.classes))
     judged = (
-        scores.select(ROW, "par_no", raw.alias("raw")).withColumn("p", _softmax(F.col("raw"), F.lit(model.temperature)))
+        _probabilities(found.select(ROW, "par_no", word_list(F.col("paragraph")).alias("words")), model)
         .withColumn("top", F.array_max("p")).withColumn("label", F.element_at(classes, F.array_position("p", F.col("top")).cast("int")))
         .filter(F.col("label") != PROSE)
         .withColumn("family", F.when(F.col("top") >= model.threshold, F.col("label")).otherwise(UNKNOWN))
         .select(ROW, "par_no", "family", F.col("top").alias("probability"))
     )
-    return scanned, confirmed(found.join(judged, [ROW, "par_no"]))
+    return scanned, confirmed(found.join(judged, [ROW, "par_no"])).unionByName(wrapped(scanned, model))
+
+
+def _probabilities(units: DataFrame, model: LicenseModel) -> DataFrame:
+    """``(row, par_no, p)``: the classes' probabilities of ``units(row, par_no, words)`` with a feature."""
+    grams = units.select(ROW, "par_no", F.explode(gram_list(F.col("words"))).alias("gram"))
+    n = len(model.classes)
+    scores = grams.join(F.broadcast(model.weights.select("gram", "w")), "gram").groupBy(ROW, "par_no").agg(  # at most MAX_GRAMS rows
+        *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(n)])
+    raw = F.array(*[F.col(f"s{i}") + F.lit(model.intercepts[i]) for i in range(n)])
+    return scores.select(ROW, "par_no", raw.alias("raw")).select(ROW, "par_no", _softmax(F.col("raw"), F.lit(model.temperature)).alias("p"))
+
+
+def _in_order(words: Column, size: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size)), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+
+
+def _shingles(words: Column, size: Column) -> Column:
+    return F.array_distinct(_in_order(words, size))
+
+
+def wrapped(scanned: DataFrame, model: LicenseModel) -> DataFrame:
+    """Confirmed statements that go over line ends, as ``confirmed`` has them, each at the line that it begins in.
+
+    Notices of some families are nearly those of others: of families that have a
+    shingle in common, the one with the larger share is stated.
+    """
+    spark = scanned.sparkSession
+    lines = scanned.filter(F.size("near") > 1).select(ROW, F.transform("near", lambda p: F.struct(
+        p["no"].alias("no"), word_list(F.regexp_replace(p["x"], r"(?i)^\s*(rem|dnl)\s", "")).alias("w"))).alias("l"))
+    begun = stored(lines, "license-near").select(ROW, "l", F.explode(F.sequence(F.lit(1), F.size("l"))).alias("at")).select(
+        ROW, F.element_at("l", F.col("at")).alias("b"), F.slice("l", F.col("at") + 1, NEAR).alias("more"))
+    parts = begun.select(
+        ROW, F.col("b.no").alias("par_no"), F.slice("b.w", F.greatest(F.lit(1), F.size("b.w") - WRAPPED + 1), WRAPPED).alias("own"),
+        F.slice(F.flatten(F.transform(F.filter("more", lambda p, i: p["no"] == F.col("b.no") + i + 1), lambda p: p["w"])), 1, WRAPPED).alias("rest"))
+    units = stored(parts.filter((F.size("own") > 0) & (F.size("rest") > 0)).withColumn("words", F.concat("own", "rest")), "license-units")
+
+    def key(words):
+        size = min(SHINGLE, len(words))
+        return len(words) * 5 // 4 - size + 1, size, list(dict.fromkeys(" ".join(words[i:i + size]) for i in range(len(words) - size + 1)))
+
+    keys: dict[str, list] = {}
+    for family, words in _notice_words():
+        keys.setdefault(family, []).append(key(words))
+    every = {f: {x for *_, shingles in known for x in shingles} for f, known in keys.items()}
+    families = spark.createDataFrame(
+        [(f, keys[f], [g for g in keys if every[f] & every[g]]) for f in sorted(keys)],
+        "family string, notices array<struct<reach int, size int, shingles array<string>>>, rivals array<string>")
+    held = units.select(ROW, "par_no", "words", *[
+        F.array(*[_in_order(F.col(c), F.lit(k)) for k in range(1, SHINGLE + 1)]).alias(f"of_{c}") for c in ("words", "own", "rest")],
+        F.size("own").alias("n_own"))
+
+    def held_in(c, shingles, n, reach):
+        return F.array_intersect(shingles, F.slice(F.element_at(F.col(c), n["size"]), 1, reach))
+
+    def alone(c, reach):
+        return F.array_max(F.transform("notices", lambda n: F.size(held_in(c, n["shingles"], n, reach(n))) / F.size(n["shingles"])))
+
+    def begun_share(n):
+        """Shingles from the first one on that begins in the line; not those of a next notice, behind the end of one."""
+        first = F.array_position(n["shingles"], F.get(held_in("of_words", n["shingles"], n, F.col("n_own")), F.lit(0))).cast("int")
+        later = F.slice(n["shingles"], F.greatest(F.lit(1), first), F.size(n["shingles"]))
+        return F.coalesce(F.size(held_in("of_words", later, n, F.col("n_own") + n["reach"])) / F.size(n["shingles"]) * F.sign(first), F.lit(0.0))
+
+    shares = held.crossJoin(F.broadcast(families)).select(  # one row per family of NOTICES
+        ROW, "par_no", "words", "family", "rivals", F.array_max(F.transform("notices", begun_share)).alias("similarity"),
+        alone("of_own", lambda n: F.lit(WRAPPED)).alias("own"), alone("of_rest", lambda n: n["reach"]).alias("rest"))
+    likely = shares.filter(F.col("similarity") >= SIMILARITY)
+    best = likely.groupBy(ROW, "par_no").agg(F.collect_list(F.struct("family", "similarity")).alias("others"))  # a family once
+    stated = likely.filter((F.col("own") < SIMILARITY) & (F.col("rest") < SIMILARITY)).join(best, [ROW, "par_no"]).filter(
+        ~F.exists("others", lambda o: F.array_contains("rivals", o["family"]) & (o["similarity"] > F.col("similarity"))))
+    stated = stored(stated.select(ROW, "par_no", "words", "family", "similarity"), "license-wrapped")
+    at = F.array_position(F.array(*map(F.lit, model.classes)), F.col("family")).cast("int")
+    chances = _probabilities(stated.select(ROW, "par_no", "words").dropDuplicates([ROW, "par_no"]), model)
+    return stated.join(chances, [ROW, "par_no"], "left").select(
+        ROW, "par_no", F.array_join("words", " ").alias("paragraph"), "family", F.coalesce(F.element_at("p", at), F.lit(0.0)).alias("probability"),
+        "similarity", F.lit(True).alias("confirmed"))
 
 
 def confirmed(statements: DataFrame) -> DataFrame:
@@ -193,13 +289,10 @@ def confirmed(statements: DataFrame) -> DataFrame:
     """
     spark = statements.sparkSession
 
-    def shingles(words, size):
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size)), lambda i: F.array_join(F.slice(words, i + 1, size), " ")))
-
     notices = (
         spark.createDataFrame([(f, n) for f, notices in NOTICES.items() for n in notices], "family string, text string")
         .withColumn("w", word_list(F.col("text"))).withColumn("size", F.least(F.lit(SHINGLE), F.size("w")))
-        .withColumn("shingles", shingles(F.col("w"), F.col("size")))
+        .withColumn("shingles", _shingles(F.col("w"), F.col("size")))
         .groupBy("family").agg(F.collect_list(F.struct("size", "shingles")).alias("notices"))
     )
     words = word_list(F.col("paragraph"))
@@ -208,7 +301,7 @@ def confirmed(statements: DataFrame) -> DataFrame:
     best = F.coalesce(F.array_max(share), F.lit(0.0))
     return (
         statements.join(F.broadcast(notices), "family", "left")  # one row per family of NOTICES
-        .withColumn("holds", F.array(*[shingles(words, F.lit(k)) for k in range(1, SHINGLE + 1)]))
+        .withColumn("holds", F.array(*[_shingles(words, F.lit(k)) for k in range(1, SHINGLE + 1)]))
         .select(ROW, "par_no", "paragraph", "family", "probability", best.alias("similarity"), (best >= SIMILARITY).alias("confirmed"))
     )
 
@@ -216,7 +309,8 @@ def confirmed(statements: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", model: LicenseModel | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_paragraphs, n_statements, n_confirmed, families, confirmed_families, best_probability``.
 
-    The lists of families are sorted and comma-joined; ``best_probability`` is that
+    Paragraphs are lines. A notice that is wrapped over lines is one statement more than
+    those that its lines make by themselves. The lists of families are sorted and comma-joined; ``best_probability`` is that
     of the surest statement, NULL without any. NULL and empty texts have no
     paragraphs. Each row is a document, whatever its id; an empty table gives no
     rows; other columns play no part.

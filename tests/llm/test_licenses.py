@@ -60,3 +60,50 @@ def test_odd_rows(spark, odd_documents):
     got = licenses.license_scan(odd_documents).collect()
     assert len(got) == 10 and all(r.families == "" and r.best_probability is None for r in got)
     assert licenses.license_scan(odd_documents.limit(0)).count() == 0
+
+
+WRAPPED = {
+    "mit": """MIT License
+
+Copyright (c) 2019 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "bsd": """# Copyright 2011 A. Person
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:
+#
+#    * Redistributions of source code must keep this notice.""",
+    "gpl": """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() { return 0; }""",
+    "agpl": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published
+    by the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "apache": """REM Licensed under the Apache License, Version 2.0 (the "License");
+REM you may not use this file except in compliance with the License.
+REM You may obtain a copy of the License at""",
+    "": """The man with the driving license has a right
+to work here.""",
+}
+
+
+def test_wrapped_notices(model, documents):
+    texts = [f"{before}{text}{after}" for text in WRAPPED.values() for before, after in (("", ""), ("Some words.\nOther words.\n", "\nThe end.\nOf it."))]
+    got = licenses.license_scan(documents(texts), model=model).orderBy("doc_id").collect()
+    assert [r.confirmed_families for r in got] == [f for f in WRAPPED for _ in range(2)]
+    for r, text in zip(got, texts):
+        assert r.n_paragraphs == sum(1 for line in text.split("\n") if line.strip())
+    twice = WRAPPED["gpl"] + "\n" + WRAPPED["bsd"]
+    assert licenses.license_scan(documents([twice]), model=model).first().confirmed_families == "bsd,gpl"
+    one, two = (licenses.license_scan(documents([WRAPPED["bsd"]] * 1 if k == 1 else [WRAPPED["bsd"] + "\n\n" + WRAPPED["bsd"]]), model=model).first().n_confirmed for k in (1, 2))
+    assert (one, two) == (1, 2)
