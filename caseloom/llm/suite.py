@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from caseloom.llm import chat, decontaminate, exact, fuzzy_lines, language, licenses, mixing, secret_scan, simhash, token_files
+from caseloom.llm import (
+    chat, decontaminate, exact, filter_audit, fuzzy_lines, language, licenses, mixing, secret_scan, simhash, token_files,
+)
 from caseloom.llm.tables import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,3 +78,55 @@ def op1_license_scan(spark, sf_dir):
 @query
 def op7_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_filter_interactions(spark, sf_dir):
+    return filter_audit.filter_interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_interactions"] = r"""
+with recursive letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as letter),
+orders as (
+  select letter as filter_order from letters
+  union all
+  select filter_order || letter from orders, letters where position(letter in filter_order) = 0
+),
+words as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents
+),
+failing as (
+  select d.doc_id, part,
+         if(len(w) < 200, 'A', '') || if(100 * len(list_distinct(w)) < 50 * len(w), 'B', '')
+         || if(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), 'C', '')
+         || if(regexp_matches(t, '[#$%&*|]'), 'D', '')
+         || if(doc_id > min(doc_id) over (partition by t), 'E', '') as mask,
+         exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1) as good,
+         exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1) as toxic
+  from words d
+),
+masks as (
+  select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from failing group by part, mask
+),
+steps as (
+  select part, filter_order, step, filter_order[step] as letter, mask, n, good, toxic,
+         len(regexp_extract(filter_order, if(mask = '', '.*', '[^' || mask || ']*'))) + 1 as gone
+  from masks, (select filter_order from orders where len(filter_order) = 5), (select unnest(range(1, 6)) as step)
+),
+counted as (
+  select part, filter_order, step::int as step, any_value(letter) as letter,
+         sum(if(gone > step, n, 0))::bigint as kept,
+         sum(if(gone = step, n, 0))::bigint as removed,
+         sum(if(gone < step and contains(mask, letter), n, 0))::bigint as redundant,
+         sum(if(mask = letter, n, 0))::bigint as unique_fails,
+         sum(if(gone = step, good, 0))::bigint as good_lost,
+         sum(if(gone = step, toxic, 0))::bigint as toxic_lost
+  from steps group by part, filter_order, step
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, letter))::bigint as shapley
+from counted
+"""
