@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from caseloom.llm import (
-    chat, decontaminate, exact, filter_audit, fuzzy_lines, language, licenses, mixing, secret_scan, simhash, token_files,
+    chat, decontaminate, exact, filter_audit, fuzzy_lines, language, licenses, mixing, secret_scan, simhash,
+    structure_repair, token_files,
 )
 from caseloom.llm.tables import read
 
@@ -80,6 +81,12 @@ def op7_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(read(spark, sf_dir, "documents"))
 
 
+@query
+def op12_conversation_repair(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations")
+    return structure_repair.conversation_audit(turns, structure_repair.damaged_turns(turns))
+
+
 @query
 def op13_filter_interactions(spark, sf_dir):
     return filter_audit.filter_interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
