@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from caseloom.llm import (
-    chat, decontaminate, exact, filter_audit, fuzzy_lines, language, licenses, mixing, secret_scan, simhash,
-    structure_repair, token_files,
+    chat, decontaminate, exact, filter_audit, fuzzy_lines, language, licenses, main_text, mixing, secret_scan,
+    simhash, structure_repair, token_files,
 )
 from caseloom.llm.tables import read
 
@@ -81,6 +81,11 @@ def op7_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_main_text(spark, sf_dir):
+    return main_text.extracted_texts(read(spark, sf_dir, "pages"), main_text.trained_field())
+
+
 @query
 def op12_conversation_repair(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
