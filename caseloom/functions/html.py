@@ -36,7 +36,7 @@ HIDDEN_OR_ANCHOR = (
     rf"(?is)<(?:{_COMMENT}|script\b[^>]*+>{up_to('/script[^a-z0-9]')}</script\s*+>"
     r"""|a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
 )
-HREF = (r'(?i)\shref\s*+=\s*+"([^"]*+)"', r"(?i)\shref\s*+=\s*+'([^']*+)'", r"""(?i)\shref\s*+=\s*+([^\s"'>]++)""")
+HREF = r"""(?i)\shref\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
@@ -65,12 +65,17 @@ def unescape(text: Column) -> Column:
         lambda piece, ref: F.concat(piece, F.when(ref.isNull(), "").otherwise(_character(ref)))), "")
 
 
+#: A reference other than that of the ampersand.
+_OTHER_REFERENCE = r"&(?!amp;)(?:#[0-9xX]|[A-Za-z][A-Za-z0-9]{1,31};)"
+
+
 def unescape_rare(text: Column) -> Column:
-    """The same where most texts hold no character reference: one look saves them the replacements.
+    """The same where most texts hold no character reference, or only ampersands: one look saves them the replacements.
 
     ``text`` should be a column or a lambda variable, for it is named several times.
     """
-    return F.when(F.contains(text, F.lit("&")), unescape(text)).otherwise(text)
+    held = F.contains(text, F.lit(";")) & F.contains(text, F.lit("&"))
+    return F.when(~held, text).when(~text.rlike(_OTHER_REFERENCE), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(unescape(text))
 
 
 def main_text(html: Column) -> Column:
@@ -81,8 +86,12 @@ def main_text(html: Column) -> Column:
 
 def href_of(tag: Column) -> Column:
     """Decoded ``href`` of an opening tag, in double, single or no quotes; empty where there is none."""
-    value = F.when(tag.rlike(HREF[0]), F.regexp_extract(tag, HREF[0], 1)).when(
-        tag.rlike(HREF[1]), F.regexp_extract(tag, HREF[1], 1)).otherwise(F.regexp_extract(tag, HREF[2], 1))
+
+    def bare(value: Column) -> Column:
+        quoted = F.left(value, F.lit(1)).isin("\"", "'")
+        return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+    value = F.get(F.transform(F.array(F.regexp_extract(tag, HREF, 1)), bare), F.lit(0))
     return F.get(F.transform(F.array(value), unescape_rare), F.lit(0))
 
 

@@ -22,9 +22,8 @@ def _error(status: Column, case_id: Column) -> Column:
 
 def _read(status_pages: DataFrame) -> DataFrame:
     """The pages with ``__status`` and ``__id``. Step by step, so that no expression is worked out twice."""
-    anchored = status_pages.withColumn("__anchor", C.status_anchor(F.col("html")))
-    inner = anchored.withColumn("__inner", C.anchor_text(F.col("__anchor"))).withColumn("__id", C.case_id(F.col("__anchor")))
-    return inner.withColumn("__status", C.status_text(F.col("__inner"))).drop("__anchor", "__inner")
+    linked = status_pages.withColumn("__plain", C.plain_link(F.col("html"))).withColumn("__link", C.status_link(F.col("html"), F.col("__plain")))
+    return linked.withColumn("__id", C.case_id(F.col("__link.tag"))).withColumn("__status", C.status_text(F.col("__link.text"))).drop("__plain", "__link")
 
 
 def case_status_extract(status_pages: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def responses(spark, sf_dir):
 
 
 def status_pages(spark, sf_dir):
-    """Portal pages in four ways of writing the same markup."""
+    """Portal pages in four ways of writing the same markup, and with a table in the first cell, a comment behind it and items in items."""
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as case_key",
         "cast(case when o_orderkey % 17 = 0 then 500 else 200 end as int) as status_code",
@@ -149,6 +149,9 @@ def status_pages(spark, sf_dir):
              when k % 10 = 3 then '<table><tr><td>PR</td><td><a href="viewcasestatus.do?type=prCases">' || said || '</a></td></tr></table>'
              when k % 10 = 4 then replace('<table><tr><td>PR</td> <td><a href="v.do?id=' || k || '&type=prCases">' || said
                || '</a></td></tr></table><ul><li class="mrgn-bttm-md">Received ' || pr || '</li></ul>', '"', chr(39))
+             when k % 250 = 15 then '<table><tr><td>PR<table><tr><td>no</td> <td><a href="?id=1&">no</a></td></tr></table></td><!-- <td>no</td> --> <td><b><a href="v.do?id=' || k
+               || '&type=prCases"><i>' || said || '</i></a></b></td></tr></table><ul><li class="mrgn-bttm-md">Received<ul><li class="mrgn-bttm-md"><b><i>inner ' || k
+               || '</i></b></li></ul></li><!-- <li class="mrgn-bttm-md">no</li> --></ul>'
              else '<table><tr><td>PR</td> <td><a href="viewcasestatus.do?id=' || k || '&type=prCases">' || chr(10) || said
                || '</a></td></tr></table><ul><li class="mrgn-bttm-md">Received ' || pr
                || '</li><li class="other">x</li><li class="mrgn-bttm-md">A <b>b</b> c</li></ul>' end as html""")

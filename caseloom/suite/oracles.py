@@ -73,7 +73,7 @@ STATUS_PAGES = """status_pages as (
          else 'ApplicationReceived' end as status,
     case when o_orderkey % 10 not in (0, 3) then cast(o_orderkey as varchar) end as case_id,
     case when o_orderkey % 10 in (0, 3) then [] when o_orderkey % 10 in (1, 4) then ['Received ' || o_orderpriority]
-         when o_orderkey % 10 = 2 then ['Reçu & ' || o_orderpriority] else ['Received ' || o_orderpriority, null] end as items
+         when o_orderkey % 10 = 2 then ['Reçu & ' || o_orderpriority] when o_orderkey % 250 = 15 then [null, 'inner ' || o_orderkey] else ['Received ' || o_orderpriority, null] end as items
   from orders)"""
 
 ELEMENTS = """elements as (
