@@ -343,6 +343,7 @@ ingested as (select doc_id, name, md5(content) as md5, split_part(name, '.', -1)
 ORACLES["upload_ingest"] = f"with {UPLOADS} select doc_id, name, md5, ext, md5 || '.' || ext as stored_name from ingested"
 ORACLES["content_dedup"] = f"with {UPLOADS} select md5, ext, min(doc_id) as doc_id, count(*) as copies from ingested group by md5, ext"
 ORACLES["incremental_ingest"] = f"with {UPLOADS} select md5, ext, count(*) as copies from ingested group by md5, ext"
+ORACLES["emit_once"] = f"with {UPLOADS} select distinct md5, ext, md5 || '.' || ext as stored_name from ingested"
 ORACLES["route_by_format"] = f"""with {UPLOADS}
 select doc_id, name, case ext when 'pdf' then 'text' when 'csv' then 'table' end as route from ingested"""
 

@@ -286,6 +286,20 @@ def incremental_ingest(spark, sf_dir):
     return ingest.ingest_store(spark, store).select("md5", "ext", "copies")
 
 
+@query
+def emit_once(spark, sf_dir):
+    """Two batches; then, after a restart, one with late copies of a third of the files under other names."""
+    arriving, store, checkpoint = (fresh_path(spark, label) for label in ("arriving", "store", "progress"))
+    rows = I.uploads(spark, sf_dir).select("doc_id", "name", "content", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("file"))
+    early = rows.filter("file < 3").select("name", "content", (F.col("file") % 2).alias("file"))
+    late = rows.filter("file = 3 or doc_id % 3 = 0").select(F.concat(F.lit("again-"), "name").alias("name"), "content")
+    for arrived in (early.repartition(2, "file").drop("file"), late.coalesce(1)):
+        arrived.write.mode("append").parquet(arriving)
+        found = ingest.arriving_rows(spark, arriving, "name string, content string", files_per_batch=1)
+        ingest.emit_once(found, store, checkpoint, partitions=2).awaitTermination()
+    return ingest.emitted(spark, store).select("md5", "ext", "stored_name")
+
+
 # --- tables ---------------------------------------------------------------------------------------------------------
 
 def _part_table(spark, sf_dir):

@@ -1,6 +1,9 @@
 import hashlib
 import json
 import os
+import time
+
+from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.operators import intake, uploads
@@ -97,3 +100,54 @@ def test_written_intermediates_are_removed(spark):
     other = S.stored(spark.range(2), "other")
     S.remove_paths(spark, paths)
     assert not os.path.exists(paths[0].removeprefix("file:")) and other.count() == 2
+
+
+def _once(spark, folder, store, checkpoint, **options):
+    found = ingest.arriving_rows(spark, folder, "name string, content string, arrived timestamp", files_per_batch=1, oldest="3650d")
+    query = ingest.emit_once(found, store, checkpoint, partitions=2, **options)
+    query.awaitTermination()
+    assert query.exception() is None
+    return query
+
+
+def _add(spark, folder, rows, days_old=0):
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    spark.createDataFrame(rows, "name string, content string, arrived string").withColumn("arrived", F.to_timestamp("arrived")).coalesce(1).write.mode(
+        "append").parquet(folder)
+    for name in set(os.listdir(folder)) - before:
+        then = time.time() - days_old * 86400
+        os.utime(os.path.join(folder, name), (then, then))
+
+
+def test_every_content_is_sent_on_once_over_batches_restarts_and_late_files(spark, tmp_path):
+    folder, store, checkpoint = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    now = "2024-05-01 10:00:00"
+    _add(spark, folder, [("a.pdf", "one", now), ("b.pdf", "one", now), ("c.txt", "one", now), ("d.pdf", None, now)])
+    _add(spark, folder, [("e.pdf", "two", now)] + [(f"x{i}.pdf", "hot", now) for i in range(200)])
+    _once(spark, folder, store, checkpoint)
+    first = {(r.name, r.arrived) for r in ingest.emitted(spark, store).collect()}
+    _add(spark, folder, [("f.pdf", "one", now), ("g.pdf", "three", now), ("h.pdf", "hot", now)], days_old=60)
+    _once(spark, folder, store, checkpoint)
+    _once(spark, folder, store, checkpoint)     # nothing new
+    got = [(r.md5, r.ext) for r in ingest.emitted(spark, store).collect()]
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    assert sorted(got, key=str) == sorted(
+        [(md5("one"), "pdf"), (md5("one"), "txt"), (md5("two"), "pdf"), (md5("hot"), "pdf"), (md5("three"), "pdf"), (None, "pdf")], key=str)
+    assert first <= {(r.name, r.arrived) for r in ingest.emitted(spark, store).collect()}
+
+
+def test_state_holds_what_arrived_within_its_time(spark, tmp_path):
+    folder, store, checkpoint = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for day in (1, 2, 3, 4):
+        _add(spark, folder, [(f"{i}.pdf", f"{day}-{i}", f"2024-05-0{day} 10:00:00") for i in range(50)])
+        query = _once(spark, folder, store, checkpoint, within="1 hour")
+    held = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]][-1]
+    # the batch before goes with the watermark that its successor sets
+    assert all(op["numRowsTotal"] <= 100 for op in held) and ingest.emitted(spark, store).count() == 200
+
+
+def test_settings_of_the_session_stay(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")}
+    _add(spark, str(tmp_path / "in"), [("a.pdf", "one", "2024-05-01 10:00:00")])
+    _once(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert {k: spark.conf.get(k) for k in before} == before
