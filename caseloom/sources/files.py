@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from caseloom import schemas
-from caseloom.plans.store import stored
+from caseloom.plans.store import folders_in, remove_paths, stored
 
 
 def uploaded_files(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +79,57 @@ def write_keyed_texts(texts: DataFrame, path: str, mode: str = "overwrite", shel
         texts.write.mode(mode).parquet(path)
 
 
+def text_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the runs that a store of keyed texts holds."""
+    return sorted(int(name.removeprefix("version=")) for name in folders_in(spark, path) if name.startswith("version="))
+
+
+def append_keyed_texts(texts: DataFrame, path: str, version: int | None = None) -> int:
+    """Add a run's ``(file_name, ..., text)`` to a store and leave what other runs wrote; gives the run's number.
+
+    A run is a folder of its own, by default the one after the last. Nothing is
+    read or rewritten. Of two runs that take the same number at the same time the
+    second fails and can be started again; a run that failed on its way has left
+    nothing, as its folder is filled when it is done.
+    """
+    if version is None:
+        version = (text_versions(texts.sparkSession, path) or [0])[-1] + 1
+    texts.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version={version}")
+    return version
+
+
+def latest_keyed_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(file_name, ..., text, version)``: of every name what the last run that had it wrote.
+
+    Which texts a later run has replaced is told by the names of all runs but the
+    first, most often few; Spark sends them to the texts if they are small, and
+    sorts both sides if not. The texts themselves are neither ranked nor grouped.
+    """
+    versions = text_versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no texts in {path}")
+    rows = spark.read.option("basePath", path).parquet(*[f"{path.rstrip('/')}/version={v}" for v in versions])
+    rows = rows.withColumn("version", F.col("version").cast("long"))
+    if len(versions) == 1:
+        return rows
+    later = stored(rows.where(F.col("version") > versions[0]).groupBy("file_name").agg(F.max("version").alias("last")), "latest-texts")
+    return rows.join(later, "file_name", "left").where(F.coalesce(F.col("version") == F.col("last"), F.lit(True))).drop("last")
+
+
+def compact_keyed_texts(spark: SparkSession, path: str) -> int:
+    """Write the latest texts as one run, then remove the runs before it; gives its number.
+
+    A store is whole at any time: a run holds all names before any other goes. What
+    was begun to be read before goes on only until then.
+    """
+    versions = text_versions(spark, path)
+    if len(versions) < 2:
+        return (versions or [0])[-1]
+    version = append_keyed_texts(latest_keyed_texts(spark, path).drop("version"), path, versions[-1] + 1)
+    remove_paths(spark, [f"{path.rstrip('/')}/version={v}" for v in versions])
+    return version
+
+
 def write_text_lines(df: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
     """Plain text, one value per line."""
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)

@@ -182,6 +182,15 @@ past as (select a.conv_id, a.n, coalesce(string_agg(b.told, chr(10) order by b.n
 select m.conv_id, m.turn, md5({_prompt('Answer:')}) as prompt_md5, p.history
 from {_ASKED} join past p on p.conv_id = m.conv_id and p.n = m.n"""
 
+ORACLES["history_blocks"] = f"""with {LOG}
+select conv_id, (n - 1) // 16 as block, string_agg(told, chr(10) order by n) as told from log group by conv_id, (n - 1) // 16"""
+ORACLES["history_pieces"] = f"""with {LOG}
+select a.conv_id, a.turn, (b.n - 1) // 16 as block, string_agg(b.told, chr(10) order by b.n) as told
+from log a join log b on b.conv_id = a.conv_id and b.n <= a.n where a.role = 'user' group by a.conv_id, a.turn, a.n, (b.n - 1) // 16"""
+ORACLES["build_prompt_with_ranges"] = f"""with {LOG}, {CONV_DOCS}
+select m.conv_id, m.turn, md5({_prompt('Answer:')}) as prompt_md5, (m.n - 1) // 16 as blocks, cast((m.n - 1) % 16 as int) as tail
+from {_ASKED} where m.role = 'user'"""
+
 _CAPITAL = "upper(substr(role, 1, 1)) || lower(substr(role, 2))"
 _MD_LINE = f"'## ' || {_CAPITAL} || chr(10) || chr(10) || text || chr(10) || chr(10)"
 
@@ -281,6 +290,13 @@ select page_id, coalesce(n, 0) + 1 as num_urls,
 from accumulated left join lists using (page_id)"""
 ORACLES["keyed_text_store"] = f"with {CAPTURED}, {TEXTS} select md5(url) || '.txt' as file_name, max(page_id) as page_id, coalesce(arg_max(text, page_id), '') as text from texts group by url"
 
+ORACLES["keyed_text_runs"] = f"""with {CAPTURED}, {TEXTS},
+runs as (select url, 1 as version, max(page_id) as page_id, coalesce(arg_max(text, page_id), '') as text from texts group by url
+         union all
+         select url, 2, max(page_id), 'again' || arg_max(if(text is null, '', ' ' || text), page_id) from texts where page_id % 3 = 0 group by url)
+select md5(url) || '.txt' as file_name, page_id, text, version::bigint as version
+from runs qualify row_number() over (partition by url order by version desc) = 1"""
+
 # --- reports --------------------------------------------------------------------------------------------------------
 
 _JSON_PART = """case when contains(response, '```json') then

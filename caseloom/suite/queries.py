@@ -78,6 +78,32 @@ def sliding_context(spark, sf_dir):
     return context.select("conv_id", "turn", _told(F.col("history")).alias("history"))
 
 
+def _numbered(spark, sf_dir):
+    return stored(conversations.numbered_messages(I.messages(spark, sf_dir)), "numbered")
+
+
+@query
+def history_blocks(spark, sf_dir):
+    blocks = conversations.history_blocks(_numbered(spark, sf_dir), size=16)
+    return blocks.select("conv_id", "block", _told(F.col("messages")).alias("told"))
+
+
+@query
+def history_pieces(spark, sf_dir):
+    """The whole history of every user turn, in rows."""
+    numbered = _numbered(spark, sf_dir)
+    ranges = conversations.context_ranges(numbered, size=16)
+    pieces = conversations.history_pieces(ranges, stored(conversations.history_blocks(numbered, size=16), "blocks"))
+    return pieces.select("conv_id", "turn", "block", _told(F.col("messages")).alias("told"))
+
+
+@query
+def build_prompt_with_ranges(spark, sf_dir):
+    ranges = conversations.context_ranges(_numbered(spark, sf_dir), include_current=False, size=16)
+    asked = conversations.prompts(ranges, I.conversation_docs(spark, sf_dir), I.table(spark, sf_dir, "documents"), I.PROMPT)
+    return asked.select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"), "blocks", "tail")
+
+
 @query
 def build_prompt(spark, sf_dir):
     return conversations.build_prompt(
@@ -193,6 +219,17 @@ def keyed_text_store(spark, sf_dir):
     return spark.read.parquet(path).select("file_name", "page_id", "text")
 
 
+@query
+def keyed_text_runs(spark, sf_dir):
+    """A run over all pages, then one over those of a later crawl, which has fewer addresses."""
+    path = fresh_path(spark, "text-runs")
+    captured = I.pages(spark, sf_dir)
+    again = captured.filter("page_id % 3 = 0").withColumn("html", F.concat(F.lit("<p>again</p>"), "html"))
+    for pages_of_run in (captured, again):
+        files.append_keyed_texts(pages.keyed_texts(pages.extract_main_text(pages_of_run)), path)
+    return files.latest_keyed_texts(spark, path).select("file_name", "page_id", "text", "version")
+
+
 # --- reports --------------------------------------------------------------------------------------------------------
 
 @query

@@ -151,3 +151,18 @@ def test_collect_tables(spark, rows):
                                schemas.PAGE_TABLES)
     got = rows(L.collect_tables(df, 1, 4))
     assert got == [(1, 1, 0, 0, ["a"]), (1, 1, 0, 1, ["b", None]), (1, 2, 0, 0, ["c"])]
+
+
+def test_passages_of_many_ranges_are_combined(spark, rows, monkeypatch):
+    """A page of 60 tables walked in ranges of 3 positions and groups of 2 ranges."""
+    monkeypatch.setattr(L, "GROUP", 2)
+    n = 480
+    elements = spark.range(n).selectExpr(
+        "1L as doc_id", "1 as page_no", "id as elem_no", "if(id % 8 in (2, 3, 5), 'R', 'T') as elem_type",
+        "5000D - id * 10 - 5 as y0", "5000D - id * 10 as y1", "'t' || id || ';' as text")
+    tables = spark.range(60).selectExpr(
+        "1L as doc_id", "1 as page_no", "cast(id as int) as table_no", "id * 80D + if(id % 5 = 4, 400D, 5D) as bbox_bottom", "array(array('table' || id)) as cells")
+    boxes = spark.createDataFrame([(1, 1, 5000.0)], "doc_id long, page_no int, page_h double")
+    whole = rows(L.page_pieces(elements, tables, boxes))
+    assert rows(L.page_pieces(elements, tables, boxes, spread=True, chunk=3)) == whole
+    assert sum(r[3].startswith("|table") for r in whole) > 20

@@ -1,9 +1,12 @@
 import hashlib
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.operators import pages as P
+from caseloom.sources import files
 
 
 def one_page(spark, html, url="https://x.org/a/b"):
@@ -129,3 +132,27 @@ def test_html_is_not_shuffled(spark, tmp_path):
     for line in text.splitlines():
         if "Exchange" in line:
             assert "html" not in line
+
+
+def test_runs_of_a_keyed_store_leave_each_others_texts(spark, rows, tmp_path):
+    path = str(tmp_path / "texts")
+    page = lambda *given: P.keyed_texts(spark.createDataFrame(given, "page_id long, url string, text string"))
+    assert files.append_keyed_texts(page((1, "a", "a1"), (2, "b", "b1"), (3, "c", None)), path) == 1
+    assert rows(files.latest_keyed_texts(spark, path), "url", "text", "version") == [("a", "a1", 1), ("b", "b1", 1), ("c", "", 1)]
+    assert files.append_keyed_texts(page((1, "b", "b2"), (4, "d", "d2"), (5, "d", "d3")), path) == 2
+    assert files.append_keyed_texts(page((9, "a", "a3")), path, version=7) == 7
+    latest = [("a", "a3", 7), ("b", "b2", 2), ("c", "", 1), ("d", "d3", 2)]
+    assert rows(files.latest_keyed_texts(spark, path), "url", "text", "version") == latest
+    assert files.compact_keyed_texts(spark, path) == 8 and files.text_versions(spark, path) == [8]
+    assert rows(files.latest_keyed_texts(spark, path), "url", "text") == [r[:2] for r in latest]
+    assert files.compact_keyed_texts(spark, path) == 8
+
+
+def test_two_runs_of_one_number_do_not_mix(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    texts = P.keyed_texts(spark.createDataFrame([(1, "a", "x")], "page_id long, url string, text string"))
+    files.append_keyed_texts(texts, path, version=1)
+    with pytest.raises(AnalysisException):
+        files.append_keyed_texts(texts, path, version=1)
+    with pytest.raises(FileNotFoundError):
+        files.latest_keyed_texts(spark, str(tmp_path / "none"))
