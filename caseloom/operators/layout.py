@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from caseloom.functions.tabletext import rendered_rows
 from caseloom.functions.text import squeeze
 from caseloom.plans.parts import ordered_texts
+from caseloom.plans.ranks import ranked, text_pieces
 from caseloom.plans.store import stored
 
 PAGE = ["doc_id", "page_no"]
@@ -211,6 +212,13 @@ def assemble_document(page_content: DataFrame, sep: str = "\n") -> DataFrame:
         F.count(F.lit(1)).alias("n_pages"), F.array_join(ordered_texts(["page_no"], "content"), sep).alias("text"))
 
 
+def document_pieces(page_content: DataFrame, sep: str = "\n") -> DataFrame:
+    """``(doc_id, start, text)``: the documents of :func:`assemble_document` as pieces, a page each with what stands before it, and their places."""
+    pages = ranked(page_content.select("doc_id", "page_no", "content"), ["doc_id"], [F.asc("page_no"), F.asc("content")], "n")
+    led = F.concat(F.when(F.col("n") > 0, sep).otherwise(""), F.coalesce("content", F.lit("")))
+    return text_pieces(pages.select("doc_id", "n", led.alias("__text")), ["doc_id"], [F.asc("n")], "__text")
+
+
 def collect_tables(page_tables: DataFrame, start: int, end: int) -> DataFrame:
     """``(doc_id, page_no, table_no, row_no, cells)``: all rows of all tables of a page range.
 

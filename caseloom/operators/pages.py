@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions import html as H
 from caseloom.plans.parts import ordered_texts
+from caseloom.plans.ranks import text_pieces
 from caseloom.plans.store import stored
 
 FOLLOWED_LINKS = 5
@@ -128,6 +129,22 @@ def report_context(accumulated: DataFrame, links: DataFrame) -> DataFrame:
         "page_id", (F.coalesce("__links", F.lit(0)) + 1).alias("num_urls"), F.concat("all_text", listed).alias("context"))
 
 
+def context_pieces(page_texts: DataFrame, crawled: DataFrame, links: DataFrame) -> DataFrame:
+    """``(page_id, start, text)``: the contexts of :func:`report_context` as pieces: texts, then links, with their places in the context.
+
+    A page with any number of links lies in as many tasks as it needs.
+    """
+    own = page_texts.select("page_id", F.lit(0).alias("__kind"), F.lit(0).alias("pos"), F.coalesce("text", F.lit("")).alias("__text"))
+    followed = crawled.select("page_id", F.lit(1).alias("__kind"), "pos", F.col("text").alias("__text"))
+    ends = stored(links.groupBy("page_id").agg(F.min("pos").alias("__first"), F.max("pos").alias("__last")), "link-ends")
+    listed = links.join(ends, "page_id").select("page_id", F.lit(2).alias("__kind"), "pos", F.concat(
+        F.when(F.col("pos") == F.col("__first"), "['").otherwise("', '"), "link", F.when(F.col("pos") == F.col("__last"), "']").otherwise("")).alias("__text"))
+    none = page_texts.select("page_id").join(ends, "page_id", "left_anti").select(
+        "page_id", F.lit(2).alias("__kind"), F.lit(0).alias("pos"), F.lit("[]").alias("__text"))
+    every = own.unionByName(followed).unionByName(listed).unionByName(none)
+    return text_pieces(every, ["page_id"], [F.asc("__kind"), F.asc("pos"), F.asc("__text")], "__text")
+
+
 def keyed_texts(page_texts: DataFrame) -> DataFrame:
     """``(file_name, page_id, url, text)``: one text per url under its md5 name; the last version written wins."""
     last = _newest(page_texts).select(F.col("target").alias("page_id"))

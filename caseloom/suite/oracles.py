@@ -205,6 +205,16 @@ lines as (select conv_id, turn, '<h2>' || {_CAPITAL} || '</h2>' || array_to_stri
 select conv_id, count(*) as n_messages, '<h1>Chat History</h1>' || chr(10) || string_agg(line, chr(10) order by turn nulls first) as text
 from lines group by conv_id"""
 
+ORACLES["transcript_pieces"] = f"""with {MESSAGES},
+lines as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) as n, count(*) over (partition by conv_id) as of,
+            '<h2>' || {_CAPITAL} || '</h2>' || array_to_string(list_transform(
+            list_filter(list_transform(regexp_split_to_array(text, '\\n[ \\t]*\\n'), lambda p: trim(p, ' ')), lambda p: p <> ''),
+            lambda p: chr(10) || '<p>' || p || '</p>'), '') as line from messages),
+pieces as (select conv_id, n, line || if(n < of, chr(10), '') as text from lines
+           union all select distinct conv_id, 0, '<h1>Chat History</h1>' || chr(10) from messages)
+select conv_id, coalesce(sum(length(text)) over (partition by conv_id order by n rows between unbounded preceding and 1 preceding), 0)::bigint as start, text
+from pieces"""
+
 ORACLES["export_message"] = f"""with {MESSAGES}
 select conv_id, turn, '# Chat History' || chr(10) || chr(10) || {_MD_LINE} as text from messages"""
 
@@ -288,6 +298,14 @@ lists as (select page_id, count(*) as n, string_agg(link, ''', ''' order by pos)
 select page_id, coalesce(n, 0) + 1 as num_urls,
        all_text || case when n is null then '[]' else '[''' || listed || ''']' end as context
 from accumulated left join lists using (page_id)"""
+ORACLES["context_pieces"] = f"""with {LINK_PLAN}, {TEXTS}, {FRONTIER}, {CRAWLED},
+parts as (select page_id, 0 as kind, 0 as pos, coalesce(text, '') as text from texts
+  union all select page_id, 1, pos, text from crawled
+  union all select page_id, 2, pos, case when row_number() over w = 1 then '[' else chr(39) || ', ' end || chr(39) || link
+      || case when row_number() over w = count(*) over (partition by page_id) then chr(39) || ']' else '' end from link_plan window w as (partition by page_id order by pos)
+  union all select page_id, 2, 0, '[]' from texts where page_id not in (select page_id from link_plan)),
+placed as (select page_id, coalesce(sum(length(text)) over (partition by page_id order by kind, pos rows between unbounded preceding and 1 preceding), 0)::bigint as start, text from parts)
+select * from placed where text <> ''"""
 ORACLES["keyed_text_store"] = f"with {CAPTURED}, {TEXTS} select md5(url) || '.txt' as file_name, max(page_id) as page_id, coalesce(arg_max(text, page_id), '') as text from texts group by url"
 
 ORACLES["keyed_text_runs"] = f"""with {CAPTURED}, {TEXTS},
@@ -461,6 +479,10 @@ from boxes b left join elements using (doc_id, page_no) group by b.doc_id, b.pag
 ORACLES["assemble_document"] = f"""with {ELEMENTS}, {SPANS}, {CONTENTS}
 select doc_id, count(*) as n_pages, string_agg(content, chr(10) order by page_no) as text from contents group by doc_id"""
 
+ORACLES["document_pieces"] = f"""with {ELEMENTS}, {SPANS}, {CONTENTS},
+led as (select doc_id, page_no, case when row_number() over (partition by doc_id order by page_no) > 1 then chr(10) else '' end || content as text from contents)
+select doc_id, coalesce(sum(length(text)) over (partition by doc_id order by page_no rows between unbounded preceding and 1 preceding), 0)::bigint as start, text from led"""
+
 # --- intake ---------------------------------------------------------------------------------------------------------
 
 CHECKED = f"""checked as (select *, array_to_string([r for r in [

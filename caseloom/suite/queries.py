@@ -133,6 +133,11 @@ def export_transcript_html(spark, sf_dir):
     return conversations.export_transcript(I.messages(spark, sf_dir), "html")
 
 
+@query
+def transcript_pieces(spark, sf_dir):
+    return conversations.transcript_pieces(I.messages(spark, sf_dir), "html")
+
+
 @query
 def export_message(spark, sf_dir):
     return conversations.export_message(I.messages(spark, sf_dir), "md")
@@ -211,6 +216,13 @@ def report_context(spark, sf_dir):
     return pages.report_context(_accumulated(spark, sf_dir, links), links)
 
 
+@query
+def context_pieces(spark, sf_dir):
+    links = stored(I.link_plan(spark, sf_dir), "links")
+    texts = stored(pages.extract_main_text(I.pages(spark, sf_dir)), "page-texts")
+    return pages.context_pieces(texts, pages.crawl_join(pages.crawl_frontier(links), texts), links).filter("text <> ''")
+
+
 @query
 def keyed_text_store(spark, sf_dir):
     texts = pages.keyed_texts(pages.extract_main_text(I.pages(spark, sf_dir)))
@@ -480,6 +492,11 @@ def assemble_document(spark, sf_dir):
     return layout.assemble_document(_assembled(spark, sf_dir))
 
 
+@query
+def document_pieces(spark, sf_dir):
+    return layout.document_pieces(_assembled(spark, sf_dir))
+
+
 # --- intake ---------------------------------------------------------------------------------------------------------
 
 @query
