@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from caseloom.functions import tabletext as TT
+from caseloom.plans.store import stored
 
 
 def detect_delimiter(table_texts: DataFrame) -> DataFrame:
@@ -153,3 +154,81 @@ def table_to_markdown(df: DataFrame, index: str, index_name: str = "", padded: b
         ))
     )
     return top.unionByName(body.select("line_no", line([F.col(c) for c in cells]).alias("line")))
+
+
+def tables_to_markdown(parsed: DataFrame) -> DataFrame:
+    """``(table_id, line_no, line)``: many tables as pipe tables, each as wide as its own cells, the row number first.
+
+    From :func:`parse_table_rows`; lines are numbered as in :func:`table_to_markdown`.
+    Widths are the longest cells of a table, combined before the shuffle: a few
+    numbers per table, however many its rows. Cells are texts and stand left.
+    Short rows are filled up; longer ones are left to :func:`overlong_rows`.
+    """
+    body = _body_rows(parsed, None).filter(F.size("cells") <= F.size("header"))
+    names = parsed.filter(F.col("row_no") == 0).select("table_id", F.lit(-1).alias("row_no"), F.posexplode("cells").alias("col_no", "value")).withColumn(
+        "n", F.length("value") + 2)     # a header claims two characters more than its name
+    cells = body.select("table_id", "row_no", F.posexplode("cells").alias("col_no", "value")).withColumn("n", F.length("value"))
+    widest = names.unionByName(cells).groupBy("table_id", "col_no").agg(F.max("n").alias("n"), F.max("row_no").alias("last"), F.max(F.when(F.col("row_no") < 0, F.col("value"))).alias("name"))
+    per_table = stored(widest.groupBy("table_id").agg(
+        F.sort_array(F.collect_list(F.struct("col_no", "n", "name"))).alias("columns"), F.max("last").alias("last")), "widths").select(
+        "table_id", F.transform("columns", lambda c: c["n"]).alias("widths"), F.transform("columns", lambda c: c["name"]).alias("names"),
+        F.greatest(F.lit(2), F.length(F.col("last").cast("string"))).alias("first"))
+
+    def line(index: Column, values: Column) -> Column:
+        shown = F.zip_with(values, F.col("widths"), lambda v, w: F.rpad(F.coalesce(v, F.lit("")), w, F.lit(" ")))
+        return F.concat(F.lit("| "), F.lpad(index, F.col("first"), F.lit(" ")), F.lit(" | "), F.array_join(shown, " | "), F.lit(" |"))
+
+    dashes = F.array_join(F.transform("widths", lambda w: F.concat(F.lit(":"), F.repeat(F.lit("-"), w + 1))), "|")
+    delimiter = F.concat(F.lit("|"), F.repeat(F.lit("-"), F.col("first") + 1), F.lit(":|"), dashes, F.lit("|"))
+    tops = per_table.select("table_id", F.inline(F.array(
+        F.struct(F.lit(0).cast("long").alias("line_no"), line(F.lit(""), F.col("names")).alias("line")),
+        F.struct(F.lit(1).cast("long").alias("line_no"), delimiter.alias("line")))))
+    rows = body.select("table_id", "row_no", "cells").join(per_table, "table_id").select(
+        "table_id", (F.col("row_no").cast("long") + 2).alias("line_no"), line(F.col("row_no").cast("string"), F.col("cells")).alias("line"))
+    return tops.unionByName(rows)
+
+
+def column_names(header: Column) -> Column:
+    """Names by which the columns of a table can be told apart: ``name``, ``name.1``, ``name.2`` where one repeats,
+    ``column_3`` (counted from 0) where there is none."""
+    named = F.transform(header, lambda name, i: F.when(F.coalesce(name, F.lit("")) == "", F.concat(F.lit("column_"), i.cast("string"))).otherwise(name))
+
+    def told_apart(names: Column) -> Column:
+        def one(name: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(names, F.lit(1), i), lambda n: n == name))
+            return F.when(before == 0, name).otherwise(F.concat(name, F.lit("."), before.cast("string")))
+
+        return F.transform(names, one)
+
+    # A suffixed name may be that of another column; such a one takes its place among the columns as a name.
+    def unique(names: Column) -> Column:
+        return F.transform(names, lambda name, i: F.when(
+            F.array_position(names, name) == i + 1, name).otherwise(F.concat(name, F.lit("#"), i.cast("string"))))
+
+    once = F.get(F.transform(F.array(named), told_apart), F.lit(0))
+    return F.get(F.transform(F.array(once), unique), F.lit(0))
+
+
+def table_schemas(parsed: DataFrame) -> DataFrame:
+    """``(table_id, col_no, col_name, header)``: the columns of every table, in order, under the names that its records use."""
+    heads = parsed.filter(F.col("row_no") == 0).select("table_id", "header", column_names(F.col("header")).alias("names"))
+    return heads.select("table_id", F.posexplode(F.arrays_zip("names", "header")).alias("col_no", "c")).select(
+        "table_id", "col_no", F.col("c.names").alias("col_name"), F.col("c.header").alias("header"))
+
+
+def table_records(parsed: DataFrame) -> DataFrame:
+    """``(table_id, row_no, record)``: tables of any headers in one relation; ``record`` maps names to cells, in the table's order.
+
+    Names are those of :func:`table_schemas`. A row too short has NULL for the rest;
+    one too long is left to :func:`overlong_rows`. Nothing has to be known of the
+    headers when the query is planned.
+    """
+    body = _body_rows(parsed, None).filter(F.size("cells") <= F.size("header"))
+    filled = F.transform("header", lambda _, i: F.get("cells", i))
+    return body.select("table_id", "row_no", F.map_from_arrays(column_names(F.col("header")), filled).alias("record"))
+
+
+def typed_columns(records: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``(table_id, row_no, *columns)``: some names of the records as columns of the given types; NULL where a table or a cell has no such value."""
+    return records.select("table_id", "row_no", *[
+        F.try_element_at("record", F.lit(name)).try_cast(kind).alias(name) for name, kind in columns.items()])

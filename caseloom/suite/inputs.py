@@ -55,6 +55,24 @@ def uploads(spark, sf_dir):
     )
 
 
+def csv_uploads(spark, sf_dir):
+    """Uploads of which the .csv ones hold a table with quoted commas, quotes and line breaks, a short row and a blank line."""
+    return uploads(spark, sf_dir).selectExpr(
+        "doc_id", "name", """if(doc_id % 3 = 1, concat('id,name,"the, note"', chr(10), doc_id, ',"a ""quoted"" word",x', chr(13), chr(10), chr(10),
+            doc_id + 1, ',"two', chr(10), 'lines","', length(content), ', chars"', chr(10), '7,short', chr(10)), content) as content""")
+
+
+def upload_elements(spark, sf_dir):
+    """The lines of every upload as its elements."""
+    return uploads(spark, sf_dir).select("doc_id", F.posexplode(F.split("content", "\n")).alias("elem_no", "text"))
+
+
+def mixed_table_texts(spark, sf_dir):
+    """Tables with headers of three kinds: plain, with a name that repeats, and with one that a suffix would make a second time."""
+    return table_texts(spark, sf_dir).selectExpr("table_id", """case ascii(right(split(table_id, '/')[0], 1)) % 3
+        when 0 then text when 1 then replace(replace(text, 'p_name', 'x'), 'p_size', 'x') else replace(replace(replace(text, 'p_partkey', 'a'), 'p_name', 'a'), 'p_size', 'a.1') end as text""")
+
+
 def messages(spark, sf_dir):
     """The logs, and one long conversation (-1) with a message of every log, gaps in its numbers and one without number."""
     shapes = ["case when conv_id % 2 = 0 then array(text) end as parts", "case when conv_id % 2 = 0 then null else text end as content"]

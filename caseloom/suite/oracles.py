@@ -378,6 +378,15 @@ ORACLES["upload_ingest"] = f"with {UPLOADS} select doc_id, name, md5, ext, md5 |
 ORACLES["content_dedup"] = f"with {UPLOADS} select md5, ext, min(doc_id) as doc_id, count(*) as copies from ingested group by md5, ext"
 ORACLES["incremental_ingest"] = f"with {UPLOADS} select md5, ext, count(*) as copies from ingested group by md5, ext"
 ORACLES["emit_once"] = f"with {UPLOADS} select distinct md5, ext, md5 || '.' || ext as stored_name from ingested"
+ORACLES["upload_texts"] = f"""with {UPLOADS},
+t as (select doc_id, name, content, length(content) || ', chars' as note, greatest(4, length(cast(doc_id + 1 as varchar))) as w from uploads)
+select doc_id, name, case doc_id % 3 when 0 then array_to_string(string_split(content, chr(10)), chr(10) || chr(10)) when 1 then
+    '|    | ' || lpad('id', w::int, ' ') || ' | name            | ' || rpad('the, note', greatest(11, length(note))::int, ' ') || ' |' || chr(10)
+    || '|---:|' || repeat('-', w + 1) || ':|:----------------|:' || repeat('-', greatest(11, length(note)) + 1) || '|' || chr(10)
+    || '|  0 | ' || lpad(cast(doc_id as varchar), w::int, ' ') || ' | a "quoted" word | ' || rpad('x', greatest(11, length(note))::int, ' ') || ' |' || chr(10)
+    || '|  1 | ' || lpad(cast(doc_id + 1 as varchar), w::int, ' ') || ' | two' || chr(10) || 'lines       | ' || rpad(note, greatest(11, length(note))::int, ' ') || ' |' || chr(10)
+    || '|  2 | ' || lpad('7', w::int, ' ') || ' | short           | ' || rpad('', greatest(11, length(note))::int, ' ') || ' |' end as text
+from t"""
 ORACLES["route_by_format"] = f"""with {UPLOADS}
 select doc_id, name, case ext when 'pdf' then 'text' when 'csv' then 'table' end as route from ingested"""
 
@@ -427,6 +436,24 @@ ORACLES["construct_table"] = f"""with {NUMBERED}, fitting as (select * from numb
 select table_id, row_no, 0 as col_no, 'p_partkey' as col_name, cast(p_partkey as varchar) as value from fitting
 union all select table_id, row_no, 1, 'p_name', p_name from fitting
 union all select table_id, row_no, 2, 'p_size', cast(p_size as varchar) from fitting"""
+ORACLES["tables_to_markdown"] = f"""with {NUMBERED}, fitting as (select * from numbered where p_partkey % 11 <> 3),
+w as (select table_id, greatest(2, max(length(cast(row_no as varchar)))) as w0, greatest(11, max(length(cast(p_partkey as varchar)))) as w1,
+             greatest(8, max(length(p_name))) as w2, greatest(8, max(length(cast(p_size as varchar)))) as w3 from fitting group by table_id)
+select table_id, cast(0 as bigint) as line_no, '| ' || repeat(' ', w0) || ' | ' || rpad('p_partkey', w1::int, ' ') || ' | ' || rpad('p_name', w2::int, ' ') || ' | ' || rpad('p_size', w3::int, ' ') || ' |' as line from w
+union all select table_id, 1, '|' || repeat('-', w0 + 1) || ':|:' || repeat('-', w1 + 1) || '|:' || repeat('-', w2 + 1) || '|:' || repeat('-', w3 + 1) || '|' from w
+union all select table_id, row_no + 2, '| ' || lpad(cast(row_no as varchar), w0::int, ' ') || ' | ' || rpad(cast(p_partkey as varchar), w1::int, ' ') || ' | '
+  || rpad(p_name, w2::int, ' ') || ' | ' || rpad(cast(p_size as varchar), w3::int, ' ') || ' |' from fitting join w using (table_id)"""
+MIXED = f"""{NUMBERED},
+kinds as (select *, ascii(right(split_part(table_id, '/', 1), 1)) % 3 as kind from numbered),
+named as (select *, case kind when 0 then ['p_partkey', 'p_name', 'p_size'] when 1 then ['p_partkey', 'x', 'x.1'] else ['a', 'a.1', 'a.1#2'] end as names,
+                 case kind when 0 then ['p_partkey', 'p_name', 'p_size'] when 1 then ['p_partkey', 'x', 'x'] else ['a', 'a', 'a.1'] end as head from kinds)"""
+ORACLES["table_records"] = f"""with {MIXED}
+select table_id, row_no, names[1] || '=' || p_partkey || '~' || names[2] || '=' || p_name || '~' || names[3] || '=' || p_size as record from named where p_partkey % 11 <> 3"""
+ORACLES["table_schemas"] = f"""with {MIXED}, one as (select distinct table_id, names, head from named)
+select table_id, cast(i as int) as col_no, names[i + 1] as col_name, head[i + 1] as header from one, (select unnest(range(3)) as i)"""
+ORACLES["typed_columns"] = f"""with {MIXED}
+select table_id, row_no, if(kind <> 2, p_partkey, null) as p_partkey, cast(if(kind = 0, p_size, null) as int) as p_size,
+       if(kind = 1, p_name, null) as x, cast(if(kind = 2, p_size, null) as int) as a_1_2 from named where p_partkey % 11 <> 3"""
 ORACLES["wide_table"] = f"""select {_TABLE_ID} as table_id, cast(p_partkey as varchar) as part_key, p_name as name, cast(p_size as varchar) as size
 from part where p_partkey % 11 <> 3"""
 ORACLES["overlong_rows"] = f"""with {NUMBERED}

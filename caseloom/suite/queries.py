@@ -324,6 +324,11 @@ def route_by_format(spark, sf_dir):
     return uploads.route_by_format(I.uploads(spark, sf_dir))
 
 
+@query
+def upload_texts(spark, sf_dir):
+    return uploads.upload_texts(I.csv_uploads(spark, sf_dir), I.upload_elements(spark, sf_dir))
+
+
 @query
 def incremental_ingest(spark, sf_dir):
     arriving, store, checkpoint = (fresh_path(spark, label) for label in ("arriving", "store", "progress"))
@@ -360,6 +365,28 @@ def table_to_markdown(spark, sf_dir):
     return tables.table_to_markdown(_part_table(spark, sf_dir), index="p_partkey")
 
 
+@query
+def tables_to_markdown(spark, sf_dir):
+    return tables.tables_to_markdown(tables.parse_table_rows(I.table_texts(spark, sf_dir)))
+
+
+@query
+def table_records(spark, sf_dir):
+    records = tables.table_records(tables.parse_table_rows(I.mixed_table_texts(spark, sf_dir)))
+    return records.select("table_id", "row_no", F.array_join(F.transform(F.map_entries("record"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "~").alias("record"))
+
+
+@query
+def table_schemas(spark, sf_dir):
+    return tables.table_schemas(tables.parse_table_rows(I.mixed_table_texts(spark, sf_dir)))
+
+
+@query
+def typed_columns(spark, sf_dir):
+    records = tables.table_records(tables.parse_table_rows(I.mixed_table_texts(spark, sf_dir)))
+    return tables.typed_columns(records, {"p_partkey": "long", "p_size": "int", "x": "string", "a.1#2": "int"}).withColumnRenamed("a.1#2", "a_1_2")
+
+
 @query
 def csv_export(spark, sf_dir):
     path = fresh_path(spark, "csv")

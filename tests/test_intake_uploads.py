@@ -151,3 +151,14 @@ def test_settings_of_the_session_stay(spark, tmp_path):
     _add(spark, str(tmp_path / "in"), [("a.pdf", "one", "2024-05-01 10:00:00")])
     _once(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress"))
     assert {k: spark.conf.get(k) for k in before} == before
+
+
+def test_an_upload_takes_the_branch_of_its_name(spark):
+    given = [(1, "a.pdf", "bytes"), (2, "b.csv", 'k,"v, w"\n1,"x ""y"""\r\n\n2.5,"two\nlines"\n3\n'), (3, "c.txt", "t"), (4, "d.csv", ""), (5, "e.CSV", "a,b"),
+             (6, "f.pdf", None), (7, "g.csv", None), (8, "h.csv", ",b\n1,2,3"), (9, "i.csv", 'a\n"open')]
+    elements = spark.createDataFrame([(1, 2, "second"), (1, 1, "first"), (2, 1, "no")], "doc_id long, elem_no int, text string")
+    got = {r.doc_id: r.text for r in uploads.upload_texts(spark.createDataFrame(given, "doc_id long, name string, content string"), elements).collect()}
+    assert got[1] == "first\n\nsecond" and got[6] == "" and got[3] is got[4] is got[5] is got[7] is None
+    assert got[2] == ("|    |   k | v, w      |\n|---:|----:|:----------|\n|  0 |   1 | x \"y\"     |\n|  1 | 2.5 | two\nlines |\n|  2 |   3 |           |")
+    assert got[8] == "|    |   Unnamed: 0 |   b |\n|---:|-------------:|----:|\n|  0 |            1 |   2 |"
+    assert got[9] == '|    | a     |\n|---:|:------|\n|  0 | "open |'

@@ -147,3 +147,27 @@ def test_keyed_store_shelves(spark, tmp_path, rows):
 def test_text_sink(spark, tmp_path, column):
     files.write_text_lines(spark.createDataFrame([("x",)], f"{column} string"), column, str(tmp_path / "t"))
     assert spark.read.text(str(tmp_path / "t")).first().value == "x"
+
+
+def test_many_tables_each_as_wide_as_its_cells(spark):
+    texts = spark.createDataFrame([("a", "x,y\n1,long cell\n22\n1,2,3"), ("b", "name|n\nq|1"), ("c", "only,head"), ("d", ""), ("e", None)], "table_id string, text string")
+    got = {}
+    for r in T.tables_to_markdown(T.parse_table_rows(texts)).orderBy("table_id", "line_no").collect():
+        got.setdefault(r.table_id, []).append(r.line)
+    assert got == {
+        "a": ["|    | x   | y         |", "|---:|:----|:----------|", "|  0 | 1   | long cell |", "|  1 | 22  |           |"],
+        "b": ["|    | name   | n   |", "|---:|:-------|:----|", "|  0 | q      | 1   |"],
+        "c": ["|    | only   | head   |", "|---:|:-------|:-------|"]}
+
+
+def test_names_are_told_apart(spark):
+    texts = spark.createDataFrame([("a", "x|x|x.1||x\n1|2|3|4|5\n6"), ("b", "p|q\n1|2|3")], "table_id string, text string")
+    parsed = T.parse_table_rows(texts, keep_empty=True)
+    names = [(r.table_id, r.col_no, r.col_name, r.header) for r in T.table_schemas(parsed).orderBy("table_id", "col_no").collect()]
+    assert names == [("a", 0, "x", "x"), ("a", 1, "x.1", "x"), ("a", 2, "x.1#2", "x.1"), ("a", 3, "column_3", ""), ("a", 4, "x.2", "x"), ("b", 0, "p", "p"), ("b", 1, "q", "q")]
+    records = T.table_records(parsed)
+    assert {(r.table_id, r.row_no): r.record for r in records.collect()} == {
+        ("a", 0): {"x": "1", "x.1": "2", "x.1#2": "3", "column_3": "4", "x.2": "5"},
+        ("a", 1): {"x": "6", "x.1": None, "x.1#2": None, "column_3": None, "x.2": None}}
+    typed = T.typed_columns(records, {"x": "int", "q": "int"}).orderBy("row_no").collect()
+    assert [(r.x, r.q) for r in typed] == [(1, None), (6, None)]
