@@ -168,11 +168,11 @@ def repaired_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """
     every = stored_with_row(turns.select(
         F.col(conv).alias("conv_id"), F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("")).alias("key"),
-        F.col(turn).cast("double").alias("turn"), F.col(turn).alias("source_turn"), F.col(role).alias("source_role"),
+        F.col(turn).alias("turn"), F.col(turn).alias("source_turn"), F.col(role).alias("source_role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"), _code(F.col(role)).alias("code")), "turns")
     last_part = (1 << 62) // block * block
     narrow = every.select(
-        "key", F.coalesce(F.floor(F.col("turn") / segment), F.lit(last_part)).alias("part"), "turn", "source_role",
+        "key", F.coalesce(F.floor(F.col("turn").cast("double") / segment), F.lit(last_part)).alias("part"), "turn", "source_role",
         F.xxhash64("text").alias("mark"), "text", ROW, "code")
     # Turn numbers spread a conversation over parts; a part that repeats numbers is cut further by rank.
     order = Window.partitionBy("key", "part").orderBy(F.col("turn").asc_nulls_last(), "source_role", "text", ROW)

@@ -3,7 +3,8 @@
 The index is a Parquet table bucketed and sorted by digest. A batch is reduced
 to one row per digest, the digests the index knows already are taken out by a
 sort-merge anti join, for which the index is not shuffled, and the rest is
-appended. The index is found again by its folder, in any later session.
+appended. The index is found again by its folder, in any later session; how many
+buckets it has is written there.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from caseloom.plans.store import fresh_path, stored
 
 WHITE = " \t\n\x0b\x0c\r"
 BUCKETS = 32
+MARK = "_buckets_"
 
 
 def text_digest(text: Column) -> Column:
@@ -26,14 +28,44 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """``(digest, keep_id, batch)``, one row per digest ever seen."""
+    """``(digest, keep_id, batch)``, one row per digest ever seen.
 
-    def __init__(self, spark, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    A new index gets ``buckets`` (``BUCKETS`` if none are given). An index that is
+    there keeps its own number, whatever session opens it; another one asked for is
+    refused, as digests would be looked for in the wrong buckets. An index that
+    outgrew its buckets is written anew by :meth:`rewritten`.
+    """
+
+    def __init__(self, spark, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = self._settled(buckets)
         self.name = "digests_" + hashlib.md5(path.encode()).hexdigest()
         spark.sql(
             f"create table if not exists {self.name} (keep_id bigint, batch string, digest string) using parquet "
-            f"clustered by (digest) sorted by (digest) into {buckets} buckets location '{path}'")
+            f"clustered by (digest) sorted by (digest) into {self.buckets} buckets location '{path}'")
+
+    def _settled(self, buckets: int | None) -> int:
+        """The number that stands in the index's folder; written there if the folder is new or empty."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(self.path)
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+        marks = [int(n.removeprefix(MARK)) for n in names if n.startswith(MARK)]
+        if not marks:
+            if any(n.endswith(".parquet") for n in names):
+                raise ValueError(f"{self.path} holds files but does not say in how many buckets")
+            marks = [buckets or BUCKETS]
+            system.mkdirs(folder)
+            system.create(hadoop.Path(folder, f"{MARK}{marks[0]}"), False).close()    # one file, empty, its name says it
+        if len(marks) > 1 or buckets not in (None, marks[0]):
+            raise ValueError(f"the index in {self.path} has {marks} buckets, not {buckets}")
+        return marks[0]
+
+    def rewritten(self, path: str, buckets: int) -> DigestIndex:
+        """A copy in another folder with another number of buckets."""
+        new = DigestIndex(self.spark, path, buckets)
+        new.append(self.read())
+        return new
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -76,6 +108,6 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex, text: str = "text", id
         F.col("digest").alias("text_sha256"))
 
 
-def new_index(spark, buckets: int = BUCKETS) -> DigestIndex:
+def new_index(spark, buckets: int | None = None) -> DigestIndex:
     """An empty index in the shared folder."""
     return DigestIndex(spark, fresh_path(spark, "digest-index"), buckets)

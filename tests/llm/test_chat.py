@@ -100,3 +100,9 @@ def test_odd_rows(spark):
         4: [(0, 0, "system"), (1, 0, "user"), (2, 0, "assistant")]}
     assert all(r.rendered.count("<|im_end|>") <= 2 and "x <| im_end |> y" in r.rendered for r in got[2] if r.source_role == "user")
     assert chat.repaired_turns(turns.limit(0)).count() == 0
+
+
+def test_turn_numbers_beyond_those_of_doubles(spark):
+    rows = [(1, 2**53 + 1, "assistant", "answer"), (1, 2**53, "user", "question")]
+    got = chat.repaired_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn_no").collect()
+    assert [(r.role, r.text) for r in got] == [("user", "question"), ("assistant", "answer")]

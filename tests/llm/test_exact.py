@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseloom.llm import exact
@@ -37,3 +38,19 @@ def test_odd_rows(spark, odd_documents):
     same = [r for r in got if r.group_size == 3]
     assert {r.keep_id for r in same} == {3} and [r.doc_id for r in same if r.kept] == [3]
     assert exact.exact_duplicates(odd_documents.limit(0), exact.new_index(spark)).count() == 0
+
+
+def test_an_index_keeps_its_buckets_in_a_later_session(spark, documents):
+    texts = [f"text {i}" for i in range(200)]
+    index = exact.new_index(spark, buckets=8)
+    exact.exact_duplicates(documents(texts), index, batch="one").collect()
+    spark.sql(f"drop table {index.name}")       # the definition goes with a session, the folder stays
+    for buckets in (2, 32):
+        with pytest.raises(ValueError):
+            exact.DigestIndex(spark, index.path, buckets)
+    again = exact.DigestIndex(spark, index.path)
+    assert again.buckets == 8
+    assert [r for r in exact.exact_duplicates(documents(texts), again, batch="two").collect() if r.kept] == []
+    wider = again.rewritten(index.path + "-wider", 16)
+    later = exact.exact_duplicates(documents([*texts, "new"]), wider, batch="three").collect()
+    assert [r.doc_id for r in later if r.kept] == [200] and wider.read().count() == 201

@@ -84,3 +84,9 @@ def test_odd_rows_pass_every_stage(spark, odd_documents):
 def test_mix_takes_a_document_at_most_twice(spark):
     docs = read(spark, SF, "documents")
     assert all(r.taken <= 2 * r["size"] for r in mixing.mixed_documents(docs).collect())
+
+
+def test_results_of_two_runs_can_be_open(spark):
+    one = corpus_pipeline.run(spark, SF)
+    two = corpus_pipeline.run(spark, SF)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
