@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import get_ident
 
 from pyspark.sql import DataFrame
 
@@ -17,18 +18,27 @@ from caseloom.llm.suite import TOKENIZER
 from caseloom.llm.tables import read
 from caseloom.plans.store import given_paths, remove_paths, stored
 
-_left: list[str] = []
+#: Of a chain of stages, by thread and tables, what the stage before wrote on its way.
+_left: dict[tuple, list[str]] = {}
 
 
 def _stage(work: Callable) -> Callable:
-    """A stage that begins by removing what its predecessor wrote on the way: that one's result is written by now."""
+    """A stage that begins by removing what its predecessor wrote on the way: that one's result is written by now.
+
+    The first stage removes nothing, and what the last one wrote stays, as its
+    result reads it: results of several runs can be open side by side.
+    """
 
     @wraps(work)
     def run_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_paths(spark, _left)
+        chain = (get_ident(), sf_dir)
+        before = _left.pop(chain, [])
+        if work.__name__ != STAGES[0][0]:
+            remove_paths(spark, before)
         with given_paths() as made:
             result = work(spark, docs, sf_dir)
-        _left[:] = made
+        if work.__name__ != STAGES[-1][0]:
+            _left[chain] = made
         return result
 
     return run_stage
