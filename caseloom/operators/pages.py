@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions import html as H
+from caseloom.functions.blocks import with_main_blocks
 from caseloom.plans.parts import ordered_texts
 from caseloom.plans.ranks import text_pieces
 from caseloom.plans.store import stored
@@ -25,6 +26,14 @@ def extract_main_text(pages: DataFrame, fallback: Column | None = None) -> DataF
     return pages.select("page_id", "url", text.alias("text"))
 
 
+def main_text_by_blocks(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, text)``: like :func:`extract_main_text`, but by the rule of :func:`caseloom.functions.blocks.with_main_blocks`.
+
+    Adverts of any depth, and menus and notices that no element names, are left out. NULL where nothing is left.
+    """
+    return with_main_blocks(pages.select("page_id", "url", "html")).select("page_id", "url", F.nullif("__main", F.lit("")).alias("text"))
+
+
 def page_links(html: Column, url: Column, mode: str = "concat") -> Column:
     """Array of the links of one page. ``concat`` puts the href behind the page url; ``resolve`` makes a real address."""
     if mode not in ("concat", "resolve"):

@@ -82,6 +82,14 @@ def messages(spark, sf_dir):
     return logs.unionByName(long).selectExpr("conv_id", "turn", "role", *shapes)
 
 
+def markdown_messages(spark, sf_dir):
+    """The messages with Markdown around their texts."""
+    marked = """concat('### About ', turn, ' #', chr(10), 'It is **', conv_id, '** & _so_ <b>', chr(10), 'on.', chr(10), '- a `*b* <c>`', chr(10), '- [x](http://y.z/a_b_c)', chr(10), 'more', chr(10), chr(10),
+        '1. *one*', chr(10), '2. two', chr(10), '```sql', chr(10), '# not ', conv_id, chr(10), chr(10), '- <no>', chr(10), '```', chr(10), content)"""
+    return messages(spark, sf_dir).filter("turn is not null").selectExpr("conv_id", "turn", "role", "coalesce(parts[0], content) as content").selectExpr(
+        "conv_id", "turn", "role", "cast(null as array<string>) as parts", f"{marked} as content")
+
+
 def conversation_docs(spark, sf_dir):
     """A document for most conversations; every fourth has the same one, every tenth none."""
     return table(spark, sf_dir, "conversations").filter("turn = 0").selectExpr(
@@ -110,6 +118,11 @@ def pages(spark, sf_dir):
     )
 
 
+def boxed_pages(spark, sf_dir):
+    """Pages with adverts three divs deep, a menu that is only links, and short blocks beside long ones and not."""
+    return table(spark, sf_dir, "pages").selectExpr("page_id", "url", """if(html like '%</html>', html || '<div class="box"><div class="ad"><div><div>deep <p>buy this now, friends.</p></div></div>more words here.</div>after it come a few words</div><div><a href="x">Home page</a> <a href="y">News</a> or</div><div>alone here</div><ul><li><a href=z>Up</a></ul><p>Last words.</p><div><span>two</span> <i>more</i></div>', html) as html""")
+
+
 def bare_pages(spark, sf_dir):
     """Pages of which every seventh came without text, next to a second capture (``other``) of all."""
     return table(spark, sf_dir, "pages").selectExpr(

@@ -205,6 +205,15 @@ lines as (select conv_id, turn, '<h2>' || {_CAPITAL} || '</h2>' || array_to_stri
 select conv_id, count(*) as n_messages, '<h1>Chat History</h1>' || chr(10) || string_agg(line, chr(10) order by turn nulls first) as text
 from lines group by conv_id"""
 
+# The texts hold lines and blank lines; of their marks none is one of Markdown, but for those that are told here.
+ORACLES["export_transcript_rich"] = f"""with {MESSAGES},
+bodies as (select conv_id, turn, role, list_transform(list_filter(regexp_split_to_array(text, '\\n[ \\t]*\\n'), lambda p: trim(p) <> ''),
+    lambda p: '<p>' || array_to_string(list_transform(string_split(trim(p, chr(10)), chr(10)), lambda l: trim(l, ' ')), chr(10)) || '</p>') as paragraphs from messages where turn is not null),
+lines as (select conv_id, turn, '<h2>' || {_CAPITAL} || '</h2>' || chr(10) || '<h3>About ' || turn || '</h3>' || chr(10) || '<p>It is <strong>' || conv_id || '</strong> &amp; <em>so</em> &lt;b>'
+    || chr(10) || 'on.</p>' || chr(10) || '<ul>' || chr(10) || '<li>a <code>*b* &lt;c></code></li>' || chr(10) || '<li><a href="http://y.z/a_b_c">x</a>' || chr(10) || 'more</li>' || chr(10) || '</ul>'
+    || chr(10) || '<ol>' || chr(10) || '<li><em>one</em></li>' || chr(10) || '<li>two</li>' || chr(10) || '</ol>' || chr(10) || '<pre><code># not ' || conv_id || chr(10) || chr(10) || '- &lt;no>' || chr(10)
+    || '</code></pre>' || array_to_string(list_transform(paragraphs, lambda p: chr(10) || replace(p, '& ', '&amp; ')), '') as line from bodies)
+select conv_id, count(*) as n_messages, '<h1>Chat History</h1>' || chr(10) || string_agg(line, chr(10) order by turn) as text from lines group by conv_id"""
 ORACLES["transcript_pieces"] = f"""with {MESSAGES},
 lines as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) as n, count(*) over (partition by conv_id) as of,
             '<h2>' || {_CAPITAL} || '</h2>' || array_to_string(list_transform(
@@ -257,6 +266,18 @@ links as (select page_id, url, cast(unnest(range(1, len(found) + 1)) as int) as
 
 ORACLES["captured_pages"] = "select page_id, url, html from pages"
 ORACLES["extract_main_text"] = f"with {CAPTURED}, {TEXTS} select page_id, url, text from texts"
+# An article holds titles and paragraphs only; what follows it is told here block by block.
+ORACLES["main_text_by_blocks"] = f"""with
+articles as (select page_id, url, html like '%</html>' as ended,
+    regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|<[^<>]*$|$)', 1), '</?b>', '', 'g'), '<br>', ' ', 'g') as a from pages),
+texts as (select page_id, url, list_filter(list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'),
+            lambda t: trim(regexp_replace({_unescaped('t')}, '\\s+', ' ', 'g'), ' ')), lambda t: t <> '')
+          || if(ended, ['after it come a few words', chr(1), 'alone here', chr(1), 'Last words.', 'two more'], []) as blocks from articles),
+rows as (select page_id, cast(unnest(range(len(blocks))) as int) as n, unnest(blocks) as t from texts),
+judged as (select *, t <> chr(1) and (len(string_split(t, ' ')) >= 10 or regexp_matches(t, '[.!?…][”»'')]*$')) as long from rows),
+kept as (select *, t <> chr(1) and (long or coalesce(lag(long) over w, false) or coalesce(lead(long) over w, false)) as keep from judged window w as (partition by page_id order by n)),
+joined as (select page_id, string_agg(t, chr(10) || chr(10) order by n) as text from kept where keep group by page_id)
+select t.page_id, t.url, j.text from texts t left join joined j using (page_id)"""
 ORACLES["extract_main_text_fallback"] = f"""select page_id, url, case when page_id % 7 = 0 then 'second ' || page_id else {_main_text('html')} end as text
 from pages"""
 ORACLES["extract_links"] = f"with {HREFS} select page_id, pos, url || href as link from links"

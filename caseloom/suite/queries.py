@@ -133,6 +133,11 @@ def export_transcript_html(spark, sf_dir):
     return conversations.export_transcript(I.messages(spark, sf_dir), "html")
 
 
+@query
+def export_transcript_rich(spark, sf_dir):
+    return conversations.export_transcript(I.markdown_messages(spark, sf_dir), "rich")
+
+
 @query
 def transcript_pieces(spark, sf_dir):
     return conversations.transcript_pieces(I.messages(spark, sf_dir), "html")
@@ -162,6 +167,11 @@ def extract_main_text(spark, sf_dir):
     return pages.extract_main_text(I.pages(spark, sf_dir))
 
 
+@query
+def main_text_by_blocks(spark, sf_dir):
+    return pages.main_text_by_blocks(I.boxed_pages(spark, sf_dir))
+
+
 @query
 def extract_main_text_fallback(spark, sf_dir):
     return pages.extract_main_text(I.bare_pages(spark, sf_dir), fallback=F.col("other"))

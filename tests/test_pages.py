@@ -156,3 +156,30 @@ def test_two_runs_of_one_number_do_not_mix(spark, tmp_path):
         files.append_keyed_texts(texts, path, version=1)
     with pytest.raises(FileNotFoundError):
         files.latest_keyed_texts(spark, str(tmp_path / "none"))
+
+
+def blocks_of(spark, html):
+    return P.main_text_by_blocks(one_page(spark, html)).first().text
+
+
+def test_main_text_by_blocks(spark):
+    html = """<html><head><title>T.</title></head><body><div class="topnav menu"><a href=/>Home.</a></div>
+<div><a href=/a>News.</a> <a href=/b>Sports and more of it, as ever, on all of our pages.</a></div>
+<div class="x ad y"><div><div><div>Buy this now.</div></div>And this.</div>Really.</div>
+<div><h1>The title</h1><p>First <a href=/x>sentence</a> of it.<p>A long one without an end that goes on and on for ten words
+<div class="share">Share this page now.</div>
+<div>Beside it</div><div>not beside it</div><p>two</p><p>three</p><ul><li>One &amp; only<li>Caf&eacute; &lt;b&gt; (as they say.)</ul></div>
+<form><p>Your name.</p></form><section id=c class="comments"><p>I like this very much, thank you for it all.</p></section>
+<footer><p>All rights reserved.</p></footer><script>var a = "<p>No.</p>";</script></body></html>"""
+    assert blocks_of(spark, html).split("\n\n") == [
+        "The title", "First sentence of it.", "A long one without an end that goes on and on for ten words", "Beside it", "One & only", "Café <b> (as they say.)"]
+
+
+def test_blocks_at_their_borders(spark):
+    assert blocks_of(spark, "<div>a one.<p>b two.</p>c three.<b>d</b> e.</div>") == "a one.\n\nb two.\n\nc three.d e."
+    assert blocks_of(spark, "x y.<br>z.<hr>w.") == "x y. z.\n\nw."
+    assert blocks_of(spark, "<p><a href=q>Half of it is</a> linked so.") is None
+    assert blocks_of(spark, "<div class='advice'>Kept here.</div><div class=ad>Not.") == "Kept here."
+    assert blocks_of(spark, "") is None and blocks_of(spark, "<p> </p>") is None
+    many = "".join(f"<p>Line {i}.</p>" for i in range(700))
+    assert blocks_of(spark, many) == "\n\n".join(f"Line {i}." for i in range(700))
