@@ -92,6 +92,62 @@ def op12_conversation_repair(spark, sf_dir):
     return structure_repair.conversation_audit(turns, structure_repair.damaged_turns(turns))
 
 
+ORACLES["op12_conversation_repair"] = r"""
+with recursive moves(state, edit, initial, next, cost, ins, role) as (values
+  ('', 'K', 's', 's', 0, null, null), ('', 'K', 'u', 'u', 0, null, null), ('s', 'K', 'u', 'u', 0, null, null),
+  ('u', 'K', 'a', 'a', 0, null, null), ('a', 'K', 'u', 'u', 0, null, null),
+  ('', 'R', null, 'u', 3, null, 'user'), ('s', 'R', null, 'u', 3, null, 'user'), ('u', 'R', null, 'a', 3, null, 'assistant'), ('a', 'R', null, 'u', 3, null, 'user'),
+  ('', 'IK', 'a', 'a', 3, 'user', null), ('s', 'IK', 'a', 'a', 3, 'user', null), ('u', 'IK', 'u', 'u', 3, 'assistant', null), ('a', 'IK', 'a', 'a', 3, 'user', null),
+  ('', 'IR', null, 'a', 6, 'user', 'assistant'), ('s', 'IR', null, 'a', 6, 'user', 'assistant'), ('u', 'IR', null, 'u', 6, 'assistant', 'user'),
+  ('a', 'IR', null, 'a', 6, 'user', 'assistant'),
+  ('', 'D', null, '', 4, null, null), ('s', 'D', null, 's', 4, null, null), ('u', 'D', null, 'u', 4, null, null), ('a', 'D', null, 'a', 4, null, null)),
+endings(state, cost, inserts, roles) as (values ('', 0, '', []::varchar[]), ('s', 6, 'II', ['user:', 'assistant:']), ('u', 3, 'I', ['assistant:']), ('a', 0, '', [])),
+spaced as (
+  select conv_id, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text
+  from conversations),
+names as (select distinct name from spaced),
+crc(name, bits, c) as (       -- bit by bit, eight steps to a character of the name
+  select name, 0, 4294967295::bigint from names
+  union all
+  select name, bits + 1, xor(x >> 1, case when x & 1 = 1 then 3988292384::bigint else 0 end)
+  from (select name, bits, case when bits % 8 = 0 then xor(c, ascii(name[bits // 8 + 1])::bigint) else c end as x from crc where bits < 8 * length(name))),
+marks as (select name, xor(c, 4294967295::bigint) % 20 as mark from crc where bits = 8 * length(name)),
+damaged as (
+  select conv_id, turn, if(mark = 4, 'user', role) as role,
+         case mark when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(if(mark = 3, 2, 1))) as copy
+  from spaced join marks using (name) where mark <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as n from damaged),
+told as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'd'
+                 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 't' else '' end as fault,
+         lag(left(role, 1)) over (partition by conv_id order by n) || left(role, 1) as pair
+  from placed),
+ids as (select distinct conv_id from conversations),
+walk(conv_id, n, state, cost, audit, lines) as (
+  select conv_id, 0::bigint, '', 0, '', []::varchar[] from ids
+  union all
+  select w.conv_id, t.n, m.next, w.cost + m.cost + if(fault = 't' and edit <> 'D', 3, 0), audit || edit,
+         list_concat(lines, list_concat(if(ins is null, []::varchar[], [ins || ':']), if(edit = 'D', []::varchar[], [coalesce(m.role, t.role) || ':' || text])))
+  from walk w join told t on t.conv_id is not distinct from w.conv_id and t.n = w.n + 1
+  join moves m on m.state = w.state and (initial is null or initial = left(t.role, 1)) and (fault not in ('b', 'd') or edit = 'D')
+  qualify row_number() over (partition by w.conv_id, m.next order by w.cost + m.cost + if(fault = 't' and edit <> 'D', 3, 0), audit || edit) = 1),
+counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'b') as blank,
+         count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated,
+         count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal
+  from told group by conv_id),
+ends as (
+  select i.conv_id, w.cost + e.cost as cost, w.audit || e.inserts as audit, list_concat(w.lines, e.roles) as lines
+  from ids i left join counts c on c.conv_id is not distinct from i.conv_id
+  join walk w on w.conv_id is not distinct from i.conv_id and w.n = coalesce(c.n, 0) join endings e using (state)
+  qualify row_number() over (partition by i.conv_id order by w.cost + e.cost, w.audit || e.inserts) = 1)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, e.cost::bigint as cost, audit, sha256(array_to_string(lines, chr(10))) as repaired_sha256
+from ends e left join counts c on c.conv_id is not distinct from e.conv_id
+"""
+
+
 @query
 def op13_filter_interactions(spark, sf_dir):
     return filter_audit.filter_interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
