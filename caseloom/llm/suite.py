@@ -31,6 +31,28 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.benchmark_overlap(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+ORACLES["op3_benchmark_decontamination"] = r"""
+with docs as materialized (select doc_id, text, row_number() over () as k from documents),
+lowered as (
+  select 'd' as kind, '' as id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t, k from docs
+  union all
+  select 'b', item_id::varchar, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 0 from benchmark),
+words as (select kind, id, k, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from lowered),
+sized as (select *, least(13, len(w)) as size from words where kind = 'b' and len(w) > 0),
+item_windows as (select distinct id, size, array_to_string(w[p + 1:p + size], ' ') as passage from (select *, unnest(range(len(w) - size + 1)) as p from sized)),
+doc_windows as (
+  select k, p, size, array_to_string(w[p + 1:p + size], ' ') as passage
+  from (select k, w, size, unnest(range(len(w) - size + 1)) as p from words, (select distinct size from sized) where kind = 'd' and len(w) >= size)),
+found as (select d.k, d.p, d.size, i.id from doc_windows d join item_windows i using (size, passage)),
+hit as (select k, count(distinct pos) as n_hit from (select k, unnest(range(p, p + size)) as pos from (select distinct k, p, size from found)) group by k),
+items as (select k, count(*) as n_items, sha256(string_agg(id, ',' order by id)) as items_sha256 from (select distinct k, id from found) group by k)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from words join docs d using (k) left join hit using (k) left join items using (k)
+where kind = 'd'
+"""
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(read(spark, sf_dir, "documents"), exact.new_index(spark))
