@@ -108,6 +108,20 @@ def op11_main_text(spark, sf_dir):
     return main_text.extracted_texts(read(spark, sf_dir, "pages"), main_text.trained_field())
 
 
+# What these pages hold, told without the field: their articles are titles and paragraphs and nothing else.
+ORACLES["op11_main_text"] = r"""
+with articles as (
+  select page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(
+           regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<[^<>]*$|$)', 1), '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(?:p|h1)>') as parts
+  from pages),
+texts as (
+  select page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'),
+           '\s+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10) || chr(10)) as text
+  from articles)
+select page_id, url, text, length(text) as n_chars from texts
+"""
+
+
 @query
 def op12_conversation_repair(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
