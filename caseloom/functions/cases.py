@@ -19,7 +19,7 @@ _DEEPER = rf"(?:[^<]++|{E.leaf(2)}|<(?!(?:a|{_RAW})\b)(?=[a-z]){E.TAG_REST})*+"
 #: The first cell, the cell after it, and the first link in that: group 3, without its end tag.
 PLAIN_LINK = (
     rf"(?is)^{_BEFORE}<td\b{E.TAG_REST}{E.flat(1)}</td\s*+>\s*+<td\b{E.TAG_REST}{_DEEPER}(<a(?=[\s>]){E.TAG_REST}{E.flat(4)})</a\s*+>")
-CASE_ID = r"id=(\d*)&"
+CASE_ID = r"id=\d*&"
 
 _ITEM_CLASS = attribute_token("class", "mrgn-bttm-md")
 #: Every tag; of an item (group 2) the end of its tag and what follows it, with the beginning of its end tag if all between is plain.
@@ -28,11 +28,6 @@ HISTORY_ITEM = (
 _WRAPPED = r"(?s)^<[^>]++>([^<]++)</[^>]++>$"
 
 
-def group_or_null(text: Column, pattern: str) -> Column:
-    """First group of the first match; NULL (not an empty text) without a match. The text is looked at once."""
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
-
-
 def plain_link(html: Column) -> Column:
     """The status link of a plain page, without its end tag; empty for every other page."""
     return F.regexp_extract(html, PLAIN_LINK, 3)
@@ -72,7 +67,8 @@ def status_text(text: Column) -> Column:
 
 def case_id(tag: Column) -> Column:
     """Digits of the first ``id=...&`` in the decoded address of the status link; may be empty."""
-    return group_or_null(href_of(tag), CASE_ID)
+    found = F.regexp_extract(href_of(tag), CASE_ID, 0)
+    return E.bound(found, lambda m: F.when(m != "", F.substr(m, F.lit(4), F.length(m) - 4)))
 
 
 def history_items(html: Column) -> Column:

@@ -42,7 +42,7 @@ def test_no_oracle_without_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["assemble_page", "report_context", "conversation_context", "band_summary"])
+@pytest.mark.parametrize("name", ["assemble_page", "report_context", "conversation_context", "band_summary", "page_pieces", "history_pieces", "document_pieces"])
 def test_partitioning_does_not_matter(spark, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     results = []
@@ -54,7 +54,8 @@ def test_partitioning_does_not_matter(spark, name):
 
 
 def test_no_python_in_the_plans(spark):
-    for name in ("assemble_page", "report_context", "build_prompt", "parse_report_json", "page_pieces", "case_history", "construct_table"):
+    for name in ("assemble_page", "report_context", "build_prompt", "parse_report_json", "page_pieces", "case_history", "construct_table",
+                 "main_text_by_blocks", "export_transcript_rich", "history_pieces", "context_pieces", "upload_texts", "tables_to_markdown", "table_records"):
         plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan, name
 
