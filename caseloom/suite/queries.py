@@ -339,13 +339,20 @@ def upload_texts(spark, sf_dir):
     return uploads.upload_texts(I.csv_uploads(spark, sf_dir), I.upload_elements(spark, sf_dir))
 
 
+def _arrive(path, parts):
+    """Write the parts to the folder as they are scanned, each in as many files as that takes; how many files there are now."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return len(parts[0].sparkSession.read.schema(parts[0].schema).parquet(path).inputFiles())
+
+
 @query
 def incremental_ingest(spark, sf_dir):
     arriving, store, checkpoint = (fresh_path(spark, label) for label in ("arriving", "store", "progress"))
     rows = I.uploads(spark, sf_dir).select("name", "content", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("file"))
-    rows.repartition(4, "file").drop("file").write.parquet(arriving)
-    for _ in range(2):  # one file per batch; the second run finds nothing new
-        found = ingest.arriving_rows(spark, arriving, "name string, content string", files_per_batch=1)
+    n = _arrive(arriving, [rows.filter(F.col("file") == part).drop("file") for part in range(4)])
+    for _ in range(2):  # four batches; the second run finds nothing new
+        found = ingest.arriving_rows(spark, arriving, "name string, content string", files_per_batch=-(-n // 4))
         ingest.incremental_ingest(found, store, checkpoint).awaitTermination()
     return ingest.ingest_store(spark, store).select("md5", "ext", "copies")
 
@@ -355,12 +362,14 @@ def emit_once(spark, sf_dir):
     """Two batches; then, after a restart, one with late copies of a third of the files under other names."""
     arriving, store, checkpoint = (fresh_path(spark, label) for label in ("arriving", "store", "progress"))
     rows = I.uploads(spark, sf_dir).select("doc_id", "name", "content", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("file"))
-    early = rows.filter("file < 3").select("name", "content", (F.col("file") % 2).alias("file"))
+    early = [rows.filter(kept).select("name", "content") for kept in ("file in (0, 2)", "file = 1")]
     late = rows.filter("file = 3 or doc_id % 3 = 0").select(F.concat(F.lit("again-"), "name").alias("name"), "content")
-    for arrived in (early.repartition(2, "file").drop("file"), late.coalesce(1)):
-        arrived.write.mode("append").parquet(arriving)
-        found = ingest.arriving_rows(spark, arriving, "name string, content string", files_per_batch=1)
+    seen = 0
+    for arrived in (early, [late]):
+        n = _arrive(arriving, arrived)
+        found = ingest.arriving_rows(spark, arriving, "name string, content string", files_per_batch=-(-(n - seen) // len(arrived)))
         ingest.emit_once(found, store, checkpoint, partitions=2).awaitTermination()
+        seen = n
     return ingest.emitted(spark, store).select("md5", "ext", "stored_name")
 
 

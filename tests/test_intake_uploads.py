@@ -3,6 +3,7 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseloom import schemas
@@ -10,6 +11,7 @@ from caseloom.operators import intake, uploads
 from caseloom.plans import store as S
 from caseloom.sources import files
 from caseloom.streaming import ingest
+from caseloom.suite import inputs as I, queries as suite
 
 
 def test_submissions(spark, rows):
@@ -162,3 +164,25 @@ def test_an_upload_takes_the_branch_of_its_name(spark):
     assert got[2] == ("|    |   k | v, w      |\n|---:|----:|:----------|\n|  0 |   1 | x \"y\"     |\n|  1 | 2.5 | two\nlines |\n|  2 |   3 |           |")
     assert got[8] == "|    |   Unnamed: 0 |   b |\n|---:|-------------:|----:|\n|  0 |            1 |   2 |"
     assert got[9] == '|    | a     |\n|---:|:------|\n|  0 | "open |'
+
+
+@pytest.mark.parametrize("name", ["incremental_ingest", "emit_once"])
+def test_arriving_files_follow_the_scan(spark, tmp_path, monkeypatch, name):
+    """A table of eight files arrives in as many as that for every part, not in one for each; no text is left out, none comes twice."""
+    docs = [(i, f"text {i % 50}" + "x" * (i % 50), "en", "s", 1) for i in range(400)]
+    df = spark.createDataFrame(docs, I.TABLES["documents"])
+    df.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    paths = {}
+
+    def noted(spark, label):
+        paths[label] = f"{tmp_path}/{label}"
+        return paths[label]
+
+    monkeypatch.setattr(suite, "fresh_path", noted)
+    got = suite.QUERIES[name](spark, str(tmp_path)).collect()
+    arrived = spark.read.schema("name string, content string").parquet(paths["arriving"])
+    assert len(arrived.inputFiles()) > 8
+    wanted = {(hashlib.md5(t.encode()).hexdigest(), ("pdf", "csv", "txt")[i % 3]) for i, t, *_ in docs}
+    assert sorted((r.md5, r.ext) for r in got) == sorted(wanted)
+    if name == "incremental_ingest":
+        assert sum(r.copies for r in got) == 400
