@@ -33,7 +33,7 @@ from caseloom.plans.store import fresh_path, stored
 
 END = 0
 SEGMENT = 1 << 20      # ids after which a segment ends
-CACHE = 500_000        # units, and twice as many words, whose ids a worker remembers at a time
+CACHE = 300_000        # units, and twice as many words, whose ids a worker remembers at a time
 _BREAK = re.compile(r"(?= \S)")
 #: White space other than single blanks and line feeds, as it looks in UTF-8 (with a few others that begin alike).
 _ODD_SPACE = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\x00",
