@@ -16,13 +16,14 @@ is written next to the segments.
 from __future__ import annotations
 
 import os
-import re
 import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -33,12 +34,29 @@ from caseloom.plans.store import fresh_path, stored
 
 END = 0
 SEGMENT = 1 << 20      # ids after which a segment ends
-CACHE = 300_000        # units, and twice as many words, whose ids a worker remembers at a time
-_BREAK = re.compile(r"(?= \S)")
-#: White space other than single blanks and line feeds, as it looks in UTF-8 (with a few others that begin alike).
-_ODD_SPACE = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\x00",
-              b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_MARKS = string.punctuation.replace("'", "")
+CACHE = 1_000_000      # units whose ids a worker remembers at a time
+SLICE = 8 << 20        # bytes of text that are encoded at a time
+
+# What a byte of UTF-8 tells about the places next to it, in bits.
+_BLANK, _LINE, _LETTER, _LEAD, _MARK, _TEXT_BEGINS, _TEXT_ENDS = (1 << i for i in range(7))
+
+
+def _kinds() -> np.ndarray:
+    """Of every byte. One that a character of white space may begin or end with does not count as text there.
+
+    All characters of two bytes that begin with a ``_LEAD`` are letters, but for two that end in 0x97 and 0xB7.
+    """
+    kinds = np.zeros(256, np.uint8)
+    for bit, octets in ((_BLANK, b" "), (_LINE, b"\n"), (_LETTER, string.ascii_letters.encode()),
+                        (_LEAD, b"\xc3\xc4\xc5\xd0\xd1"), (_MARK, string.punctuation.replace("'", "").encode())):
+        kinds[list(octets)] |= bit
+    kinds[0x21:] |= _TEXT_BEGINS | _TEXT_ENDS
+    kinds[[0xC2, 0xE1, 0xE2, 0xE3]] &= 255 - _TEXT_BEGINS
+    kinds[[*range(0x80, 0x90), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] &= 255 - _TEXT_ENDS
+    return kinds
+
+
+_KINDS = _kinds()
 _ENCODERS: dict[int, UnitEncoder] = {}
 
 
@@ -50,7 +68,8 @@ class UnitEncoder:
     Its pre-tokenizer always begins a piece at a blank that something other than
     white space follows, around a single line feed, and where letters end and
     punctuation begins; merges never go over pieces. So a text's ids are those of its
-    units one after the other, and units, mostly words, come again and again.
+    units one after the other, and units, mostly words, come again and again: the
+    texts of a slice are cut in numpy, and only its distinct units are looked up.
 
     With ``added``, as the library has it by default, the strings of added tokens in a
     text are these tokens, and a text that has one is encoded whole. Without it, those
@@ -67,33 +86,54 @@ class UnitEncoder:
         self.added = [t.content.encode() for t in kinds if t.content]
         #: Such tokens are looked for in the normalised text, which need not have the same characters.
         self.whole = self.tokenizer.normalizer is not None and any(t.normalized for t in kinds)
-        self.known: dict[str, bytes] = {"": b""}     # units as they stand in texts
-        self.words: dict[str, bytes] = {}            # units without the punctuation behind them
+        self.known = self.ids = pa.array([], pa.large_binary())  # units and their ids; Arrow holds many in little memory
 
     @staticmethod
-    def units(text: bytes) -> list[str]:
-        line = text.decode("utf-8", "replace")
-        if any(odd in text for odd in _ODD_SPACE):
-            return _BREAK.split(line)
-        return line.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def learn(self, units: set[str]) -> None:
-        parts, fresh = [], {}
-        words, known = self.words, self.known
-        for unit in units:
-            word = unit.rstrip(_MARKS)
-            marks = unit[len(word):]
-            if marks and not word.lstrip(" ").isalpha():
-                word, marks = unit, ""
-            parts.append((unit, word, marks))
-            if word not in words:
-                fresh[word] = True
-            if marks and marks not in words:
-                fresh[marks] = True
-        for part, made in zip(fresh, self.tokenizer.encode_batch_fast(list(fresh), add_special_tokens=False)):
-            words[part] = b"".join([i.to_bytes(4, "little") for i in made.ids])
-        for unit, word, marks in parts:
-            known[unit] = words[word] + words[marks] if marks else words[word]
+    def units(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """Units of all texts, one text after the other, and before how many of them each text begins and the last one ends."""
+        joined = b"".join(texts)
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+        data = np.frombuffer(joined, np.uint8)
+        kinds = _KINDS[data]
+        cut = np.zeros(len(kinds) + 1, bool)
+        if len(kinds):
+            after = np.append(kinds[1:], 0) & _TEXT_BEGINS != 0
+            after[bounds[bounds > 0] - 1] = False
+            cut[:-1] = (kinds & _BLANK != 0) & after
+            line = np.flatnonzero(kinds & _LINE)
+            line = line[kinds[line - 1] & _TEXT_ENDS != 0]
+            cut[line] = True
+            cut[line[after[line]] + 1] = True
+            kinds[bounds[bounds > 0] - 1] &= 255 - _LEAD
+            mark = np.flatnonzero(kinds[2:] & _MARK) + 2
+            last = data[mark - 1]
+            letter = (kinds[mark - 2] & _LEAD != 0) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7)
+            cut[mark[letter | (kinds[mark - 1] & _LETTER != 0)]] = True
+        cut[bounds] = True
+        offsets = np.flatnonzero(cut)
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined)])
+        return units, np.searchsorted(offsets, bounds)
+
+    def ids_of(self, units: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """Ids of distinct units."""
+        if len(self.known) > CACHE:
+            self.known = self.ids = self.known[:0]
+        place = pc.index_in(units, value_set=self.known)
+        if not place.null_count:
+            return self.ids.take(place)
+        fresh = units.filter(place.is_null())
+        made: list[list[int]] = []
+        for at in range(0, len(fresh), 4096):  # what the library returns takes far more memory than the ids
+            part = [u.decode("utf-8", "replace") for u in fresh[at:at + 4096].to_pylist()]
+            made += [one.ids for one in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))))
+        flat = np.fromiter(chain.from_iterable(made), "<u4", ends[-1])
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(made), [None, pa.py_buffer(4 * ends), pa.py_buffer(flat)])
+        at = place.fill_null(0).to_numpy().astype(np.int64)
+        new = place.is_null().to_numpy(zero_copy_only=False)
+        at[new] = len(self.known) + np.arange(len(fresh))
+        self.known, self.ids = pa.concat_arrays([self.known, fresh]), pa.concat_arrays([self.ids, ids])
+        return self.ids.take(pa.array(at))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -110,16 +150,12 @@ class UnitEncoder:
         return self._by_units(texts)
 
     def _by_units(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        if len(self.words) > 2 * CACHE:
-            self.words = {}
-        split = [self.units(t) for t in texts]
-        found = [list(map(self.known.get, units)) for units in split]
-        unknown = {u for units, ids in zip(split, found) if None in ids for u, i in zip(units, ids) if i is None}
-        if unknown:
-            self.learn(unknown)
-        return [b"".join(map(self.known.__getitem__, units) if None in ids else ids) for units, ids in zip(split, found)]
+        units, bounds = self.units(texts)
+        coded = units.dictionary_encode()
+        made = self.ids_of(coded.dictionary).take(coded.indices)
+        ends = np.frombuffer(made.buffers()[1], np.int64)[made.offset + bounds].tolist()
+        octets = memoryview(made.buffers()[2] or b"")
+        return [bytes(octets[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def _encoder(definition: str) -> UnitEncoder:
@@ -145,7 +181,7 @@ def encoded(docs: DataFrame, tokenizer_file: str, text: str, carry: list[str], e
             packed.append(pack(_narrow(ids)))
         return [pa.array(n, pa.int64()), pa.array(packed, pa.binary())]
 
-    return map_texts(docs, text, carry, T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("packed", T.BinaryType())]), work)
+    return map_texts(docs, text, carry, T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("packed", T.BinaryType())]), work, SLICE)
 
 
 def _narrow(ids: np.ndarray) -> bytes:

@@ -96,3 +96,33 @@ def test_added_tokens_as_the_library_has_them(spark, documents):
         rows.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert [tuple(r) for r in token_files.token_output(documents(texts), FILE).orderBy("start").collect()] == rows
+
+
+def test_units_of_a_slice(monkeypatch):
+    """Punctuation is cut off words, also behind letters of two bytes and in texts with runs of white space; the tokenizer sees a unit once."""
+    texts = ["Élan vital!  Größe, Größe.\tdon't\n\nMüller (x)", "", "a\nb", "Größe, vital!"]
+    units, bounds = token_files.UnitEncoder.units([t.encode() for t in texts])
+    assert [x.decode() for x in units.to_pylist()] == [
+        "Élan", " vital", "! ", " Größe", ",", " Größe", ".\tdon't", "\n\nMüller", " (x", ")", "a", "\n", "b", "Größe", ",", " vital", "!"]
+    assert bounds.tolist() == [0, 10, 10, 13, 17]
+    encoder, seen = token_files.UnitEncoder(open(FILE, encoding="utf-8").read()), []
+
+    class Counting:
+        def encode_batch_fast(self, part, **more):
+            seen.extend(part)
+            return PLAIN.encode_batch_fast(part, **more)
+
+    encoder.tokenizer = Counting()
+    for _ in range(2):
+        encoder.encode([t.encode() for t in texts])
+    assert len(seen) == len(set(seen)) == len(set(units.to_pylist()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_texts_of_a_slice_do_not_touch(seed):
+    """Texts begin and end anywhere, also within what would be a character or a run of white space with their neighbour."""
+    rng = random.Random(seed)
+    parts = [b" ", b"\n", b"a", b"Word", b"!", b",", b"\xc3\xa9", b"\xc3", b"\xa9", b"\xc2", b"\xa0", b"\xe2\x80\x89", b"\xc3\x97", b"\xd0\xb6", b"\xe8\xaa\x9e", b"'s", b"1", b"\t", b"\xe3\x80"]
+    texts = [b"".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(1500)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in UNITS.encode(texts)]
+    assert got == [PLAIN.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
